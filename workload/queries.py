@@ -1,3 +1,3 @@
 """Importing this module registers all queries."""
 
-from workload import mart_queries  # noqa: F401
+from workload import climatology_queries, mart_queries  # noqa: F401
