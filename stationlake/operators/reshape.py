@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,12 @@ def unpivot(
     return long if keep_null else long.filter(F.col(value).isNotNull())
 
 
+def labelled(values: Mapping[str, Column], name: str, value: str) -> Column:
+    """Generator: one (label, value) row per entry, for labels that are no plain column names."""
+    entries = [F.struct(F.lit(n).alias(name), v.alias(value)) for n, v in values.items()]
+    return F.inline(F.array(*entries))
+
+
 def grid(
     df: DataFrame, rows: Sequence[str], column: str, values: Sequence, cell: str
 ) -> DataFrame:

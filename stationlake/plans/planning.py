@@ -21,6 +21,7 @@ from stationlake.model import (
     daily_columns,
 )
 from stationlake.operators.order_stats import quantiles
+from stationlake.operators.reshape import labelled
 from stationlake.operators.runs import ratio_to_mean, top_rows
 
 DAYS_PER_MONTH = 30.4
@@ -228,10 +229,12 @@ FACTORS = {"rain": FACTOR_RAIN, "bad_air": FACTOR_AIR, "hot": FACTOR_HOT}
 
 def event_factors(flagged: DataFrame) -> DataFrame:
     """Share of days per week and factor, all site-days pooled."""
-    shares = flagged.groupBy("week").agg(
-        *[share(F.col(c)).alias(label) for c, label in FACTORS.items()]
-    )
-    return shares.unpivot(["week"], list(FACTORS.values()), "factor", "share")
+    shares = flagged.groupBy("week").agg(*[share(F.col(c)).alias(c) for c in FACTORS])
+    return shares.select("week", _factor_rows())
+
+
+def _factor_rows():
+    return labelled({label: F.col(c) for c, label in FACTORS.items()}, "factor", "share")
 
 
 def event_factors_site_mean(flagged: DataFrame) -> DataFrame:
@@ -239,10 +242,8 @@ def event_factors_site_mean(flagged: DataFrame) -> DataFrame:
     per_site = flagged.groupBy("city", "week").agg(
         *[share(F.col(c)).alias(c) for c in FACTORS]
     )
-    means = per_site.groupBy("week").agg(
-        *[F.avg(c).alias(label) for c, label in FACTORS.items()]
-    )
-    return means.unpivot(["week"], list(FACTORS.values()), "factor", "share")
+    means = per_site.groupBy("week").agg(*[F.avg(c).alias(c) for c in FACTORS])
+    return means.select("week", _factor_rows())
 
 
 def event_risk(flagged: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def main(argv: list[str]) -> int:
             else:
                 rows, problems = function(spark, str(DATA / sf)).count(), []
         except Exception as error:  # noqa: BLE001
-            problems, rows = [f"{type(error).__name__}: {str(error)[:600]}"], -1
+            problems, rows = [f"{type(error).__name__}: {str(error)[:300]}"], -1
         state = "ok  " if not problems else "FAIL"
         print(f"{state} {name} rows={rows} {time.time() - start:.1f}s{'' if name in checks else ' (rows only)'}", flush=True)
         for p in problems:

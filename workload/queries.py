@@ -1,3 +1,9 @@
 """Importing this module registers all queries."""
 
-from workload import climatology_queries, mart_queries  # noqa: F401
+from workload import (  # noqa: F401
+    climatology_queries,
+    mart_queries,
+    planning_queries,
+    risk_queries,
+    weather_queries,
+)
