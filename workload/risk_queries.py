@@ -149,7 +149,7 @@ def _(spark, sf):
     "risk_by_year",
     sql.query(
         RISK_CTES,
-        "SELECT year, sum("both"::INTEGER) / 5.0::DOUBLE AS risk_days FROM risk GROUP BY ALL",
+        'SELECT year, sum("both"::INTEGER) / 5.0::DOUBLE AS risk_days FROM risk GROUP BY ALL',
         ["risk_days"],
     ),
 )
@@ -161,7 +161,7 @@ def _(spark, sf):
     "risk_by_site_year",
     sql.query(
         RISK_CTES,
-        "SELECT city, year, sum("both"::INTEGER) AS "both" FROM risk GROUP BY ALL",
+        'SELECT city, year, sum("both"::INTEGER) AS "both" FROM risk GROUP BY ALL',
         longs=["both"],
     ),
 )
@@ -173,7 +173,7 @@ def _(spark, sf):
     "risk_per_year",
     sql.query(
         RISK_CTES,
-        "SELECT sum("both"::INTEGER)::DOUBLE / (count(DISTINCT year) * 5) AS risk_per_year FROM risk",
+        'SELECT sum("both"::INTEGER)::DOUBLE / (count(DISTINCT year) * 5) AS risk_per_year FROM risk',
         ["risk_per_year"],
     ),
 )
