@@ -123,12 +123,16 @@ def latest_forecast(
     columns: Sequence[str],
     past_days: int = 2,
     ahead_days: int = 4,
+    as_of: datetime | None = None,
 ) -> DataFrame:
     """Hours of the newest snapshot per site, from two days back to four days ahead.
 
-    ``snapshots`` has city, fetched_at, time and the columns. ``current_time``
-    is the snapshot's current hour; hours without any value are dropped.
+    ``snapshots`` has city, fetched_at, time and the columns; ``as_of`` leaves
+    out snapshots fetched later. ``current_time`` is the snapshot's current
+    hour; hours without any value are dropped.
     """
+    if as_of is not None:
+        snapshots = snapshots.filter(F.col("fetched_at") <= F.lit(as_of).cast("timestamp_ntz"))
     newest = snapshots.groupBy("city").agg(F.max("fetched_at").alias("fetched_at"))
     today = F.date_trunc("day", "fetched_at").cast("timestamp_ntz")
     rows = snapshots.join(newest, ["city", "fetched_at"], "left_semi")

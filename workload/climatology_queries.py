@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -320,14 +320,17 @@ def _(spark, sf):
 
 
 def forecast_of(spark, sf):
-    return latest_forecast(forecast_snapshots(spark, sf), POLLEN)
+    return latest_forecast(
+        forecast_snapshots(spark, sf), POLLEN, as_of=datetime(2024, 1, 28, 12)
+    )
 
 
 FORECAST = f"""
 forecast AS (
   SELECT city, fetched_at, fetched_at AS "current_time", time, {", ".join(POLLEN)}
   FROM snapshots s
-  WHERE fetched_at = (SELECT max(fetched_at) FROM snapshots x WHERE x.city = s.city)
+  WHERE fetched_at = (SELECT max(fetched_at) FROM snapshots x
+                      WHERE x.city = s.city AND x.fetched_at <= '2024-01-28 12:00')
     AND time >= date_trunc('day', fetched_at) - to_days(2)
     AND time < date_trunc('day', fetched_at) + to_days(4)
     AND coalesce({", ".join(POLLEN)}) IS NOT NULL
