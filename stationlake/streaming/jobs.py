@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stationlake.sources.tables import upsert
+from stationlake.plans.alerts import unsent
+from stationlake.sources.tables import table_exists, upsert
 
 
 def upsert_batches(
@@ -81,7 +82,8 @@ def persistence_alerts(
             else:
                 run, start = 0, None
         state.update((run, start, seen))
-        yield pd.DataFrame(found, columns=[*names, "run_start", "alert_time"])
+        if found:
+            yield pd.DataFrame(found, columns=[*names, "run_start", "alert_time"])
 
     schema = ", ".join(f"{k} string" for k in names)
     return (
@@ -112,14 +114,12 @@ def new_alerts(ledger_path: str, out_path: str) -> Callable[[DataFrame, int], No
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        from stationlake.plans.alerts import unsent
-        from stationlake.sources.tables import table_exists
-
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["alert_key"])
         if table_exists(spark, ledger_path):
             ledger = spark.read.parquet(ledger_path).filter(F.col("batch") != batch_id)
             fresh = unsent(batch, ledger)
+        else:
+            fresh = batch.dropDuplicates(["alert_key"])
         out = f"{out_path}/batch={batch_id}"
         fresh.write.mode("overwrite").parquet(out)
         keys = spark.read.parquet(out).select("alert_key")
