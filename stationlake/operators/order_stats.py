@@ -8,11 +8,13 @@ built-in ``median`` where a group is small by construction (years of a site).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stationlake.operators.reshape import labelled
+
 _STEPS = 1024
 
 
@@ -23,72 +25,91 @@ def value_range(value: Column) -> Column:
     of any scale spread over many ranges without a pass that looks for bounds.
     """
     steps = F.floor(F.log2(F.abs(value)) * F.lit(_STEPS)) + F.lit(1100 * _STEPS)
-    return (
-        F.when(value == 0, F.lit(0).cast("long"))
-        .when(value > 0, steps)
-        .otherwise(-steps)
-    )
+    signed = F.when(value > 0, steps).when(value < 0, -steps)
+    # Never null, so no null check on it is pushed into only one of two equal inputs.
+    return F.coalesce(signed, F.lit(0).cast("long"))
 
 
-def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Distinct values per group as ``value`` and ``n``; nulls are left out."""
+def value_counts(df: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Distinct values per group and column as ``column``, ``value`` and ``n``; nulls are left out."""
+    values = {c: F.col(c).cast("double") for c in columns}
     return (
-        df.select(*groups, F.col(value).cast("double").alias("value"))
+        df.select(*groups, labelled(values, "column", "value"))
         .filter(F.col("value").isNotNull())
-        .groupBy(*groups, "value")
+        .groupBy(*groups, "column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def positions(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Add ``before`` (rows with a smaller value) and ``total`` (rows) per group."""
+    """Add ``before`` (rows with a smaller value) and ``total`` (rows) per group.
+
+    The window over the group alone sees one row per value range.
+    """
     groups = list(groups)
-    ranged = counts.withColumn("__range", value_range(F.col("value")))
-    offsets = (
-        ranged.groupBy(*groups, "__range")
-        .agg(F.sum("n").alias("__n"))
-        .select(
-            *groups,
-            "__range",
-            (
-                F.sum("__n").over(Window.partitionBy(*groups).orderBy("__range")) - F.col("__n")
-            ).alias("__offset"),
-            F.sum("__n").over(Window.partitionBy(*groups)).alias("total"),
-        )
+    in_range = Window.partitionBy(*groups, "__range")
+    numbered = counts.withColumn("__range", value_range(F.col("value"))).select(
+        "*",
+        (F.sum("n").over(in_range.orderBy("value")) - F.col("n")).alias("__inside"),
+        F.sum("n").over(in_range).alias("__in_range"),
+    )
+    of_group = Window.partitionBy(*groups)
+    offsets = numbered.filter(F.col("__inside") == 0).select(
+        *groups,
+        "__range",
+        (F.sum("__in_range").over(of_group.orderBy("__range")) - F.col("__in_range")).alias(
+            "__offset"
+        ),
+        F.sum("__in_range").over(of_group).alias("total"),
     )
-    inside = Window.partitionBy(*groups, "__range").orderBy("value")
-    numbered = ranged.withColumn("__inside", F.sum("n").over(inside) - F.col("n"))
     return numbered.join(offsets, [*groups, "__range"]).select(
         *groups, "value", "n", (F.col("__offset") + F.col("__inside")).alias("before"), "total"
     )
 
 
 def quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame, groups: Sequence[str], probs: Mapping[str, Mapping[str, float]]
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per group, one column per entry."""
-    placed = positions(value_counts(df, groups, value), groups)
-    aggs = []
-    for name, q in probs.items():
-        at = (F.col("total") - 1) * F.lit(float(q))
+    """Exact quantiles with linear interpolation: one row per group.
+
+    ``probs`` maps each value column to the quantiles wanted of it, by result
+    name. All columns go through the same shuffles.
+    """
+    placed = positions(value_counts(df, groups, list(probs)), [*groups, "column"])
+    wanted = [(c, name, float(q)) for c, named in probs.items() for name, q in named.items()]
+    ends = []
+    for column, name, q in wanted:
+        at = (F.col("total") - 1) * F.lit(q)
         for end, row in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            holds = (F.col("before") <= row) & (row < F.col("before") + F.col("n"))
-            aggs.append(F.max(F.when(holds, F.col("value"))).alias(f"__{end}_{name}"))
-    found = placed.groupBy(*groups).agg(F.max("total").alias("__total"), *aggs)
-    result = []
-    for name, q in probs.items():
-        at = (F.col("__total") - 1) * F.lit(float(q))
+            holds = (
+                (F.col("column") == column)
+                & (F.col("before") <= row)
+                & (row < F.col("before") + F.col("n"))
+            )
+            ends.append(F.max(F.when(holds, F.col("value"))).alias(f"__{end}_{name}"))
+    totals = [
+        F.max(F.when(F.col("column") == c, F.col("total"))).alias(f"__total_{i}")
+        for i, c in enumerate(probs)
+    ]
+    found = placed.groupBy(*groups).agg(*totals, *ends)
+    index = {c: i for i, c in enumerate(probs)}
+
+    def interpolated(column: str, name: str, q: float) -> Column:
+        at = (F.col(f"__total_{index[column]}") - 1) * F.lit(q)
         lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        result.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return found.select(*groups, *result)
+        return (lo + (hi - lo) * (at - F.floor(at))).alias(name)
+
+    return found.select(*groups, *[interpolated(*w) for w in wanted])
 
 
 def average_ranks(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Rank of every distinct value from 1; ties share the mean of their ranks."""
-    placed = positions(value_counts(df, groups, value), groups)
-    return placed.select(
-        *groups, "value", "n", "total", (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank")
-    )
+    counts = value_counts(df, groups, [value]).drop("column")
+    return positions(counts, groups).select(*groups, "value", "n", "total", _mean_rank())
+
+
+def _mean_rank() -> Column:
+    return (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank")
 
 
 def spearman(
@@ -116,8 +137,32 @@ def spearman(
         .groupBy(*keys, "x", "y")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    with_x = _attach_rank(combos, keys, "x", "y", salts)
-    ranked = _attach_rank(with_x, keys, "y", "x", salts)
+    sides = F.array(
+        *[F.struct(F.lit(side).alias("side"), F.col(side).alias("value")) for side in ("x", "y")]
+    )
+    counts = (
+        combos.select(*keys, "n", F.inline(sides))
+        .groupBy(*keys, "side", "value")
+        .agg(F.sum("n").alias("n"))
+    )
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    ranks = positions(counts, [*keys, "side"]).select(
+        *keys, "side", "value", "total", _mean_rank(), copies.alias("__salt")
+    )
+
+    def with_rank(rows: DataFrame, side: str, other: str) -> DataFrame:
+        salt = F.pmod(F.xxhash64(F.col(other)), F.lit(salts)).cast("int")
+        of_side = ranks.filter(F.col("side") == side).select(
+            *keys,
+            F.col("value").alias(side),
+            F.col("total"),
+            F.col("rank").alias(f"rank_{side}"),
+            "__salt",
+        )
+        salted = rows.drop("total").withColumn("__salt", salt)
+        return salted.join(of_side, [*keys, side, "__salt"]).drop("__salt")
+
+    ranked = with_rank(with_rank(combos, "x", "y"), "y", "x")
     mid = (F.col("total") + 1) / F.lit(2.0)
     dx, dy = F.col("rank_x") - mid, F.col("rank_y") - mid
     return (
@@ -135,20 +180,3 @@ def spearman(
         )
     )
 
-
-def _attach_rank(
-    combos: DataFrame, keys: Sequence[str], side: str, other: str, salts: int
-) -> DataFrame:
-    counts = combos.groupBy(*keys, F.col(side).alias("value")).agg(F.sum("n").alias("n"))
-    placed = positions(counts, keys)
-    ranks = placed.select(
-        *keys,
-        F.col("value").alias(side),
-        F.col("total"),
-        (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias(f"rank_{side}"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"),
-    )
-    salted = combos.drop("total").withColumn(
-        "__salt", F.pmod(F.xxhash64(F.col(other)), F.lit(salts)).cast("int")
-    )
-    return salted.join(ranks, [*keys, side, "__salt"]).drop("__salt")

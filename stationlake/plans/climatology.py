@@ -223,8 +223,10 @@ def season_headline(
 
     High days are the flagged days divided by the number of years and of sites.
     """
-    start = quantiles(typical, ["pollen_type"], "start_doy", {"start_doy": 0.5})
-    peak = quantiles(typical, ["pollen_type"], "peak_doy", {"peak_doy": 0.5})
+    key = ["pollen_type"]
+    dates = quantiles(
+        typical, key, {"start_doy": {"start_doy": 0.5}, "peak_doy": {"peak_doy": 0.5}}
+    )
     hour = lowest_hour(mean_profile(profile), ["pollen_type"]).select(
         "pollen_type", F.col("hour_local").alias("cleanest_hour")
     )
@@ -248,9 +250,7 @@ def season_headline(
         "high_days_per_year",
         True,
     )
-    return (
-        start.join(peak, "pollen_type").join(hour, "pollen_type").join(per_year, "pollen_type")
-    )
+    return dates.join(hour, key).join(per_year, key)
 
 
 def data_coverage(days: DataFrame) -> DataFrame:

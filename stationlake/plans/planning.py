@@ -62,7 +62,7 @@ def stock_headline(plan: DataFrame, gaps: DataFrame) -> DataFrame:
             F.col("__first.stock_ready_week").alias("first_ready_week"),
             "yearly_pollen",
         ),
-        quantiles(plan, key, "typical_peak", {"typical_peak": 0.5}),
+        quantiles(plan, key, {"typical_peak": {"typical_peak": 0.5}}),
         gaps.groupBy(*key).agg(F.max("median").alias("largest_gap")),
     ]
     return reduce(lambda a, b: a.join(b, key, "left"), parts)

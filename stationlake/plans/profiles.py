@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationlake.operators.order_stats import quantiles
-from stationlake.operators.reshape import unpivot
+from stationlake.operators.reshape import labelled
 
 
 def describe(
@@ -37,13 +37,14 @@ def describe(
         sketch = [F.percentile_approx(value, q).alias(n) for n, q in names.items()]
         return rows.groupBy(*groups).agg(*basic, *sketch)
     return rows.groupBy(*groups).agg(*basic).join(
-        quantiles(rows, groups, value, names), list(groups)
+        quantiles(rows, groups, {value: names}), list(groups)
     )
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Minimum, maximum, mean, median, values and missing values of each column, one row each."""
-    long = unpivot(df, [], {c: c for c in columns}, "column", "value", keep_null=True)
+    values = {c: F.col(c).cast("double") for c in columns}
+    long = df.select(labelled(values, "column", "value"))
     basic = long.groupBy("column").agg(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
@@ -51,7 +52,10 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count("value").alias("n_values"),
         (F.count(F.lit(1)) - F.count("value")).alias("n_missing"),
     )
-    middle = quantiles(long, ["column"], "value", {"q50": 0.5})
+    medians = quantiles(df, [], {c: {f"m{i}": 0.5} for i, c in enumerate(columns)})
+    middle = medians.select(
+        labelled({c: F.col(f"m{i}") for i, c in enumerate(columns)}, "column", "q50")
+    )
     return basic.join(middle, "column", "left")
 
 

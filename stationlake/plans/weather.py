@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,12 +72,18 @@ def paired_effects(
     The cuts are exact quantiles and belong to both sides.
     """
     keys = ["pollen_type", "city"]
-    wind = quantiles(days, keys, "wind_speed_avg_kmh", {"calm": 1 / 3, "windy": 2 / 3})
-    heat = quantiles(days, keys, "temperature_max_c", {"cool": 1 / 3, "warm": 2 / 3})
+    cuts = quantiles(
+        days,
+        keys,
+        {
+            "wind_speed_avg_kmh": {"calm": 1 / 3, "windy": 2 / 3},
+            "temperature_max_c": {"cool": 1 / 3, "warm": 2 / 3},
+        },
+    )
     rows = days.select(
         *keys, "ratio", "precipitation_mm", "wind_speed_avg_kmh", "temperature_max_c"
     )
-    cut = rows.join(wind, keys, "left").join(heat, keys, "left")
+    cut = rows.join(cuts, keys, "left")
 
     def mean_where(condition: Column) -> Column:
         return F.avg(F.when(condition, F.col("ratio")))
@@ -184,9 +189,10 @@ def rain_event_summary(events: DataFrame, within: int = 2) -> DataFrame:
         share(F.col("recovery_days") <= within).alias("recovered_within"),
         share(F.col("recovery_days").isNull()).alias("not_recovered"),
     )
-    drop = quantiles(events, key, "drop", {"median_drop": 0.5})
-    recovery = quantiles(events, key, "recovery_days", {"median_recovery_days": 0.5})
-    return reduce(lambda a, b: a.join(b, key, "left"), [shares, drop, recovery])
+    medians = quantiles(
+        events, key, {"drop": {"median_drop": 0.5}, "recovery_days": {"median_recovery_days": 0.5}}
+    )
+    return shares.join(medians, key, "left")
 
 
 def recovery_curve(
@@ -230,7 +236,7 @@ def box_statistics(
     """
     groups = list(groups)
     kept = days.filter(F.col(value) >= minimum).select(*groups, value)
-    box = quantiles(kept, groups, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    box = quantiles(kept, groups, {value: {"q1": 0.25, "median": 0.5, "q3": 0.75}})
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
     return (
