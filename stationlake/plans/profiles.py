@@ -25,6 +25,9 @@ def describe(
     no second pass.
     """
     rows = df if at_least is None else df.filter(F.col(value) >= at_least)
+    if not groups:
+        whole = rows.withColumn("__all", F.lit(0))
+        return describe(whole, ["__all"], value, percentiles, None, approximate).drop("__all")
     names = {f"p{round(q * 100)}": q for q in percentiles}
     basic = [
         F.count(value).alias("count"),
