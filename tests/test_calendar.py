@@ -30,8 +30,13 @@ def day(text):
         ("2024-01-01 23:30:00", "2024-01-02 00:30:00"),
     ],
 )
-def test_local_time(spark, utc, local):
-    assert one(spark, cal.local_time(ntz(utc))) == dt.datetime.fromisoformat(local)
+@pytest.mark.parametrize("session_zone", ["UTC", "America/New_York"])
+def test_local_time(spark, utc, local, session_zone):
+    spark.conf.set("spark.sql.session.timeZone", session_zone)
+    try:
+        assert one(spark, cal.local_time(ntz(utc))) == dt.datetime.fromisoformat(local)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])

@@ -24,6 +24,11 @@ def seasons_of(spark, sf, site: str = "r_name"):
     return marts.seasons(obs_daily(spark, sf, site))
 
 
+def days_and_seasons(spark, sf, site: str = "r_name"):
+    days = obs_daily(spark, sf, site)
+    return days, marts.seasons(days)
+
+
 @register(
     "seasons_with_doy",
     sql.query(

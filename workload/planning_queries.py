@@ -8,7 +8,7 @@ from workload import sql
 from workload.climatology_queries import SEASONS, seasons_of
 from workload.fixtures import MODERATE, obs_daily, regions_of
 from workload.registry import register
-from workload.risk_queries import DAYS, FLAGS, RISK_CTES, flags_of, risk_of
+from workload.risk_queries import DAYS, FLAGS, RISK_CTES, flags_of, risk_from
 
 CAP = sql.capital()
 WEEKS = ["earliest_start", "typical_start", "typical_peak", "typical_end", "yearly_pollen"]
@@ -219,7 +219,8 @@ EVENT_RISK = "event_risk AS (SELECT city, week, avg(problem::INTEGER) AS problem
 
 
 def event_days_of(spark, sf):
-    return pl.event_days(obs_daily(spark, sf), risk_of(spark, sf), level=MODERATE)
+    days = obs_daily(spark, sf)
+    return pl.event_days(days, risk_from(spark, sf, days), level=MODERATE)
 
 
 @register("event_factors_pooled", sql.query(EVENT_CTES, POOLED, ["share"]))

@@ -109,8 +109,12 @@ RISK_CTES = [*HOURS, ROLLING, RISK]
 
 
 def risk_of(spark, sf):
+    return risk_from(spark, sf, obs_daily(spark, sf))
+
+
+def risk_from(spark, sf, days):
     return rk.risk_days(
-        obs_daily(spark, sf), hourly_mart(spark, sf), levels=HIGH, ozone_limit=OZONE, pm25_limit=PM25
+        days, hourly_mart(spark, sf), levels=HIGH, ozone_limit=OZONE, pm25_limit=PM25
     )
 
 

@@ -8,7 +8,7 @@ from stationlake.model import MEASURED_COLUMNS, MEASURED_SEASONS, measured_seaso
 from stationlake.plans import planning as pl
 from stationlake.plans import statistics as st
 from workload import sql
-from workload.climatology_queries import SEASONS, seasons_of
+from workload.climatology_queries import SEASONS, days_and_seasons
 from workload.fixtures import obs_daily, sites, table
 from workload.planning_queries import INDEX
 from workload.registry import register
@@ -66,8 +66,8 @@ DRIVER_FLOATS = ["year_total", "index", *st.DRIVERS]
 
 
 def drivers_of(spark, sf):
-    seasons = seasons_of(spark, sf)
-    return st.season_drivers(pl.intensity(seasons), obs_daily(spark, sf), seasons)
+    days, seasons = days_and_seasons(spark, sf)
+    return st.season_drivers(pl.intensity(seasons), days, seasons)
 
 
 @register(
@@ -120,6 +120,11 @@ def _(spark, sf):
     return triggers_of(spark, sf)
 
 
+def comparison_of(spark, sf):
+    days, seasons = days_and_seasons(spark, sf)
+    return st.trigger_vs_fixed(st.campaign_trigger(days, level=LEVEL), seasons)
+
+
 COMPARE = """
 timing AS (
   SELECT t.city, t.year, date_diff('day', season_start, trigger) AS a,
@@ -137,7 +142,7 @@ compared AS (
     sql.query([*SEASONS, TRIGGER, COMPARE], "SELECT * FROM compared", ints=["days_vs_season"]),
 )
 def _(spark, sf):
-    return st.trigger_vs_fixed(triggers_of(spark, sf), seasons_of(spark, sf))
+    return comparison_of(spark, sf)
 
 
 @register(
@@ -150,7 +155,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return st.trigger_summary(st.trigger_vs_fixed(triggers_of(spark, sf), seasons_of(spark, sf)))
+    return st.trigger_summary(comparison_of(spark, sf))
 
 
 MEASURED = "measured({}) AS (VALUES {})".format(

@@ -6,8 +6,7 @@ from stationlake.model import SPECIES, WEATHER_SPECIES, daily_columns, subset
 from stationlake.plans import climatology as cl
 from stationlake.plans import weather as we
 from workload import sql
-from workload.climatology_queries import SEASONS, seasons_of
-from workload.fixtures import obs_daily
+from workload.climatology_queries import SEASONS, days_and_seasons
 from workload.registry import register
 
 CAP = sql.capital()
@@ -46,7 +45,7 @@ season_days AS (
 
 
 def season_days_of(spark, sf, site="r_name", columns=COLUMNS):
-    return cl.season_days(obs_daily(spark, sf, site), seasons_of(spark, sf, site), columns)
+    return cl.season_days(*days_and_seasons(spark, sf, site), columns)
 
 
 @register(
@@ -160,7 +159,7 @@ rain_events AS (
 
 
 def events_of(spark, sf):
-    return we.rain_events(obs_daily(spark, sf, "n_name"), seasons_of(spark, sf, "n_name"))
+    return we.rain_events(*days_and_seasons(spark, sf, "n_name"))
 
 
 @register(
