@@ -11,6 +11,8 @@ is the same as that of the plain window, for any spacing of the rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,10 +39,10 @@ def with_neighbours(
     """Add ``prev`` and ``next``: arrays of the neighbouring rows' ``values``, in row order.
 
     ``prev`` holds up to ``before`` rows and ``next`` up to ``after`` rows; they
-    are shorter only at the ends of the series. ``order`` must be unique and not
-    null within ``keys`` and ``bucket`` must not decrease along it. ``short``
-    says that a series is small by construction (a site's year of days); it is
-    then ordered in one piece.
+    are shorter only at the ends of the series. ``keys`` and ``order`` are the
+    table's primary key: unique, never null. ``bucket`` must not decrease along
+    the order. ``short`` says that a series is small by construction (a site's
+    year of days); it is then ordered in one piece.
 
     One shuffle of the rows by (keys, bucket). The window over ``keys`` alone
     sees one row per bucket, a number bounded by the time span. The join back
@@ -59,7 +61,12 @@ def with_neighbours(
         return df.select("*", *neighbours(Window.partitionBy(*keys).orderBy(order)))
 
     in_bucket = Window.partitionBy(*keys, _BUCKET).orderBy(order)
-    rows = df.withColumn(_BUCKET, month_of(order) if bucket is None else bucket).select(
+    bucketed = df.withColumn(_BUCKET, month_of(order) if bucket is None else bucket)
+    # The rows and their edges below must start from equal inputs to share a shuffle, so
+    # the null checks of the join are stated here instead of being pushed into one of them.
+    present = reduce(and_, [F.col(c).isNotNull() for c in (*keys, _BUCKET)])
+    placed = bucketed.filter(present)
+    rows = placed.select(
         "*",
         *neighbours(in_bucket),
         (F.row_number().over(in_bucket) == 1).alias(_FIRST),
@@ -89,7 +96,7 @@ def with_neighbours(
         edges = edges.withColumn("__carry_head", _first(F.flatten(later), after))
     carried = edges.drop(_TAIL, _HEAD)
 
-    joined = rows.join(carried, [*keys, _BUCKET], "left")
+    joined = rows.join(carried, [*keys, _BUCKET])
     if before:
         missing = (F.size("prev") < before) & F.col("__carry_tail").isNotNull()
         filled = _last(F.concat("__carry_tail", "prev"), before)
@@ -114,8 +121,13 @@ def rolling_mean(
 
     Counts rows, not hours: a gap shortens nothing. Nulls are skipped; at the
     start of the series the mean covers the rows there are.
+
+    Pass a narrow table: all its columns travel with the neighbours, so that
+    the rows and their edge summary read the same columns and share one scan
+    and one shuffle.
     """
-    n = with_neighbours(df, keys, order, [value], before=rows - 1, bucket=bucket)
+    values = [c for c in df.columns if c not in keys]
+    n = with_neighbours(df, keys, order, values, before=rows - 1, bucket=bucket)
     window = F.concat(F.transform("prev", lambda r: r[value]), F.array(F.col(value)))
     present = F.filter(window, lambda v: v.isNotNull())
     total = F.aggregate(present, F.lit(0.0), lambda acc, v: acc + v)

@@ -78,7 +78,10 @@ def forecast_alerts(
     long = unpivot(future, ["city", "time"], columns, "pollen_type", "value", keep_null=True)
     filled = long.withColumn("value", F.coalesce("value", F.lit(0.0)))
     keys = ["city", "pollen_type"]
-    starts = first_run(filled, keys, "time", F.col("value") >= level, run, "from_time")
+    # A snapshot holds a few days of hours per series.
+    starts = first_run(
+        filled, keys, "time", F.col("value") >= level, run, "from_time", short=True
+    )
     peaks = filled.groupBy(*keys).agg(F.max("value").alias("peak"))
     return starts.join(peaks, keys).select(
         F.lit("forecast").alias("kind"), "city", "pollen_type", "from_time", "peak"

@@ -231,11 +231,15 @@ def season_headline(
         "pollen_type", F.col("hour_local").alias("cleanest_hour")
     )
     names = {c.removeprefix("high_"): c for c in flags.columns if c.startswith("high_") and c != "high_any"}
-    sites = F.lit(n_sites) if n_sites else F.count_distinct("city")
-    totals = flags.agg(
+    # Per site and year first: two distinct counts over the days would multiply the days.
+    per_site_year = flags.groupBy("city", "year").agg(
+        *[F.sum(F.col(c).cast("int")).alias(s) for s, c in names.items()]
+    )
+    sites = F.count_distinct("city") if n_sites is None else F.max(F.lit(n_sites))
+    totals = per_site_year.agg(
         F.count_distinct("year").alias("__years"),
-        sites.alias("__sites") if not n_sites else F.max(sites).alias("__sites"),
-        *[F.sum(F.col(c).cast("int")).cast("double").alias(s) for s, c in names.items()],
+        sites.alias("__sites"),
+        *[F.sum(s).cast("double").alias(s) for s in names],
     )
     per_year = unpivot(
         totals.select(

@@ -24,15 +24,17 @@ def hour_window(
 ) -> DataFrame:
     """Local hours from ``start`` up to but not including ``end``.
 
-    The dates are also compared as dates, the partition column of the stored
-    table. Sites outside the site dimension are not returned.
+    A stored table is partitioned by the UTC ``year``, which is then filtered
+    too. Sites outside the site dimension are not returned.
     """
     columns = list(columns or hourly_columns().values())
     rows = hours.filter(
         (F.col("time_local") >= F.lit(start).cast("timestamp_ntz"))
         & (F.col("time_local") < F.lit(end).cast("timestamp_ntz"))
-        & F.col("date_local").between(F.lit(start), F.lit(end))
     )
+    if "year" in hours.columns:
+        near = (start - timedelta(days=1)).year, (end + timedelta(days=1)).year
+        rows = rows.filter(F.col("year").between(*near))
     if site is not None:
         rows = rows.filter(F.col("city") == site)
     if sites is not None:

@@ -70,10 +70,19 @@ def upsert(
     write_by_year(spark.read.parquet(staged), path)
 
 
+def store_mart(df: DataFrame, path: str, time: str) -> None:
+    """Write a mart partitioned by the year of ``time``; readers prune by the ``year`` column."""
+    write_by_year(df.withColumn("year", F.year(time)), path)
+
+
 def write_by_year(df: DataFrame, path: str) -> None:
-    """Replace the years present in ``df`` and keep all others."""
+    """Replace the years present in ``df`` and keep all others.
+
+    The rebalance groups the rows by year for few files, and splits a year that
+    is too large for one task.
+    """
     (
-        df.repartition("year", *([F.col("city")] if "city" in df.columns else []))
+        df.hint("rebalance", F.col("year"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stationlake.model import LOAD_LOG_SCHEMA, ZONE, site_dimension
 from stationlake.sources import landing, tables
-from tests.helpers import rows
+from tests.helpers import hours, rows
 
 VARIABLES = ["alder_pollen", "birch_pollen"]
 BODY = json.dumps(
@@ -162,3 +162,18 @@ def test_latest_forecast(spark):
     )
     older = tables.latest_forecast(df, ["v"], as_of=dt.datetime(2026, 4, 30, 12))
     assert older.count() == 4
+
+
+def test_a_stored_mart_is_pruned_by_year(spark, tmp_path):
+    from stationlake.plans.hours import hour_window
+
+    path = str(tmp_path / "hourly")
+    listed = [("a", t, t.date(), 1.0) for y in (2022, 2023, 2024) for t in hours(f"{y}-12-31T20:00", 8)]
+    df = spark.createDataFrame(listed, "city string, time_local timestamp_ntz, date_local date, v double")
+    tables.store_mart(df, path, "time_local")
+    window = hour_window(
+        spark.read.parquet(path), dt.date(2023, 12, 31), dt.date(2024, 1, 1), columns=["v"]
+    )
+    assert window.count() == 4
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
