@@ -61,11 +61,7 @@ def with_neighbours(
         return df.select("*", *neighbours(Window.partitionBy(*keys).orderBy(order)))
 
     in_bucket = Window.partitionBy(*keys, _BUCKET).orderBy(order)
-    bucketed = df.withColumn(_BUCKET, month_of(order) if bucket is None else bucket)
-    # The rows and their edges below must start from equal inputs to share a shuffle, so
-    # the null checks of the join are stated here instead of being pushed into one of them.
-    present = reduce(and_, [F.col(c).isNotNull() for c in (*keys, _BUCKET)])
-    placed = bucketed.filter(present)
+    placed = _in_buckets(df, keys, order, bucket)
     rows = placed.select(
         "*",
         *neighbours(in_bucket),
@@ -126,12 +122,37 @@ def rolling_mean(
     the rows and their edge summary read the same columns and share one scan
     and one shuffle.
     """
-    values = [c for c in df.columns if c not in keys]
-    n = with_neighbours(df, keys, order, values, before=rows - 1, bucket=bucket)
-    window = F.concat(F.transform("prev", lambda r: r[value]), F.array(F.col(value)))
-    present = F.filter(window, lambda v: v.isNotNull())
-    total = F.aggregate(present, F.lit(0.0), lambda acc, v: acc + v)
-    return n.withColumn(result, F.try_divide(total, F.size(present))).drop("prev", "next")
+    keys, back = list(keys), rows - 1
+    whole = Window.partitionBy(*keys, _BUCKET)
+    window = whole.orderBy(order).rowsBetween(-back, 0)
+    numbered = _in_buckets(df, keys, order, bucket).select(
+        "*",
+        F.row_number().over(whole.orderBy(order)).alias("__row"),
+        F.count(F.lit(1)).over(whole).alias("__rows"),
+        F.sum(value).over(window).alias("__sum"),
+        F.count(value).over(window).alias("__n"),
+    )
+    # Only the first rows of a bucket miss something: the last rows before the bucket.
+    travelling = F.struct("__row", *[c for c in df.columns if c not in keys])
+    tails = (
+        numbered.filter(F.col("__rows") - F.col("__row") < back)
+        .groupBy(*keys, _BUCKET)
+        .agg(F.sort_array(F.collect_list(travelling)).alias(_TAIL))
+    )
+    earlier = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(-back, -1)
+    carried = tails.select(
+        *keys, _BUCKET, _last(F.flatten(F.collect_list(_TAIL).over(earlier)), back).alias("__carry")
+    )
+    missing = F.lit(rows) - F.col("__row")
+    extra = F.filter(
+        F.transform(_last(F.col("__carry"), missing), lambda r: r[value]), lambda v: v.isNotNull()
+    )
+    first_rows = F.col("__row") < rows
+    extra_sum = F.aggregate(extra, F.lit(0.0), lambda acc, v: acc + v)
+    total = F.when(first_rows, F.coalesce("__sum", F.lit(0.0)) + extra_sum).otherwise(F.col("__sum"))
+    n = F.when(first_rows, F.col("__n") + F.size(extra)).otherwise(F.col("__n"))
+    joined = numbered.join(carried, [*keys, _BUCKET])
+    return joined.select(*df.columns, F.try_divide(total, n).alias(result))
 
 
 def rolling_mean_hours(
@@ -157,12 +178,26 @@ def rolling_mean_hours(
     return n.withColumn(result, F.try_divide(total, F.size(present))).drop("prev", "next")
 
 
+def _in_buckets(
+    df: DataFrame, keys: Sequence[str], order: str, bucket: Column | None
+) -> DataFrame:
+    """Rows with their bucket.
+
+    A series is read twice, for its rows and for its edges. The join of both
+    would push null checks into one of them and so keep them from sharing a
+    shuffle; stated here, the checks are part of both.
+    """
+    bucketed = df.withColumn(_BUCKET, month_of(order) if bucket is None else bucket)
+    return bucketed.filter(reduce(and_, [F.col(c).isNotNull() for c in (*keys, _BUCKET)]))
+
+
 def _first(array: Column, n: int) -> Column:
     return F.slice(array, 1, n)
 
 
-def _last(array: Column, n: int) -> Column:
-    return F.slice(array, F.greatest(F.size(array) - (n - 1), F.lit(1)), F.lit(n))
+def _last(array: Column, n: int | Column) -> Column:
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.slice(array, F.greatest(F.size(array) - n + 1, F.lit(1)), n)
 
 
 def _array_of(df: DataFrame, values: Sequence[str]) -> str:

@@ -37,7 +37,7 @@ PAIRS = [(a, b) for i, a in enumerate(st.CORRELATED) for b in st.CORRELATED[:i]]
             f"ranked AS (SELECT {_ranks(st.CORRELATED)} FROM season_days)",
         ],
         " UNION ALL ".join(
-            f"SELECT '{a}' AS var1, '{b}' AS var2, corr(r_{a}, r_{b}) AS rho, count(*) AS n FROM ranked"
+            f"SELECT '{a}' AS var1, '{b}' AS var2, nullif(corr(r_{a}, r_{b}), 'nan'::DOUBLE) AS rho, count(*) AS n FROM ranked"
             for a, b in PAIRS
         ),
         ["rho"],
@@ -79,7 +79,7 @@ def _(spark, sf):
 
 def _by_species(driver: str) -> str:
     ranked = f"SELECT pollen_type, {_ranks(['index', driver], 'PARTITION BY pollen_type')} FROM drivers WHERE {driver} IS NOT NULL"
-    return f"""SELECT pollen_type, '{driver}' AS driver, corr(r_index, r_{driver}) AS rho, count(*) AS n
+    return f"""SELECT pollen_type, '{driver}' AS driver, nullif(corr(r_index, r_{driver}), 'nan'::DOUBLE) AS rho, count(*) AS n
                FROM ({ranked}) GROUP BY ALL"""
 
 
