@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from stationlake.model import ZONE
 
 
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT")
+
+
 def local_time(utc: Column | str, zone: str = ZONE) -> Column:
     """UTC wall time -> local wall time; the autumn hour repeats, the spring hour is skipped.
 
@@ -15,7 +18,7 @@ def local_time(utc: Column | str, zone: str = ZONE) -> Column:
     times faster per row; both give the same result there.
     """
     session = SparkSession.getActiveSession()
-    if session is not None and session.conf.get("spark.sql.session.timeZone") == "UTC":
+    if session is not None and session.conf.get("spark.sql.session.timeZone") in UTC_NAMES:
         return F.from_utc_timestamp(_col(utc).cast("timestamp"), zone).cast("timestamp_ntz")
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), _col(utc))
 
