@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import DATA
+from workload.registry import QUERIES
 
 SF = str(DATA / "sf0.001")
 STORING = {"upsert_table", "snapshot_roundtrip"}
-LAZY = sorted(n for n in entry.queries() if n not in STORING and not n.startswith("stream_"))
+LAZY = sorted(n for n in QUERIES if n not in STORING and not n.startswith("stream_"))
 
 
 def plan(df) -> str:
