@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stationlake.llm import decontaminate
+from stationlake.llm import decontaminate, neardup
 from stationlake.llm.frames import table
 from stationlake.llm.registry import register
 
@@ -49,3 +49,8 @@ def decontamination(spark, sf_dir):
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@register("op9_near_duplicates")
+def near_duplicates(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
