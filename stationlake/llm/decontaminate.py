@@ -25,16 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationlake.llm.frames import as_bytes, extended, others
+from stationlake.llm.hashing import LETTERS
 
-_TABLE = bytes(
-    c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
-)
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 ADDED = "n_words long, n_hit long, item_ids array<string>, spans array<struct<first: int, last: int>>"
 
 
 def words(text: bytes | None) -> list[bytes]:
-    return text.translate(_TABLE).split() if text else []
+    return text.translate(LETTERS).split() if text else []
 
 
 class Windows:

@@ -13,6 +13,10 @@ _PLACES = _RANDOM.integers(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _powers = np.ones(1, np.uint64)
 #: A-Z in lower case; tab to carriage return and space are white space, all else belongs to words.
 SPACED = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
+#: A-Z in lower case; digits, letters and all bytes beyond ASCII belong to words.
+LETTERS = bytes(
+    c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
+)
 
 
 def _power(n: int) -> np.ndarray:
@@ -86,3 +90,65 @@ def shingle_sets(texts: list[bytes | None], size: int = 5) -> Iterator[np.ndarra
                 yield mixed(np.array([whole], np.uint64))
             else:
                 yield np.empty(0, np.uint64)
+
+
+class Lookup:
+    """Positions of unsigned 64-bit keys by open addressing, for whole arrays at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.n = len(keys)
+        self.bits = max(int(4 * self.n - 1).bit_length(), 4)
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.keys = np.append(keys.astype(np.uint64), np.uint64(0))
+        left, slot, self.probes = np.arange(self.n), self._slot(self.keys[:-1]), 0
+        while len(left):
+            self.probes += 1
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            placed = self.slots[slot] == left
+            left, slot = left[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _STEP) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, or the number of keys where absent."""
+        slot = self._slot(keys)
+        at = self.slots[slot]
+        out = np.where(at >= 0, at, self.n)
+        open_ = np.flatnonzero((at >= 0) & (self.keys[at] != keys))
+        for _ in range(self.probes - 1):
+            if not len(open_):
+                break
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            at = self.slots[slot[open_]]
+            out[open_] = np.where(at >= 0, at, self.n)
+            open_ = open_[(at >= 0) & (self.keys[at] != keys[open_])]
+        out[open_] = self.n
+        return out
+
+
+def spelled(texts: list[bytes | None], order: int, table: bytes = LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every byte of every word, and its end, packed with up to ``order`` - 1 bytes before it.
+
+    A space stands for the start and the end of a word; no gram reaches beyond
+    its word. Gives the grams in order, where each text's grams start, and the
+    number of words of each text.
+    """
+    joined = b" " + b" ".join([t.translate(table) if t else b"" for t in texts]) + b" "
+    codes = np.frombuffer(joined, np.uint8)
+    letter = codes != 0x20
+    wanted = letter[1:] | letter[:-1]
+    packed = codes[1:].astype(np.uint64)
+    inside = np.ones(len(packed), bool)
+    for j in range(1, order):
+        earlier = np.zeros(len(packed), np.uint64)
+        earlier[j - 1 :] = codes[: len(codes) - j]
+        packed |= np.where(inside, earlier << np.uint64(8 * j), np.uint64(0))
+        before = np.zeros(len(packed), bool)
+        before[j - 1 :] = letter[: len(codes) - j]
+        inside &= before
+    offsets = np.concatenate(([0], np.cumsum([(len(t) if t else 0) + 1 for t in texts])))
+    starts = np.concatenate(([0], np.cumsum(wanted)))[offsets]
+    words = np.diff(np.concatenate(([0], np.cumsum(letter[:-1] & ~letter[1:])))[offsets])
+    return packed[wanted], starts, words

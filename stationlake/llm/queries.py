@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stationlake.llm import decontaminate, neardup
+from stationlake.llm import decontaminate, neardup, toxicity
 from stationlake.llm.frames import table
 from stationlake.llm.registry import register
 
@@ -54,3 +54,13 @@ def decontamination(spark, sf_dir):
 @register("op9_near_duplicates")
 def near_duplicates(spark, sf_dir):
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op7_toxicity")
+def toxic(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held_out = F.coalesce(toxicity.fold("doc_id") == 0, F.lit(False))
+    return toxicity.scored(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted", "ratio"
+    )
