@@ -7,12 +7,13 @@ agrees with probability 0.56, so a pair meets in no table with probability
 4e-6 at 16 bands. A table key can be shared only if both its halves are, so
 halves that one document holds alone are dropped before pairs are formed.
 
-Documents with equal sets are one node. In each bucket every node is first
-compared with one leader; buckets that lie in one component after that are
-done. Nodes of the remaining buckets are compared across components, each pair
-once. So copies are never expanded into all pairs, and no link between
-different texts is lost. Pairs that agree in fewer than ``least`` of the
-2 * bands keys are not compared: 18 are expected at similarity 0.75.
+Documents with equal sets are one node. In turns, every node whose bucket holds
+several components is compared with a few leaders of other components, until a
+turn finds no link. Nodes that then still share a bucket but no component are
+compared across components, each pair once. So copies are never expanded into
+all pairs, and no link between different texts is lost. Pairs that agree in
+fewer than ``least`` of the 2 * bands halves are not compared: 18 are expected
+at similarity 0.75.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; rows with the same doc_id count as one document; rows without doc_id
@@ -146,44 +147,40 @@ def classes(
     nodes = stored(
         known.groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes"
     )
-    halves = nodes.select("rep", F.posexplode(F.concat("a", "b")).alias("band", "half"))
-    shared = halves.groupBy("half").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("half")
-    own = (
-        halves.join(shared, "half", "left_semi")
-        .groupBy("rep")
-        .agg(
-            F.collect_set(F.when(F.col("band") < bands, F.col("half"))).alias("x"),
-            F.collect_set(F.when(F.col("band") >= bands, F.col("half"))).alias("y"),
-        )
-    )
-    keys = own.select("rep", F.explode("x").alias("x"), "y").select("rep", "x", F.explode("y").alias("y"))
-    buckets = stored(keys.select("rep", F.xxhash64("x", "y").alias("bucket")), "buckets")
-    leaders = buckets.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("bucket", F.col("lo").alias("v"))
-    met = buckets.join(leaders, "bucket")
-    stars = _agreeing(met.select(F.col("rep").alias("u"), "v").filter("u <> v").distinct(), nodes, percent, least)
-    sets = _shingles(rows, met.select("rep").distinct(), size)
-    links = stored(_linked(stars, sets, percent), "links")
-    labels = components(links)
-    # Buckets that still hold several components: every pair across them, once.
-    labelled = buckets.join(labels, "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-    open_ = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-    left = stored(
-        labelled.join(open_, "bucket", "left_semi").select("rep", "c").distinct().join(nodes, "rep").select("rep", "c", "n", "a", "b", F.explode("a").alias("half")),
-        "left",
-    )
+    every = nodes.select("rep", F.posexplode(F.concat("a", "b")).alias("band", "half"))
+    shared = every.groupBy("half").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("half")
+    halves = every.join(shared, "half", "left_semi")
+    # A table key needs a half from either collection.
+    meeting = halves.groupBy("rep").agg(F.min("band").alias("lo"), F.max("band").alias("hi")).filter((F.col("lo") < bands) & (F.col("hi") >= bands))
+    halves = stored(halves.join(meeting, "rep", "left_semi"), "halves")
+    nodes_met = stored(nodes.join(meeting, "rep", "left_semi"), "met")
+    sets = _shingles(rows, meeting.select("rep"), size)
+    links = spark.createDataFrame([], "u long, v long")
+    labels, turn = components(links), 0
+    while True:
+        pairs = _keep_agreeing(_leaders(_labelled(halves, labels), turn), nodes_met, percent, least)
+        new = stored(_linked(pairs, sets, percent), "links")
+        if new.isEmpty():
+            break
+        links, turn = links.unionByName(new), turn + 1
+        labels = components(links)
+    # What still lies apart although it shares a key: every pair across components, once.
+    labelled = _labelled(halves, labels)
+    apart = labelled.join(_open(labelled), "half", "left_semi")
+    left = nodes_met.join(apart.filter(F.col("band") < bands).select("rep", "c", "half"), "rep")
+    left = left.join(apart.filter(F.col("band") >= bands).select("rep"), "rep", "left_semi")
+    left = stored(left, "left")
     p, q = left.alias("p"), left.alias("q")
-    agreeing = F.size(F.array_intersect("p.a", "q.a")) + F.size(F.array_intersect("p.b", "q.b"))
     across = p.join(
         q,
         (F.col("p.half") == F.col("q.half"))
         & (F.col("p.c") < F.col("q.c"))
-        & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n"))
-        & (F.array_intersect("p.a", "q.a")[0] == F.col("p.half"))
-        & F.arrays_overlap("p.b", "q.b")
-        & (agreeing >= least),
+        & _near("p.", "q.", percent, least)
+        & (F.array_intersect("p.a", "q.a")[0] == F.col("p.half")),
     ).select(F.col("p.rep").alias("u"), F.col("q.rep").alias("v"))
     more = stored(_linked(across, sets, percent), "links")
-    labels = components(links.unionByName(more))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     of_node = nodes.select("n", "h1", "h2", "rep").join(labels, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     found = sketch.select("doc", "n", "h1", "h2").join(of_node, ["n", "h1", "h2"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
@@ -192,12 +189,42 @@ def classes(
     )
 
 
-def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int, least: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose keys agree often enough."""
+def _labelled(halves: DataFrame, labels: DataFrame) -> DataFrame:
+    return halves.join(labels, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+
+
+def _open(labelled: DataFrame, *more: Column) -> DataFrame:
+    """Halves whose nodes lie in several components."""
+    return labelled.groupBy("half").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *more).filter("lo < hi").drop("lo", "hi")
+
+
+def _leaders(labelled: DataFrame, turn: int, most: int = 4) -> DataFrame:
+    """Each node with up to ``most`` leaders of other components, those it shares most halves with.
+
+    Every open half has two leaders, others in every turn. No node gets more
+    pairs than ``most``, however many nodes share a half; this only saves work,
+    as what lies apart in the end is compared in full.
+    """
+    rank = F.struct(F.xxhash64("rep", F.lit(turn)).alias("order"), "rep", "c") if turn else F.struct("rep", "c")
+    leaders = _open(labelled, F.min(rank).alias("p"), F.max(rank).alias("q"))
+    leaders = leaders.select("half", F.explode(F.array("p", "q")).alias("leader")).select("half", F.col("leader.rep").alias("v"), F.col("leader.c").alias("of"))
+    met = labelled.join(leaders, "half").filter("c <> of").groupBy(F.col("rep").alias("u"), "v").agg(F.count(F.lit(1)).alias("n"))
+    # At most two leaders for each half: the list is bounded.
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "v"))), 1, most)
+    return met.groupBy("u").agg(best.alias("best")).select("u", F.explode("best.v").alias("v"))
+
+
+def _near(p: str, q: str, percent: int, least: int) -> Column:
+    """Both share a table key, agree often enough, and have sizes that allow the similarity."""
+    x, y = F.size(F.array_intersect(f"{p}a", f"{q}a")), F.size(F.array_intersect(f"{p}b", f"{q}b"))
+    sizes = 100 * F.least(f"{p}n", f"{q}n") >= percent * F.greatest(f"{p}n", f"{q}n")
+    return sizes & (x > 0) & (y > 0) & (x + y >= least)
+
+
+def _keep_agreeing(pairs: DataFrame, nodes: DataFrame, percent: int, least: int) -> DataFrame:
     for side in ("u", "v"):
         pairs = pairs.join(nodes.select(F.col("rep").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "a", "b")]), side)
-    same = F.size(F.array_intersect("u_a", "v_a")) + F.size(F.array_intersect("u_b", "v_b"))
-    return pairs.filter((100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")) & (same >= least)).select("u", "v")
+    return pairs.filter(_near("u_", "v_", percent, least)).select("u", "v")
 
 
 def _shingles(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
