@@ -141,7 +141,7 @@ def spelled(texts: list[bytes | None], order: int, table: bytes = LETTERS) -> tu
     wanted = letter[1:] | letter[:-1]
     packed = codes[1:].astype(np.uint64)
     inside = np.ones(len(packed), bool)
-    for j in range(1, order):
+    for j in range(1, min(order, len(codes))):
         earlier = np.zeros(len(packed), np.uint64)
         earlier[j - 1 :] = codes[: len(codes) - j]
         packed |= np.where(inside, earlier << np.uint64(8 * j), np.uint64(0))

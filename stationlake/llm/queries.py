@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from stationlake.llm import decontaminate, neardup, toxicity
+from stationlake.llm import decontaminate, neardup, pieces, toxicity
 from stationlake.llm.frames import table
 from stationlake.llm.registry import register
 
@@ -37,6 +38,21 @@ FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+@register("op1_sentencepiece")
+def sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), n=4, keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        "score",
+        F.col("nbest.score").alias("nbest_scores"),
+        F.transform("nbest", lambda x: F.size(x["swaps"])).alias("nbest_swaps"),
+        "restored",
+    )
+
+
 @register("op4_decontamination", DECONTAMINATION)
 def decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -74,7 +74,8 @@ class Model:
         return np.concatenate(out)
 
     def scores(self, ratios: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * ratios + self.offset, -700, 700)))
+        with np.errstate(over="ignore"):  # far below 0 the score is 0
+            return 1.0 / (1.0 + np.exp(-(self.slope * ratios + self.offset)))
 
 
 def _shared(grams: np.ndarray, order: int) -> np.ndarray:
