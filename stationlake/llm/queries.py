@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from stationlake.llm import decontaminate, neardup, pieces, toxicity
+from stationlake.llm import decontaminate, neardup, pieces, shards, toxicity
 from stationlake.llm.frames import table
 from stationlake.llm.registry import register
 
@@ -80,3 +80,16 @@ def toxic(spark, sf_dir):
     return toxicity.scored(docs, model, keep=["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "score", "predicted", "ratio"
     )
+
+
+@register("op10_sharding")
+def sharding(spark, sf_dir):
+    return shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 40).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
