@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from stationlake.llm import decontaminate, neardup, pieces, shards, toxicity
+from stationlake.llm import decontaminate, hamming, neardup, pieces, shards, toxicity
 from stationlake.llm.frames import table
 from stationlake.llm.registry import register
 
@@ -93,3 +93,9 @@ def sharding(spark, sf_dir):
         F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@register("op6_nearest_neighbours")
+def nearest_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hamming.search(vectors, vectors.filter("vec_id % 100 = 0"))
