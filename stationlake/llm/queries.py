@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from stationlake.llm import decontaminate, hamming, neardup, pieces, shards, toxicity
+from stationlake.llm import decontaminate, hamming, neardup, pieces, shards, tokenfiles, toxicity
 from stationlake.llm.frames import table
 from stationlake.llm.registry import register
+from stationlake.session import work_path
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -99,3 +100,10 @@ def sharding(spark, sf_dir):
 def nearest_neighbours(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return hamming.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@register("op3_token_files")
+def token_files(spark, sf_dir):
+    path = work_path(spark, "tokens")
+    tokenfiles.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.read(spark, path, with_ids=False)
