@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from stationlake.llm import decontaminate, hamming, neardup, pieces, shards, tokenfiles, toxicity
+from stationlake.llm import decontaminate, hamming, neardup, pieces, separators, shards, tokenfiles, toxicity
 from stationlake.llm.frames import table
 from stationlake.llm.registry import register
 from stationlake.session import work_path
@@ -107,3 +107,10 @@ def token_files(spark, sf_dir):
     path = work_path(spark, "tokens")
     tokenfiles.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return tokenfiles.read(spark, path, with_ids=False)
+
+
+@register("op8_separator_counts")
+def separator_counts(spark, sf_dir):
+    path = work_path(spark, "flat")
+    separators.write_flat(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return separators.documents(spark, path)
