@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from stationlake.llm import decontaminate, hamming, neardup, pieces, separators, shards, tokenfiles, toxicity
+from stationlake.llm import decontaminate, hamming, neardup, pages, pieces, separators, shards, tokenfiles, toxicity
 from stationlake.llm.frames import table
 from stationlake.llm.registry import register
 from stationlake.session import work_path
@@ -114,3 +114,9 @@ def separator_counts(spark, sf_dir):
     path = work_path(spark, "flat")
     separators.write_flat(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return separators.documents(spark, path)
+
+
+@register("op2_main_text")
+def main_text(spark, sf_dir):
+    found = pages.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
