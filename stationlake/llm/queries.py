@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from stationlake.llm import decontaminate, hamming, neardup, pages, pieces, separators, shards, tokenfiles, toxicity
+from stationlake.llm import decontaminate, hamming, neardup, pages, pieces, recurrent, separators, shards, tokenfiles, toxicity
 from stationlake.llm.frames import table
 from stationlake.llm.registry import register
 from stationlake.session import work_path
@@ -120,3 +120,8 @@ def separator_counts(spark, sf_dir):
 def main_text(spark, sf_dir):
     found = pages.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@register("op5_recurrent_scores")
+def recurrent_scores(spark, sf_dir):
+    return recurrent.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
