@@ -7,13 +7,14 @@ agrees with probability 0.56, so a pair meets in no table with probability
 4e-6 at 16 bands. A table key can be shared only if both its halves are, so
 halves that one document holds alone are dropped before pairs are formed.
 
-Documents with equal sets are one node. In turns, every node whose bucket holds
-several components is compared with a few leaders of other components, until a
-turn finds no link. Nodes that then still share a bucket but no component are
-compared across components, each pair once. So copies are never expanded into
-all pairs, and no link between different texts is lost. Pairs that agree in
-fewer than ``least`` of the 2 * bands halves are not compared: 18 are expected
-at similarity 0.75.
+Documents with equal sets are one node. In two turns, every node whose bucket
+holds several components is compared with a few leaders of other components.
+Nodes that then still share a bucket but no component are compared across
+components, each pair once. So copies are never expanded into all pairs, and no
+link between different texts is lost. Before whole sets are fetched, a pair must
+pass two tests that no linked pair fails: its sizes, and the number of odd bits
+(see ``_odd_bits``) in which it differs, which bounds the members it differs in
+from below.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; rows with the same doc_id count as one document; rows without doc_id
@@ -33,6 +34,18 @@ from stationlake.llm.graph import components
 from stationlake.llm.hashing import mixed, shingle_sets
 
 _BITS = 23
+_ODD = 16
+
+
+def _odd_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set a bit per hash value modulo 1024: whether an odd number of members has it.
+
+    Two of these differ in at most as many bits as the sets differ in members.
+    """
+    size = 64 * _ODD
+    flat = np.concatenate([(s % np.uint64(size)).astype(np.int64) + i * size for i, s in enumerate(sets)]) if sets else np.empty(0, np.int64)
+    odd = np.bincount(flat, minlength=len(sets) * size).reshape(len(sets), size) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
 
 
 def _sketcher(size: int, bands: int):
@@ -55,13 +68,14 @@ def _sketcher(size: int, bands: int):
 
     def run(batches):
         for batch in batches:
-            n, first, second, a, b = [], [], [], [], []
+            n, first, second, a, b, odd = [], [], [], [], [], []
             held: list[np.ndarray] = []
 
             def flush():
                 made = keys(held).view(np.int64)
                 a.extend(made[:, :bands])
                 b.extend(made[:, bands:])
+                odd.extend(_odd_bits(held))
                 held.clear()
 
             for s in shingle_sets(as_bytes(batch.column("__text")), size):
@@ -74,9 +88,9 @@ def _sketcher(size: int, bands: int):
                     flush()
             flush()
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second)]
-            offsets = np.arange(len(n) + 1, dtype=np.int32) * bands
             lists = [
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0, np.int64))) for x in (a, b)
+                pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * size, pa.array(np.concatenate(x) if x else np.empty(0, np.int64)))
+                for x, size in ((a, bands), (b, bands), (odd, _ODD))
             ]
             yield [pa.array(n, pa.int64()), *longs, *lists]
 
@@ -135,17 +149,17 @@ def _place(key: str) -> Column:
 
 
 def classes(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, bands: int = 16, least: int = 6
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, bands: int = 16
 ) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (smallest linked key) and ``kept`` per row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__text"))
     sketch = stored(
-        extended(rows, "n long, h1 long, h2 long, a array<long>, b array<long>", _sketcher(size, bands), keep=["doc"]), "sketch"
+        extended(rows, "n long, h1 long, h2 long, a array<long>, b array<long>, odd array<long>", _sketcher(size, bands), keep=["doc"]), "sketch"
     )
     known = sketch.filter("n > 0 AND doc IS NOT NULL")
     nodes = stored(
-        known.groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes"
+        known.groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"), *[F.first(c).alias(c) for c in ("a", "b", "odd")]), "nodes"
     )
     every = nodes.select("rep", F.posexplode(F.concat("a", "b")).alias("band", "half"))
     shared = every.groupBy("half").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("half")
@@ -155,17 +169,14 @@ def classes(
     halves = stored(halves.join(meeting, "rep", "left_semi"), "halves")
     nodes_met = stored(nodes.join(meeting, "rep", "left_semi"), "met")
     sets = _shingles(rows, meeting.select("rep"), size)
-    links = spark.createDataFrame([], "u long, v long")
-    labels, turn = components(links), 0
-    while True:
-        pairs = _keep_agreeing(_leaders(_labelled(halves, labels), turn), nodes_met, percent, least)
+    labelled, links = halves.withColumn("c", F.col("rep")), None
+    for turn in range(2):
+        pairs = _keep_near(_leaders(labelled, turn), nodes_met, percent)
         new = stored(_linked(pairs, sets, percent), "links")
-        if new.isEmpty():
-            break
-        links, turn = links.unionByName(new), turn + 1
+        links = new if links is None else links.unionByName(new)
         labels = components(links)
+        labelled = _labelled(halves, labels)
     # What still lies apart although it shares a key: every pair across components, once.
-    labelled = _labelled(halves, labels)
     apart = labelled.join(_open(labelled), "half", "left_semi")
     left = nodes_met.join(apart.filter(F.col("band") < bands).select("rep", "c", "half"), "rep")
     left = left.join(apart.filter(F.col("band") >= bands).select("rep"), "rep", "left_semi")
@@ -175,7 +186,7 @@ def classes(
         q,
         (F.col("p.half") == F.col("q.half"))
         & (F.col("p.c") < F.col("q.c"))
-        & _near("p.", "q.", percent, least)
+        & _near("p.", "q.", percent)
         & (F.array_intersect("p.a", "q.a")[0] == F.col("p.half")),
     ).select(F.col("p.rep").alias("u"), F.col("q.rep").alias("v"))
     more = stored(_linked(across, sets, percent), "links")
@@ -214,17 +225,21 @@ def _leaders(labelled: DataFrame, turn: int, most: int = 4) -> DataFrame:
     return met.groupBy("u").agg(best.alias("best")).select("u", F.explode("best.v").alias("v"))
 
 
-def _near(p: str, q: str, percent: int, least: int) -> Column:
-    """Both share a table key, agree often enough, and have sizes that allow the similarity."""
-    x, y = F.size(F.array_intersect(f"{p}a", f"{q}a")), F.size(F.array_intersect(f"{p}b", f"{q}b"))
-    sizes = 100 * F.least(f"{p}n", f"{q}n") >= percent * F.greatest(f"{p}n", f"{q}n")
-    return sizes & (x > 0) & (y > 0) & (x + y >= least)
+def _near(p: str, q: str, percent: int) -> Column:
+    """Both share a table key, and neither their sizes nor their odd bits rule the similarity out.
+
+    Sets of similarity p % differ in (100 - p) / (100 + p) of their sizes' sum at most.
+    """
+    n = [F.col(f"{x}n") for x in (p, q)]
+    apart = sum((F.bit_count(F.col(f"{p}odd")[i].bitwiseXOR(F.col(f"{q}odd")[i])) for i in range(_ODD)), F.lit(0))
+    near = (100 * F.least(*n) >= percent * F.greatest(*n)) & ((100 + percent) * apart <= (100 - percent) * (n[0] + n[1]))
+    return near & F.arrays_overlap(f"{p}a", f"{q}a") & F.arrays_overlap(f"{p}b", f"{q}b")
 
 
-def _keep_agreeing(pairs: DataFrame, nodes: DataFrame, percent: int, least: int) -> DataFrame:
+def _keep_near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     for side in ("u", "v"):
-        pairs = pairs.join(nodes.select(F.col("rep").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "a", "b")]), side)
-    return pairs.filter(_near("u_", "v_", percent, least)).select("u", "v")
+        pairs = pairs.join(nodes.select(F.col("rep").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "a", "b", "odd")]), side)
+    return pairs.filter(_near("u_", "v_", percent)).select("u", "v")
 
 
 def _shingles(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
