@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationlake.llm.tokenfiles import Encoder
+from stationlake.llm.tokenfiles import encoder
 
 _TYPES = {2: "<u2", 4: "<u4"}
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer_file: str, text: str = "text", width: int = 2) -> None:
-    """Ids of all texts, in the order of the table, as flat files: one per partition.
+def write_flat(docs: DataFrame, path: str, tokenizer_file: str, text: str = "text", width: int = 2, file_docs: int = 2000) -> None:
+    """Ids of all texts, in the order of the table, as flat files of up to ``file_docs`` documents.
 
     Null and empty texts leave a separator only. Spark's own writer makes the
     files, with the separator as the end of its lines.
@@ -35,19 +35,19 @@ def write_flat(docs: DataFrame, path: str, tokenizer_file: str, text: str = "tex
     kind = np.dtype(_TYPES[width])
 
     def run(batches):
-        encoder = Encoder(tokenizer_file)
-        if encoder.vocabulary >= np.iinfo(kind).max:
+        encode = encoder(tokenizer_file)
+        if encode.vocabulary >= np.iinfo(kind).max:
             raise ValueError(f"ids do not fit into {width} bytes")
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for at in range(0, len(texts), 512):
-                ids, n = encoder(texts[at : at + 512], -1)
+                ids, n = encode(texts[at : at + 512], -1)
                 data, ends = (ids + 1).astype(kind).tobytes(), np.cumsum(n) * width
                 rows = [data[e - k * width : e - width] for e, k in zip(ends.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
     flat = docs.select(F.col(text).alias("text")).mapInArrow(run, "ids binary")
-    flat.select(F.col("ids").cast("string").alias("ids")).write.option("lineSep", "\0" * width).text(path)
+    flat.select(F.col("ids").cast("string").alias("ids")).write.option("lineSep", "\0" * width).option("maxRecordsPerFile", file_docs).text(path)
 
 
 def _found(width: int):

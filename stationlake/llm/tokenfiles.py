@@ -19,6 +19,8 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,56 +32,114 @@ from stationlake.llm.rangecoder import decode_block, encode_block
 
 _INNER = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: A byte-level vocabulary writes each byte as a visible character: itself, or one from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_VISIBLE = {b: chr(b) for b in _PLAIN} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 BLOCKS = "part int, block int, first long, doc_ids array<long>, lengths array<long>, data binary"
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file; keeps the ids of up to ``most`` distinct words."""
+    """Ids of texts by a tokenizers file.
 
-    def __init__(self, tokenizer_file: str, most: int = 300_000):
+    Keeps the ids of distinct words; beyond ``most`` words those seen once go.
+    Words of letters alone, with or without marks behind, need no splitting, so
+    the library's model gets them directly; all others pass its whole chain.
+    """
+
+    def __init__(self, tokenizer_file: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(tokenizer_file), most
-        self.vocabulary = self.tokenizer.get_vocab_size()
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.at = array("i"), array("q", [0])
+        self.model, self.vocabulary = self.tokenizer.model, self.tokenizer.get_vocab_size()
+        # Words after a space, by their letters; and those without one before them.
+        self.spaced: dict[str, int] = {}
+        self.bare: dict[str, int] = {}
+        self.flat, self.at, self.hits = array("i"), array("q", [0]), np.zeros(0, np.int64)
+        self.direct = self._is_byte_level()
+
+    def _is_byte_level(self) -> bool:
+        """Whether the direct way is known to give the ids of the whole chain."""
+        tried = [" the", " Wörter", "été", " a", " 日本", " x.", " straße,!"]
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(tried, add_special_tokens=False)]
+        return whole == [self._directly(w) for w in tried]
+
+    def _directly(self, word: str) -> list[int] | None:
+        letters = word.rstrip(".,;:!?")
+        if not letters[letters.startswith(" ") :].isalpha():
+            return None
+        marks = word[len(letters) :]
+        ids = [t.id for t in self.model.tokenize(letters.encode().decode("latin-1").translate(_VISIBLE))]
+        return ids + [t.id for t in self.model.tokenize(marks)] if marks else ids
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            for e in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False):
-                self.flat.extend(e.ids)
-                self.at.append(len(self.flat))
+        found = [self._directly(w) if self.direct else None for w in words]
+        others = [w for w, ids in zip(words, found) if ids is None]
+        whole = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False)) if others else iter(())
+        for ids in found:
+            self.flat.extend(next(whole).ids if ids is None else ids)
+            self.at.append(len(self.flat))
+
+    def _forget(self) -> None:
+        """Keep the words seen more than once, or none if these are too many as well."""
+        keep = self.hits > 1
+        if 2 * int(keep.sum()) > self.most:
+            keep[:] = False
+        new = np.cumsum(keep) - 1
+        for table in (self.spaced, self.bare):
+            left = {w: int(new[i]) for w, i in table.items() if keep[i]}
+            table.clear()
+            table.update(left)
+        flat, at = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.empty(0, np.int32), np.frombuffer(self.at, np.int64)
+        size = np.diff(at)
+        kept = flat[np.repeat(keep, size)]
+        ends = np.concatenate(([0], np.cumsum(size[keep])))
+        del flat, at
+        self.flat, self.at = array("i", kept.astype(np.int32).tobytes()), array("q", ends.astype(np.int64).tobytes())
+        self.hits = self.hits[keep]
 
     @staticmethod
-    def words(text: str) -> list[str]:
+    def words(text: str) -> tuple[str, list[str]]:
+        """What comes before the first cut, and the words after it, without the space each begins with."""
         if _INNER.search(text):
-            return _CUT.split(text)
+            first, *rest = _CUT.split(text)
+            return first, [r[1:] for r in rest]
         first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + r for r in rest]
+        return first, rest
+
+    def _places(self, table: dict[str, int], words: list[str], before: str) -> np.ndarray:
+        places = np.fromiter(map(table.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            fresh = []
+            for i in new.tolist():
+                w = words[i]
+                if w not in table:
+                    table[w] = len(self.at) - 1 + len(fresh)
+                    fresh.append(before + w)
+                places[i] = table[w]
+            self._learn(fresh)
+        return places
 
     def __call__(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, the end id after each text, and the number of ids of each."""
-        if len(self.known) > self.most:
-            self._reset()
-        parts, new = [], []
-        known = self.known
+        if len(self.at) > self.most:
+            self._forget()
+        first, rest, counts = [], [], []
         for text in texts:
-            words = self.words(text)
-            try:
-                parts.append([known[w] for w in words])
-            except KeyError:
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
-                        new.append(w)
-                parts.append([known[w] for w in words])
-        self._learn(new)
+            head, tail = self.words(text)
+            first.append(head)
+            rest.extend(tail)
+            counts.append(len(tail) + 1)
+        counts = np.array(counts, np.int64)
+        starts = np.cumsum(counts) - counts
+        index = np.empty(int(counts.sum()), np.int64)
+        later = np.ones(len(index), bool)
+        later[starts] = False
+        index[later] = self._places(self.spaced, rest, " ")
+        index[~later] = self._places(self.bare, first, "")
+        known = len(self.at) - 1
+        self.hits = np.concatenate((self.hits, np.zeros(known - len(self.hits), np.int64))) + np.bincount(index, minlength=known)
         flat, at = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.empty(0, np.int32), np.frombuffer(self.at, np.int64)
-        counts = np.array([len(p) for p in parts], np.int64)
-        index = np.fromiter((i for p in parts for i in p), np.int64, int(counts.sum()))
         size = at[index + 1] - at[index]
         word_ends = np.cumsum(size)
         # Each text's ids move on by one place for every end id before it.
@@ -93,16 +153,22 @@ class Encoder:
         return out, n
 
 
+@lru_cache(maxsize=1)
+def encoder(tokenizer_file: str) -> Encoder:
+    """One encoder for all tasks of a worker process: it knows most words by then."""
+    return Encoder(tokenizer_file)
+
+
 def _writer(tokenizer_file: str, end: int, block_ids: int):
     def run(batches):
-        encoder = Encoder(tokenizer_file)
+        encode = encoder(tokenizer_file)
         part, block, first = TaskContext.get().partitionId(), 0, 0
         keys, lengths, held = [], [], []
 
         def close():
             nonlocal block, first
             ids = np.concatenate(held)
-            row = (part, block, first, list(keys), list(lengths), encode_block(ids, encoder.vocabulary))
+            row = (part, block, first, list(keys), list(lengths), encode_block(ids, encode.vocabulary))
             block, first = block + 1, first + len(ids)
             keys.clear(), lengths.clear(), held.clear()
             return pa.RecordBatch.from_arrays(
@@ -122,7 +188,7 @@ def _writer(tokenizer_file: str, end: int, block_ids: int):
                 while stop < len(texts) and size < 1_000_000:
                     size += len(texts[stop])
                     stop += 1
-                ids, n = encoder(texts[begin:stop], end)
+                ids, n = encode(texts[begin:stop], end)
                 bounds = np.cumsum(n)
                 at = 0
                 while at < len(n):
