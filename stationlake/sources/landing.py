@@ -21,26 +21,51 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return files.select("city", F.col("value").alias("body"))
 
 
+def parsed(payloads: DataFrame, variables: Sequence[str], body: str = "body") -> DataFrame:
+    """Payloads with their content (``__p``) and ``problem``, null where there is none.
+
+    A payload is unreadable without its arrays, has uneven arrays when their
+    lengths differ, or a bad time when one cannot be read. Rows and log start
+    from this, so bodies are parsed once.
+    """
+    hourly = F.col("__p")["hourly"]
+    arrays = [hourly[v] for v in variables]
+    missing = F.lit(False)
+    uneven = F.lit(False)
+    for a in arrays:
+        missing = missing | a.isNull()
+        uneven = uneven | (F.size(a) != F.size(hourly["time"]))
+    bad_time = F.exists(hourly["time"], lambda t: _moment(t).isNull())
+    problem = (
+        F.when(hourly.isNull() | hourly["time"].isNull() | missing, "unreadable")
+        .when(uneven, "uneven arrays")
+        .when(bad_time, "bad time")
+    )
+    return payloads.withColumn("__p", F.from_json(body, payload_schema(variables))).withColumn("problem", problem)
+
+
+def _moment(text: Column) -> Column:
+    return F.try_to_timestamp(F.substring(text, 1, 16), F.lit("yyyy-MM-dd'T'HH:mm")).cast("timestamp_ntz")
+
+
 def payload_rows(
     payloads: DataFrame,
     variables: Sequence[str],
     keys: Sequence[str] = ("city",),
     body: str = "body",
 ) -> DataFrame:
-    """One row per hour of each payload; hours without any value are dropped.
+    """One row per hour of each payload without a problem; hours without any value are dropped.
 
-    An hour with at least one value stays. NaN becomes null.
+    ``payloads`` may be parsed already. An hour with at least one value stays.
+    NaN becomes null.
     """
-    parsed = F.from_json(body, payload_schema(variables))
-    arrays = [F.col("__p.hourly")["time"], *[F.col("__p.hourly")[v] for v in variables]]
-    rows = payloads.select(*keys, parsed.alias("__p")).select(
-        *keys, F.inline(F.arrays_zip(*arrays)).alias("time", *variables)
-    )
+    if "__p" not in payloads.columns:
+        payloads = parsed(payloads, variables, body)
+    content = F.when(F.col("problem").isNull(), F.col("__p")["hourly"])
+    zipped = F.arrays_zip(content["time"], *[content[v] for v in variables])
+    rows = payloads.select(*keys, F.inline(zipped).alias("time", *variables))
     measures = [F.when(~F.isnan(v), F.col(v)).alias(v) for v in variables]
-    moment = F.to_timestamp_ntz(F.substring("time", 1, 16), F.lit("yyyy-MM-dd'T'HH:mm"))
-    return rows.select(*keys, moment.alias("time"), *measures).dropna(
-        how="all", subset=list(variables)
-    )
+    return rows.select(*keys, _moment(F.col("time")).alias("time"), *measures).dropna(how="all", subset=list(variables))
 
 
 def with_lineage(rows: DataFrame, loaded_at: Column | datetime | None = None) -> DataFrame:
@@ -90,18 +115,20 @@ def load_log(
     variables: Sequence[str],
     body: str = "body",
 ) -> DataFrame:
-    """One log row per site of a run; a payload that cannot be read does not stop the others.
+    """One log row per site of a run; a payload with a problem does not stop the others.
 
-    ``payloads`` carries ``city``, ``body`` and ``start``, the first day asked for.
+    ``payloads`` carries ``city``, ``body`` and ``start``, the first day asked
+    for, and may be parsed already. The error names each kind of problem.
     """
-    readable = F.from_json(body, payload_schema(variables))["hourly"].isNotNull()
-    state = payloads.groupBy("city").agg(
-        F.min("start").alias("start_date"),
-        F.count(F.when(~F.coalesce(readable, F.lit(False)), 1)).alias("__bad"),
-    )
+    if "__p" not in payloads.columns:
+        payloads = parsed(payloads, variables, body)
+    kinds = ["unreadable", "uneven arrays", "bad time"]
+    counts = [F.count(F.when(F.col("problem") == k, 1)).alias(f"__{i}") for i, k in enumerate(kinds)]
+    state = payloads.groupBy("city").agg(F.min("start").alias("start_date"), F.count("problem").alias("__bad"), *counts)
     loaded = rows.groupBy("city").agg(F.count(F.lit(1)).alias("__rows"))
     bad = F.col("__bad") > 0
-    message = F.concat(F.col("__bad").cast("string"), F.lit(" unreadable payload(s)"))
+    named = [F.when(F.col(f"__{i}") > 0, F.concat(F.col(f"__{i}").cast("string"), F.lit(f" {k}"))) for i, k in enumerate(kinds)]
+    message = F.concat(F.concat_ws(", ", *named), F.lit(" payload(s)"))
     return state.join(loaded, "city", "left").select(
         F.lit(run_at).cast("timestamp_ntz").alias("run_at"),
         F.lit(source).alias("source"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stationlake.session import work_path
 
@@ -42,6 +44,10 @@ def merged(
     return latest_per_key(both, keys, ["__new", *version]).drop("__new")
 
 
+_PERIODS = {"day": "yyyyMMdd", "month": "yyyyMM"}
+_LISTED = 1000
+
+
 def upsert(
     spark: SparkSession,
     path: str,
@@ -49,25 +55,70 @@ def upsert(
     keys: Sequence[str] = ("city", "time"),
     time: str = "time",
     version: Sequence[str] = ("loaded_at",),
+    by: str = "month",
 ) -> None:
-    """Replace or add rows by key in a Parquet table partitioned by year.
-
-    Only the years of the new rows are read and rewritten. The merged years are
-    written to a work table first: the job that replaces them reads that table
-    alone, so it can be repeated after a failure without loss.
+    """Replace or add rows by key in a Parquet table partitioned by day or month (``period``).
+
+    The batch is staged once. Only its periods are read and rewritten. The
+    merged periods are written to a work table first: the job that replaces
+    them reads that table alone, so it can be repeated after a failure without
+    loss. Work tables are removed after success. The table keeps every column
+    any load has had: they are declared beside the data. Rows without time
+    share one period.
     """
-    batch = new.withColumn("year", F.year(time))
+    label = F.coalesce(F.date_format(time, _PERIODS[by]), F.lit("none"))
+    staged, result = work_path(spark, "upsert-batch"), work_path(spark, "upsert")
+    new.withColumn("period", label).write.parquet(staged)
+    batch = spark.read.parquet(staged)
+    keys = [*keys, "period"]
     if table_exists(spark, path):
-        stored = spark.read.parquet(path)
-        # One row per calendar year, whatever the size of the batch.
-        touched = batch.select("year").distinct()
-        same_years = stored.join(F.broadcast(touched), "year", "left_semi")
-        batch = merged(same_years.select(*stored.columns), batch, [*keys, "year"], version)
+        stored = _with_period(spark, path)
+        batch = merged(_same_periods(stored, batch), batch, keys, version)
     else:
-        batch = latest_per_key(batch, [*keys, "year"], version)
-    staged = work_path(spark, "upsert")
-    batch.write.parquet(staged)
-    write_by_year(spark.read.parquet(staged), path)
+        batch = latest_per_key(batch, keys, version)
+    batch.write.parquet(result)
+    rows = spark.read.parquet(result)
+    _declare(spark, path, rows.drop("period").schema)
+    _replace_partitions(rows, path, "period")
+    for work in (staged, result):
+        remove(spark, work)
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table behind ``path`` with all columns of all loads."""
+    return _with_period(spark, path).drop("period")
+
+
+def _with_period(spark: SparkSession, path: str) -> DataFrame:
+    declared = f"{path}/_columns"
+    if table_exists(spark, declared):
+        schema = T.StructType.fromJson(json.loads(spark.read.text(declared, wholetext=True).first()[0]))
+        return spark.read.schema(schema.add("period", "string")).parquet(path)
+    # A failed load may leave no declaration: the files know their columns.
+    found = spark.read.option("mergeSchema", True).parquet(path)
+    return found.withColumn("period", F.col("period").cast("string"))
+
+
+def _declare(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    if table_exists(spark, path) and table_exists(spark, f"{path}/_columns"):
+        if set(schema.names) <= set(_with_period(spark, path).columns) and len(schema.names) + 1 == len(_with_period(spark, path).columns):
+            return
+    spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_columns")
+
+
+def _same_periods(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored rows of the batch's periods: few are listed in the scan, many are joined."""
+    touched = batch.select("period").distinct()
+    listed = [r["period"] for r in touched.limit(_LISTED + 1).collect()]
+    if len(listed) <= _LISTED:
+        return stored.filter(F.col("period").isin(listed))
+    return stored.join(touched, "period", "left_semi").select(*stored.columns)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a work table."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def store_mart(df: DataFrame, path: str, time: str) -> None:
@@ -76,17 +127,22 @@ def store_mart(df: DataFrame, path: str, time: str) -> None:
 
 
 def write_by_year(df: DataFrame, path: str) -> None:
-    """Replace the years present in ``df`` and keep all others.
+    """Replace the years present in ``df`` and keep all others."""
+    _replace_partitions(df, path, "year")
+
+
+def _replace_partitions(df: DataFrame, path: str, *columns: str) -> None:
+    """Replace the partitions present in ``df`` and keep all others.
 
-    The rebalance groups the rows by year for few files, and splits a year that
-    is too large for one task.
+    The rebalance groups the rows by partition for few files, and splits one
+    that is too large for one task.
     """
     (
-        df.hint("rebalance", F.col("year"))
+        df.hint("rebalance", *[F.col(c) for c in columns])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
-        .partitionBy("year")
+        .partitionBy(*columns)
         .parquet(path)
     )
 

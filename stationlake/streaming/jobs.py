@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stationlake.operators.neighbours import with_neighbours
 from stationlake.plans.alerts import unsent
-from stationlake.sources.tables import table_exists, upsert
+from stationlake.sources.tables import remove, table_exists, upsert
 
 
 def upsert_batches(
-    path: str, keys: Sequence[str] = ("city", "time"), version: Sequence[str] = ("loaded_at",)
+    path: str, keys: Sequence[str] = ("city", "time"), version: Sequence[str] = ("loaded_at",), by: str = "month"
 ) -> Callable[[DataFrame, int], None]:
     """Sink for ``foreachBatch``: keyed replace, so a repeated batch changes nothing."""
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        upsert(batch.sparkSession, path, batch, keys, version=version)
+        upsert(batch.sparkSession, path, batch, keys, version=version, by=by)
 
     return write
 
@@ -56,47 +56,69 @@ def daily_windows(
 
 
 def persistence_alerts(
-    stream: DataFrame, level: float, length: int = 3, keys: Sequence[str] = ("city", "pollen_type")
-) -> DataFrame:
-    """One row per run of ``length`` rows in a row at or above the level, per series.
+    path: str,
+    checkpoint: str,
+    level: float,
+    length: int = 3,
+    late: str = "1 day",
+    keys: Sequence[str] = ("city", "pollen_type"),
+) -> Callable[[DataFrame, int], None]:
+    """Sink for ``foreachBatch``: one row per run of ``length`` rows in a row at or above the level, per series.
+
+    Batches have the keys, ``time`` and ``value``. A row is judged once the
+    newest time seen is ``late`` ahead of it, in order of time, so the result
+    does not depend on how rows fall into batches. Until then it waits in the
+    state, together with the last ``length`` rows judged of each series. Rows
+    that come later than that are not lost: they are written to ``late``.
 
-    ``stream`` has the keys, ``time`` and ``value``. The state of a series is
-    the length and start of its current run and the last time seen; rows not
-    after that time are ignored.
+    ``<path>/<run>/alerts``, ``late`` and ``state`` have a folder per batch; a
+    run is one checkpoint, so a repeated batch overwrites its own output only.
     """
     names = list(keys)
+    state_schema = ", ".join(f"`{k}` string" for k in names) + ", time timestamp_ntz, value double, judged boolean"
 
-    def advance(key, frames, state: GroupState):
-        run, start, seen = state.get if state.exists else (0, None, None)
-        rows = pd.concat(list(frames)).sort_values("time")
-        found = []
-        for time, value in zip(rows["time"], rows["value"]):
-            if seen is not None and time <= seen:
-                continue
-            seen = time
-            if pd.notna(value) and value >= level:
-                run += 1
-                start = time if run == 1 else start
-                if run == length:
-                    found.append((*key, start, time))
-            else:
-                run, start = 0, None
-        state.update((run, start, seen))
-        if found:
-            yield pd.DataFrame(found, columns=[*names, "run_start", "alert_time"])
-
-    schema = ", ".join(f"{k} string" for k in names)
-    return (
-        stream.select(*names, F.col("time").cast("timestamp").alias("time"), F.col("value").cast("double").alias("value"))
-        .groupBy(*names)
-        .applyInPandasWithState(
-            advance,
-            f"{schema}, run_start timestamp, alert_time timestamp",
-            "run int, start timestamp, seen timestamp",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        base = f"{path}/{checkpoint_id(spark, checkpoint)}"
+        rows = batch.select(
+            *[F.col(k).cast("string").alias(k) for k in names], F.col("time").cast("timestamp_ntz").alias("time"), F.col("value").cast("double").alias("value")
+        ).filter(F.col("time").isNotNull())
+        staged = f"{base}/staged/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(state_schema.replace(", judged boolean", "")).parquet(staged)
+        before = f"{base}/state/batch={batch_id - 1}"
+        state = spark.read.schema(state_schema).parquet(before) if table_exists(spark, before) else spark.createDataFrame([], state_schema)
+        allowed = F.expr(f"INTERVAL {late}")
+        seen, newest = state.agg(F.max("time") - allowed).first()[0], rows.agg(F.max("time") - allowed).first()[0]
+        bound = max((t for t in (seen, newest) if t is not None), default=None)
+        on_time = F.lit(True) if seen is None else F.col("time") > F.lit(seen)
+        rows.filter(~on_time).write.mode("overwrite").parquet(f"{base}/late/batch={batch_id}")
+        waiting = state.unionByName(rows.filter(on_time).withColumn("judged", F.lit(False)))
+        ready = F.lit(False) if bound is None else F.col("time") <= F.lit(bound)
+        flagged = waiting.filter(ready).withColumn("__hit", F.coalesce(F.col("value") >= level, F.lit(False)))
+        series = with_neighbours(flagged, names, "time", ["time", "__hit"], before=length, bucket=F.to_date("time"))
+        full = F.col("__hit") & (F.size("prev") >= length - 1)
+        if length > 1:
+            hits = F.slice("prev", F.greatest(F.size("prev") - (length - 2), F.lit(1)), length - 1)
+            full = full & F.forall(hits, lambda r: r["__hit"])
+        first = (F.size("prev") < length) | ~F.get("prev", F.lit(0))["__hit"]
+        start = F.get("prev", F.size("prev") - (length - 1))["time"] if length > 1 else F.col("time")
+        found = series.filter(~F.col("judged") & full & first).select(*names, start.alias("run_start"), F.col("time").alias("alert_time"))
+        found.write.mode("overwrite").parquet(f"{base}/alerts/batch={batch_id}")
+        # At most ``length`` judged rows of a series stay.
+        last = Window.partitionBy(*names).orderBy(F.desc("time"))
+        tail = waiting.filter(ready).withColumn("__n", F.row_number().over(last)).filter(F.col("__n") <= length).drop("__n")
+        kept = tail.withColumn("judged", F.lit(True)).unionByName(waiting.filter(~ready))
+        kept.write.mode("overwrite").parquet(f"{base}/state/batch={batch_id}")
+        for old in (f"{base}/state/batch={batch_id - 2}", staged):
+            remove(spark, old)
+
+    return write
+
+
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave to the stream of a checkpoint; a new checkpoint has another."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
 
 
 def deduplicated(
@@ -106,23 +128,32 @@ def deduplicated(
     return alerts.withWatermark(time, remember).dropDuplicatesWithinWatermark([key])
 
 
-def new_alerts(ledger_path: str, out_path: str) -> Callable[[DataFrame, int], None]:
+def new_alerts(ledger_path: str, out_path: str, checkpoint: str, day: str | None = None) -> Callable[[DataFrame, int], None]:
     """Sink for ``foreachBatch``: writes alerts not yet in the ledger, then adds their keys.
 
-    Both go to folders named by the batch, so a repeated batch overwrites its
-    own output instead of adding to it.
+    Ledger and output have a folder per checkpoint and batch, so a repeated
+    batch overwrites its own output and never that of another stream.
+    ``day`` names a date column that is the same for the same key: only the
+    ledger's days in the batch are read then.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        run = checkpoint_id(spark, checkpoint)
+        alerts = batch.withColumn("day", F.col(day).cast("date") if day else F.lit(None).cast("date"))
+        fresh = alerts.dropDuplicates(["alert_key"])
         if table_exists(spark, ledger_path):
-            ledger = spark.read.parquet(ledger_path).filter(F.col("batch") != batch_id)
-            fresh = unsent(batch, ledger)
-        else:
-            fresh = batch.dropDuplicates(["alert_key"])
-        out = f"{out_path}/batch={batch_id}"
-        fresh.write.mode("overwrite").parquet(out)
-        keys = spark.read.parquet(out).select("alert_key")
-        keys.write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+            ledger = spark.read.schema("alert_key string, run string, batch long, day date").option("basePath", ledger_path).parquet(ledger_path)
+            own = (F.col("run") == run) & (F.col("batch") == batch_id)
+            if day:
+                listed = [r["day"] for r in alerts.select("day").distinct().limit(1001).collect()]
+                if len(listed) <= 1000:
+                    ledger = ledger.filter(F.col("day").isin([d for d in listed if d]) | F.col("day").isNull())
+            fresh = unsent(alerts, ledger.filter(~own))
+        out = f"{out_path}/run={run}/batch={batch_id}"
+        fresh.select(*batch.columns, *([] if "day" in batch.columns else ["day"])).write.mode("overwrite").parquet(out)
+        keys = spark.read.parquet(out).select("alert_key", "day")
+        target = f"{ledger_path}/run={run}/batch={batch_id}"
+        keys.write.mode("overwrite").partitionBy("day").parquet(target)
 
     return write

@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,11 +13,10 @@ from tests.helpers import hours, rows
 VARIABLES = ["alder_pollen", "birch_pollen"]
 BODY = json.dumps(
     {
-        "current": {"time": "2026-05-01T10:00", "birch_pollen": 42.0},
         "hourly": {
-            "time": ["2026-05-01T09:00", "2026-05-01T10:00", "2026-05-01T11:00", "2026-05-01T12:00"],
-            "alder_pollen": [0.0, None, 0.0, None],
-            "birch_pollen": [30.0, 42.0, 55.0, None],
+            "time": ["2025-03-08T22:00", "2025-03-08T23:00", "2025-03-09T00:00", "2025-03-09T01:00"],
+            "alder_pollen": [1.5, None, 7.0, None],
+            "birch_pollen": [0.0, 2.5, 0.5, None],
         },
     }
 )
@@ -29,9 +30,9 @@ def payloads(spark, *bodies):
 def test_payload_rows(spark):
     got = rows(landing.payload_rows(payloads(spark, ("a", BODY)), VARIABLES), "time")
     assert got == [
-        ("a", dt.datetime(2026, 5, 1, 9), 0.0, 30.0),
-        ("a", dt.datetime(2026, 5, 1, 10), None, 42.0),
-        ("a", dt.datetime(2026, 5, 1, 11), 0.0, 55.0),
+        ("a", dt.datetime(2025, 3, 8, 22), 1.5, 0.0),
+        ("a", dt.datetime(2025, 3, 8, 23), None, 2.5),
+        ("a", dt.datetime(2025, 3, 9, 0), 7.0, 0.5),
     ]
 
 
@@ -51,7 +52,11 @@ def test_files_below_site_folders(spark, tmp_path):
 
 
 def test_a_bad_payload_does_not_stop_the_others(spark):
-    landed = payloads(spark, ("a", BODY), ("b", "no json"), ("b", BODY), ("c", "{}"))
+    late = BODY.replace("2025-03-08T23:00", "yesterday")
+    short = BODY.replace('"2025-03-08T22:00", ', "")
+    landed = payloads(
+        spark, ("a", BODY), ("b", "no json"), ("b", BODY), ("c", "{}"), ("d", late), ("d", BODY), ("e", short), ("f", None), ("f", short), ("f", late)
+    )
     loaded = landing.payload_rows(landed, VARIABLES)
     log = landing.load_log(
         landed, loaded, "air_quality", dt.date(2026, 5, 1), dt.datetime(2026, 5, 2, 4), VARIABLES
@@ -59,7 +64,12 @@ def test_a_bad_payload_does_not_stop_the_others(spark):
     assert log.schema.simpleString() == LOAD_LOG_SCHEMA.simpleString()
     got = rows(log.select("city", "rows_loaded", "status", "error"), "city")
     assert got == [
-        ("a", 3, "ok", None), ("b", 3, "error", "1 unreadable payload(s)"), ("c", 0, "error", "1 unreadable payload(s)")
+        ("a", 3, "ok", None),
+        ("b", 3, "error", "1 unreadable payload(s)"),
+        ("c", 0, "error", "1 unreadable payload(s)"),
+        ("d", 3, "error", "1 bad time payload(s)"),
+        ("e", 0, "error", "1 uneven arrays payload(s)"),
+        ("f", 0, "error", "1 unreadable, 1 uneven arrays, 1 bad time payload(s)"),
     ]
     assert landing.last_run(log, ZONE).first().last_run_local == dt.datetime(2026, 5, 2, 6)
 
@@ -119,17 +129,36 @@ def test_many_copies_of_one_key_are_reduced_before_the_shuffle(spark):
     assert [r.v for r in newest.collect()] == [1999.0]
 
 
-def test_upsert_touches_only_its_years(spark, tmp_path):
-    path = str(tmp_path / "raw")
-    years = [dt.datetime(y, 6, 1) for y in (2023, 2024, 2025)]
-    tables.upsert(spark, path, spark.createDataFrame([("a", t, 1.0, L0) for t in years], RAW))
-    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "raw").glob("year=*/*.parquet")}
+@pytest.mark.parametrize("by", ["month", "day"])
+def test_upsert_touches_only_its_periods(spark, tmp_path, by):
+    path, shared = str(tmp_path / "raw"), spark.conf.get("spark.checkpoint.dir")
+    times = [dt.datetime(2024, m, 1) for m in (5, 6, 7)]
+    left = set(os.listdir(shared))
+    tables.upsert(spark, path, spark.createDataFrame([("a", t, 1.0, L0) for t in times], RAW), by=by)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "raw").glob("period=*/*.parquet")}
     later = L0 + dt.timedelta(days=1)
-    tables.upsert(spark, path, spark.createDataFrame([("a", years[1], 2.0, later), ("b", years[1], 3.0, later)], RAW))
-    got = rows(spark.read.parquet(path).select("city", "time", "v"), "time", "city")
-    assert got == [("a", years[0], 1.0), ("a", years[1], 2.0), ("b", years[1], 3.0), ("a", years[2], 1.0)]
-    kept = [p for p in before if p.exists()]
-    assert sorted(p.parent.name for p in kept) == ["year=2023", "year=2025"]
+    tables.upsert(spark, path, spark.createDataFrame([("a", times[1], 2.0, later), ("b", times[1], 3.0, later)], RAW), by=by)
+    got = rows(tables.read_upserted(spark, path).select("city", "time", "v"), "time", "city")
+    assert got == [("a", times[0], 1.0), ("a", times[1], 2.0), ("b", times[1], 3.0), ("a", times[2], 1.0)]
+    day = "01" if by == "day" else ""
+    assert sorted(p.parent.name for p in before if p.exists()) == [f"period=202405{day}", f"period=202407{day}"]
+    assert len(list((tmp_path / "raw").glob("period=*/*.parquet"))) == 3
+    assert set(os.listdir(shared)) == left
+
+
+def test_upsert_keeps_every_column_of_every_load(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    tables.upsert(spark, path, spark.createDataFrame([("a", T0, 1.0, L0), ("b", None, 2.0, L0)], RAW))
+    more = spark.createDataFrame([("a", T0, 5.0, L0, True)], RAW + ", checked boolean")
+    tables.upsert(spark, path, more)
+    other = T0 + dt.timedelta(days=90)
+    tables.upsert(spark, path, spark.createDataFrame([("c", other, 3.0, L0), ("b", None, 4.0, L0)], RAW))
+    got = tables.read_upserted(spark, path)
+    assert got.columns == ["city", "time", "v", "loaded_at", "checked"]
+    assert rows(got.select("city", "v", "checked"), "city") == [("a", 5.0, True), ("b", 4.0, None), ("c", 3.0, None)]
+    shutil.rmtree(f"{path}/_columns")
+    tables.upsert(spark, path, spark.createDataFrame([("d", other, 9.0, L0)], RAW))
+    assert rows(tables.read_upserted(spark, path).select("city", "checked"), "city") == [("a", True), ("b", None), ("c", None), ("d", None)]
 
 
 def test_snapshot_and_views(spark, tmp_path):

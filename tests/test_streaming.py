@@ -3,6 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from stationlake.operators.runs import run_ends
+from stationlake.sources import tables
 from stationlake.streaming import jobs
 from tests.helpers import hours, rows
 
@@ -38,22 +40,53 @@ def series(values, start="2026-05-01T10:00", city="a"):
     return [(city, "Birch", t, v) for t, v in zip(hours(start, len(values)), values)]
 
 
-@pytest.mark.parametrize("cut", [1, 2, 3, 4])
-def test_a_run_is_found_across_batches(spark, tmp_path, cut):
-    feed = Feed(spark, tmp_path, VALUES)
-    line = series([2.0, 12.0, 15.0, 18.0, 20.0])
-    feed.put(line[:cut])
-    feed.put(line[cut:])
-    got = feed.to_parquet(jobs.persistence_alerts(feed.stream(), 10.0))
-    listed = rows(got.select(F.col("run_start").cast("timestamp_ntz"), F.col("alert_time").cast("timestamp_ntz")))
-    assert listed == [(dt.datetime(2026, 5, 1, 11), dt.datetime(2026, 5, 1, 13))]
+FAR = ("z", "Birch", dt.datetime(2026, 6, 1), 0.0)
 
 
-def test_short_and_interrupted_runs_are_not_found(spark, tmp_path):
-    feed = Feed(spark, tmp_path, VALUES)
-    feed.put(series([12.0, 15.0, 3.0, 25.0]) + series([12.0, None, 12.0, 12.0], city="b"))
-    feed.put(series([25.0], start="2026-05-01T09:00"))
-    assert feed.to_parquet(jobs.persistence_alerts(feed.stream(), 10.0)).count() == 0
+def alerts(spark, folder, files, **options):
+    """Alerts of a stream that gets the files one by one, called as the stream would."""
+    state = folder / "checkpoint"
+    state.mkdir(exist_ok=True)
+    (state / "metadata").write_text('{"id":"s"}')
+    sink = jobs.persistence_alerts(str(folder / "runs"), str(state), 10.0, **options)
+    for i, listed in enumerate(files):
+        sink(spark.createDataFrame(listed, VALUES), i)
+    found = spark.read.schema("city string, pollen_type string, run_start timestamp_ntz, alert_time timestamp_ntz").parquet(f"{folder}/runs/s/alerts/*")
+    return sink, rows(found.select("city", "run_start", "alert_time"), "city", "alert_time")
+
+
+def batch_alerts(spark, listed):
+    df = spark.createDataFrame(listed, VALUES)
+    ends = run_ends(df, ["city"], "time", F.col("value") >= 10.0, 3, short=True).select("city", "run_start", "time")
+    return [r for r in rows(ends, "city", "time") if r[1] - dt.timedelta(hours=1) not in [t for c, _, t, v in listed if c == r[0] and v and v >= 10]]
+
+
+LINE = series([25.0, 25.0, 25.0, 5.0, 12.0, 11.0])
+
+
+@pytest.mark.parametrize("second", [m for m in range(1, 63) if bin(m).count("1") in (2, 3)][::3])
+def test_any_split_into_files_gives_the_runs_of_the_whole(spark, tmp_path, second):
+    files = [[r for i, r in enumerate(LINE) if (second >> i & 1) == part] for part in (1, 0)]
+    _, got = alerts(spark, tmp_path, [*files, [FAR]])
+    assert got == batch_alerts(spark, LINE) == [("a", dt.datetime(2026, 5, 1, 10), dt.datetime(2026, 5, 1, 12))]
+
+
+def test_runs_interruptions_and_rows_that_come_too_late(spark, tmp_path):
+    line = series([12.0, 15.0, 3.0, 25.0]) + series([12.0, None, 12.0, 12.0], city="b") + series([10.0] * 7, city="c")
+    files = [line[::2], line[1::2], [FAR], series([99.0], start="2026-05-01T09:00"), [("c", "Birch", dt.datetime(2026, 6, 2), 10.0)], [("z", "Birch", dt.datetime(2026, 7, 1), 0.0)]]
+    sink, got = alerts(spark, tmp_path, files)
+    assert got == [("c", dt.datetime(2026, 5, 1, 10), dt.datetime(2026, 5, 1, 12))]
+    late = spark.read.parquet(f"{tmp_path}/runs/s/late/*")
+    assert rows(late.select("city", "value")) == [("a", 99.0)]
+    sink(spark.createDataFrame(files[-1], VALUES), len(files) - 1)
+    found = spark.read.parquet(f"{tmp_path}/runs/s/alerts/*")
+    assert found.count() == 1
+    assert len(list((tmp_path / "runs/s/state").iterdir())) <= 3
+
+
+def test_a_run_of_one_row(spark, tmp_path):
+    _, got = alerts(spark, tmp_path, [series([12.0, 15.0, 3.0, 25.0]), [FAR]], length=1)
+    assert [r[2].hour for r in got] == [10, 13]
 
 
 def test_repeated_batches_change_nothing(spark, tmp_path):
@@ -66,9 +99,9 @@ def test_repeated_batches_change_nothing(spark, tmp_path):
     sink = jobs.upsert_batches(path)
     feed.run(feed.stream().writeStream.foreachBatch(sink))
     expected = [("a", 2.0), ("b", 5.0)]
-    assert rows(spark.read.parquet(path).select("city", "v"), "city") == expected
+    assert rows(tables.read_upserted(spark, path).select("city", "v"), "city") == expected
     sink(spark.read.parquet(f"{tmp_path}/in/001"), 1)
-    assert rows(spark.read.parquet(path).select("city", "v"), "city") == expected
+    assert rows(tables.read_upserted(spark, path).select("city", "v"), "city") == expected
 
 
 def test_daily_windows_accept_late_hours(spark, tmp_path):
@@ -96,12 +129,23 @@ def test_each_alert_is_passed_on_once(spark, tmp_path):
     assert sorted(r.alert_key for r in got.collect()) == ["x", "y"]
 
 
-def test_the_ledger_survives_a_repeated_batch(spark, tmp_path):
+@pytest.mark.parametrize("day", [None, "day"])
+def test_the_ledger_survives_repeated_batches_and_a_new_checkpoint(spark, tmp_path, day):
     ledger, out = str(tmp_path / "ledger"), str(tmp_path / "out")
-    sink = jobs.new_alerts(ledger, out)
-    first = spark.createDataFrame([("x",), ("x",)], "alert_key string")
-    second = spark.createDataFrame([("x",), ("y",)], "alert_key string")
-    sink(first, 0)
-    sink(second, 1)
-    sink(second, 1)
-    assert rows(spark.read.parquet(out), "batch") == [("x", 0), ("y", 1)]
+
+    def stream(name):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "metadata").write_text(f'{{"id":"{name}"}}')
+        return jobs.new_alerts(ledger, out, str(tmp_path / name), day)
+
+    def keys(*listed):
+        return spark.createDataFrame([(k, dt.date(2024, 5, int(k[1]))) for k in listed], "alert_key string, day date")
+
+    first, second = stream("one"), stream("two")
+    first(keys("k1", "k1"), 0)
+    second(keys("k2"), 0)
+    second(keys("k1"), 1)
+    second(keys("k1", "k3"), 2)
+    second(keys("k1", "k3"), 2)
+    assert rows(spark.read.parquet(out).select("alert_key", "run", "batch"), "alert_key") == [("k1", "one", 0), ("k2", "two", 0), ("k3", "two", 2)]
+    assert rows(spark.read.parquet(ledger).select("alert_key"), "alert_key") == [("k1",), ("k2",), ("k3",)]
