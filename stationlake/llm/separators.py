@@ -39,9 +39,8 @@ def write_flat(docs: DataFrame, path: str, tokenizer_file: str, text: str = "tex
         if encode.vocabulary >= np.iinfo(kind).max:
             raise ValueError(f"ids do not fit into {width} bytes")
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for at in range(0, len(texts), 512):
-                ids, n = encode(texts[at : at + 512], -1)
+            for at in range(0, batch.num_rows, 250):
+                ids, n = encode([t or "" for t in batch.column(0).slice(at, 250).to_pylist()], -1)
                 data, ends = (ids + 1).astype(kind).tobytes(), np.cumsum(n) * width
                 rows = [data[e - k * width : e - width] for e, k in zip(ends.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])

@@ -46,7 +46,7 @@ class Encoder:
     the library's model gets them directly; all others pass its whole chain.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 400_000):
+    def __init__(self, tokenizer_file: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(tokenizer_file), most
@@ -180,15 +180,11 @@ def _writer(tokenizer_file: str, end: int, block_ids: int):
             )
 
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             names = batch.column("doc_id").to_pylist()
-            begin = 0
-            while begin < len(texts):
-                stop, size = begin, 0
-                while stop < len(texts) and size < 1_000_000:
-                    size += len(texts[stop])
-                    stop += 1
-                ids, n = encode(texts[begin:stop], end)
+            for begin in range(0, len(names), 250):
+                # A few texts at a time: as Python strings they take up to four times their bytes.
+                texts = [t or "" for t in batch.column("text").slice(begin, 250).to_pylist()]
+                ids, n = encode(texts, end)
                 bounds = np.cumsum(n)
                 at = 0
                 while at < len(n):
@@ -202,7 +198,6 @@ def _writer(tokenizer_file: str, end: int, block_ids: int):
                     at = to
                     if sum(map(len, held)) >= block_ids:
                         yield close()
-                begin = stop
         if held:
             yield close()
 
