@@ -16,7 +16,6 @@ SITES = [
     ("Umeå", 63.826, 20.263, "North"),
     ("Luleå", 65.584, 22.155, "North"),
 ]
-REGIONS = ["South", "Middle", "North"]
 
 # Species in the order of their seasons; the last three carry weather analyses.
 SPECIES = ["alder", "birch", "grass", "mugwort"]
@@ -68,9 +67,6 @@ TEMPERATURE_BINS = (
     ["<10 °C", "10–15", "15–20", "20–25", ">25 °C"],
 )
 
-HALF_MONTHS = [
-    "Apr 1–15", "Apr 16–end", "May 1–15", "May 16–end", "Jun 1–15", "Jun 16–end",
-]
 CAUSES = ["Ozone", "PM2.5 (fine particles)"]
 FACTOR_RAIN = "Rain (≥ 1 mm)"
 FACTOR_AIR = "Bad air (PM2.5 or ozone)"

@@ -40,7 +40,8 @@ def with_neighbours(
 
     ``prev`` holds up to ``before`` rows and ``next`` up to ``after`` rows; they
     are shorter only at the ends of the series. ``keys`` and ``order`` are the
-    table's primary key: unique, never null. ``bucket`` must not decrease along
+    table's primary key: unique, never null. Rows without them are in no series
+    and left out, whatever the form; ``quality.not_null`` reports them. ``bucket`` must not decrease along
     the order. ``short`` says that a series is small by construction (a site's
     year of days); it is then ordered in one piece.
 
@@ -58,7 +59,8 @@ def with_neighbours(
         return [prev.alias("prev"), next_.alias("next")]
 
     if short:
-        return df.select("*", *neighbours(Window.partitionBy(*keys).orderBy(order)))
+        known = df.filter(reduce(and_, [F.col(c).isNotNull() for c in (*keys, order)]))
+        return known.select("*", *neighbours(Window.partitionBy(*keys).orderBy(order)))
 
     in_bucket = Window.partitionBy(*keys, _BUCKET).orderBy(order)
     placed = _in_buckets(df, keys, order, bucket)
@@ -188,7 +190,7 @@ def _in_buckets(
     shuffle; stated here, the checks are part of both.
     """
     bucketed = df.withColumn(_BUCKET, month_of(order) if bucket is None else bucket)
-    return bucketed.filter(reduce(and_, [F.col(c).isNotNull() for c in (*keys, _BUCKET)]))
+    return bucketed.filter(reduce(and_, [F.col(c).isNotNull() for c in (*keys, order, _BUCKET)]))
 
 
 def _first(array: Column, n: int) -> Column:

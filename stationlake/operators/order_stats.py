@@ -1,76 +1,117 @@
 """Exact ranks, quantiles and rank correlations for groups of any size.
 
 Spark's ``percentile`` keeps a whole group in one task. These forms first
-reduce the rows to distinct values with counts, then number the values inside
-value ranges, so that one large group is spread over many tasks. Use the
-built-in ``median`` where a group is small by construction (years of a site).
+reduce the rows to distinct values with counts, then number the values in three
+levels, by parts of the number's own binary form: sign, exponent and 10 bits,
+then 21 bits, then the last 21. So no window sees more than some two million
+rows, however the values are distributed. Use the built-in ``median`` where a
+group is small by construction (years of a site).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationlake.operators.reshape import labelled
 
-_STEPS = 1024
+_MIDDLE = 1 << 21
+_HIGHEST = 1 << 40
 
 
-def value_range(value: Column) -> Column:
-    """A range number that never decreases with the value.
+def value_parts(value: Column) -> tuple[Column, Column]:
+    """Two numbers whose order is that of the value as far as they differ.
 
-    Ranges follow the magnitude: their width is 1/1024 of a doubling, so values
-    of any scale spread over many ranges without a pass that looks for bounds.
+    The first holds sign, exponent and the 10 leading bits of the mantissa, the
+    second the 21 bits after them; values that agree in both differ in the last
+    21 bits only. Dividing by a power of two is exact. Never null.
     """
-    steps = F.floor(F.log2(F.abs(value)) * F.lit(_STEPS)) + F.lit(1100 * _STEPS)
-    signed = F.when(value > 0, steps).when(value < 0, -steps)
-    # Never null, so no null check on it is pushed into only one of two equal inputs.
-    return F.coalesce(signed, F.lit(0).cast("long"))
+    size = F.abs(value)
+    guess = F.floor(F.log2(size))
+    # The logarithm may be off by one close to a power of two.
+    scaled = size / F.pow(F.lit(2.0), guess)
+    exponent = F.when(scaled >= 2, guess + 1).when(scaled < 1, guess - 1).otherwise(guess)
+    mantissa = F.when(scaled >= 2, scaled / 2).when(scaled < 1, scaled * 2).otherwise(scaled)
+    bits = F.floor((mantissa - 1) * F.lit(float(1 << 31)))
+    high = (exponent + 1100) * 1024 + F.shiftright(bits, 21)
+    middle = bits.bitwiseAND(F.lit(_MIDDLE - 1))
+    infinite = size == F.lit(float("inf"))
+    parts = []
+    for part, far in ((high, _HIGHEST), (middle, 0)):
+        signed = (
+            F.when(F.isnan(value), F.lit(2 * far))
+            .when(infinite, F.when(value > 0, F.lit(far)).otherwise(F.lit(-far)))
+            .when(value > 0, part)
+            .when(value < 0, -part)
+        )
+        parts.append(F.coalesce(signed.cast("long"), F.lit(0).cast("long")))
+    return parts[0], parts[1]
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Distinct values per group and column as ``column``, ``value`` and ``n``; nulls are left out."""
+    """Distinct values per group and column as ``column``, ``value`` and ``n``.
+
+    A null counts 0 times: a group without values keeps a row.
+    """
     values = {c: F.col(c).cast("double") for c in columns}
     return (
         df.select(*groups, labelled(values, "column", "value"))
-        .filter(F.col("value").isNotNull())
         .groupBy(*groups, "column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("value").alias("n"))
     )
 
 
 def positions(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Add ``before`` (rows with a smaller value) and ``total`` (rows) per group.
 
-    The window over the group alone sees one row per value range.
+    The window over the group alone sees one row for each leading part of its
+    values, that over a leading part one row for each middle part.
     """
     groups = list(groups)
-    in_range = Window.partitionBy(*groups, "__range")
-    numbered = counts.withColumn("__range", value_range(F.col("value"))).select(
+    high, middle = value_parts(F.col("value"))
+    inner = Window.partitionBy(*groups, "__high", "__middle")
+    numbered = counts.withColumns({"__high": high, "__middle": middle}).select(
         "*",
-        (F.sum("n").over(in_range.orderBy("value")) - F.col("n")).alias("__inside"),
-        F.sum("n").over(in_range).alias("__in_range"),
+        (F.sum("n").over(inner.orderBy("value")) - F.col("n")).alias("__inside"),
+        F.sum("n").over(inner).alias("__size"),
+        F.row_number().over(inner.orderBy("value")).alias("__row"),
     )
-    of_group = Window.partitionBy(*groups)
-    offsets = numbered.filter(F.col("__inside") == 0).select(
+    of_high, of_group = Window.partitionBy(*groups, "__high"), Window.partitionBy(*groups)
+    middles = numbered.filter(F.col("__row") == 1).select(
         *groups,
-        "__range",
-        (F.sum("__in_range").over(of_group.orderBy("__range")) - F.col("__in_range")).alias(
-            "__offset"
-        ),
-        F.sum("__in_range").over(of_group).alias("total"),
+        "__high",
+        "__middle",
+        (F.sum("__size").over(of_high.orderBy("__middle")) - F.col("__size")).alias("__offset"),
+        F.sum("__size").over(of_high).alias("__high_size"),
+        F.row_number().over(of_high.orderBy("__middle")).alias("__row"),
     )
-    return numbered.join(offsets, [*groups, "__range"]).select(
-        *groups, "value", "n", (F.col("__offset") + F.col("__inside")).alias("before"), "total"
+    highs = middles.filter(F.col("__row") == 1).select(
+        *groups,
+        "__high",
+        (F.sum("__high_size").over(of_group.orderBy("__high")) - F.col("__high_size")).alias("__base"),
+        F.sum("__high_size").over(of_group).alias("total"),
+    )
+    offsets = _joined(middles.drop("__row", "__high_size"), highs, [*groups, "__high"])
+    return _joined(numbered, offsets, [*groups, "__high", "__middle"]).select(
+        *groups, "value", "n", (F.col("__base") + F.col("__offset") + F.col("__inside")).alias("before"), "total"
     )
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which a null key meets a null key."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(renamed, same).drop(*[f"__r_{k}" for k in keys])
+
+
 def quantiles(
     df: DataFrame, groups: Sequence[str], probs: Mapping[str, Mapping[str, float]]
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per group.
+    """Exact quantiles with linear interpolation: one row per group, null where it has no values.
 
     ``probs`` maps each value column to the quantiles wanted of it, by result
     name. All columns go through the same shuffles.
@@ -105,7 +146,7 @@ def quantiles(
 def average_ranks(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Rank of every distinct value from 1; ties share the mean of their ranks."""
     counts = value_counts(df, groups, [value]).drop("column")
-    return positions(counts, groups).select(*groups, "value", "n", "total", _mean_rank())
+    return positions(counts, groups).filter("n > 0").select(*groups, "value", "n", "total", _mean_rank())
 
 
 def _mean_rank() -> Column:

@@ -95,9 +95,11 @@ def check(
     today: date | None = None,
     **options,
 ) -> DataFrame:
-    """All alerts of a date; the forecast only counts when the date is the real today."""
+    """All alerts of a date; the forecast, which needs ``today``, only counts when the date is the real today."""
+    if forecast is not None and today is None:
+        raise ValueError("a forecast is judged by the real today: give today")
     coming = coming_alerts(seasons, as_of)
-    if forecast is None or as_of != (today or as_of):
+    if forecast is None or as_of != today:
         return _as_alerts(coming)
     found = forecast_alerts(forecast, **options)
     return _as_alerts(coming).unionByName(_as_alerts(found))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +41,9 @@ def describe(
     if approximate:
         sketch = [F.percentile_approx(value, q).alias(n) for n, q in names.items()]
         return rows.groupBy(*groups).agg(*basic, *sketch)
-    return rows.groupBy(*groups).agg(*basic).join(
-        quantiles(rows, groups, {value: names}), list(groups)
-    )
+    found = quantiles(rows, groups, {value: names}).withColumnsRenamed({g: f"__{g}" for g in groups})
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups])
+    return rows.groupBy(*groups).agg(*basic).join(found, same, "left").drop(*[f"__{g}" for g in groups])
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

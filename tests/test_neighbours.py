@@ -117,3 +117,13 @@ def test_top_rows_break_ties_by_the_given_order(spark):
     df = spark.createDataFrame([("a", w, 0.5) for w in (3, 1, 2, 4)], "city string, week int, s double")
     top = top_rows(df, ["city"], [F.col("s"), F.col("week")], 3)
     assert [r[1] for r in rows(top, "rank")] == [1, 2, 3]
+
+
+@pytest.mark.parametrize("short", [True, False])
+def test_rows_without_key_or_time_are_in_no_series(spark, short):
+    from stationlake.operators.neighbours import with_neighbours
+
+    t = dt.datetime(2024, 5, 1)
+    df = spark.createDataFrame([("a", t, 1.0), (None, t, 2.0), ("a", None, 3.0)], "city string, time timestamp_ntz, v double")
+    got = with_neighbours(df, ["city"], "time", ["v"], before=1, short=short)
+    assert [(r["city"], r["v"], list(r["prev"])) for r in got.collect()] == [("a", 1.0, [])]

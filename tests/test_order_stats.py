@@ -4,7 +4,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from stationlake.operators.order_stats import average_ranks, quantiles, spearman
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from stationlake.operators.order_stats import average_ranks, positions, quantiles, spearman, value_counts, value_parts
+from stationlake.plans.profiles import describe
 
 SCHEMA = "g string, x double, y double"
 
@@ -72,3 +76,36 @@ def test_spearman_is_pairwise_complete(spark, salts):
             assert pd.isna(got.loc[g, "rho"])
         else:
             assert got.loc[g, "rho"] == pytest.approx(rho)
+
+
+def test_parts_follow_the_order_of_any_doubles(spark):
+    draw = np.random.default_rng(8)
+    bits = draw.integers(0, 2**64, 4000, dtype=np.uint64).view(np.float64)
+    near = [x for k in range(-1040, 1020, 37) for x in (2.0**k, np.nextafter(2.0**k, 0), np.nextafter(2.0**k, 9e307))]
+    values = [*bits[~np.isnan(bits)].tolist(), *near, *[-x for x in near], 0.0, -0.0, 5e-324, float("inf"), float("-inf"), 1.7e308, 1.7e9, 1.7e9 + 1e-6]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = sorted(df.select("v", *[p.alias(n) for p, n in zip(value_parts(F.col("v")), ("a", "b"))]).collect(), key=lambda r: r["v"])
+    parts = [(r["a"], r["b"]) for r in got]
+    assert parts == sorted(parts)
+    assert spark.range(1).select(*value_parts(F.lit(float("nan")))).first()[0] > max(p[0] for p in parts)
+
+
+@pytest.mark.parametrize("value", ["1.7e9 + id", "1013 + id / 200000", "id * 1e-300", "1e15 + id"])
+def test_no_window_holds_more_than_its_bound(spark, value):
+    df = spark.range(200_000).select(F.lit("g").alias("g"), F.expr(f"CAST({value} AS DOUBLE)").alias("x"))
+    parts = df.select("x", *[p.alias(n) for p, n in zip(value_parts(F.col("x")), ("a", "b"))]).distinct()
+    inner = parts.groupBy("a", "b").count().agg(F.max("count")).first()[0]
+    middle = parts.select("a", "b").distinct().groupBy("a").count().agg(F.max("count")).first()[0]
+    assert inner <= 1 << 21 and middle <= 1 << 21 and (inner < 100 or middle < 100)
+    placed = positions(value_counts(df, ["g"], ["x"]), ["g"])
+    plain = Window.partitionBy("g").orderBy("value")
+    wrong = placed.withColumn("plain", F.sum("n").over(plain) - F.col("n")).filter("plain <> before OR total <> 200000")
+    assert placed.count() == df.distinct().count() and wrong.count() == 0
+
+
+def test_groups_without_name_or_values_stay(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("x", 2.0), ("y", None)], "g string, v double")
+    got = {r["g"]: r for r in describe(df, ["g"], "v", [0.5]).collect()}
+    assert got[None]["p50"] == 2.0 and got["x"]["p50"] == 2.0
+    assert got["y"]["p50"] is None and got["y"]["count"] == 0
+    assert {r["g"]: r["q"] for r in quantiles(df, ["g"], {"v": {"q": 0.5}}).collect()} == {None: 2.0, "x": 2.0, "y": None}

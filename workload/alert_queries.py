@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -84,7 +84,7 @@ ALL_CTES = [*SEASONS, COMING, *FORECAST_CTES]
 
 
 def alerts_of(spark, sf):
-    return al.check(seasons_of(spark, sf), AS_OF, forecast_of(spark, sf), level=LEVEL)
+    return al.check(seasons_of(spark, sf), AS_OF, forecast_of(spark, sf), today=AS_OF, level=LEVEL)
 
 
 @register("alert_check", sql.query(ALL_CTES, ALL_ALERTS, ["peak"]))
@@ -92,6 +92,13 @@ def _(spark, sf):
     return alerts_of(spark, sf)
 
 
+@register("alert_check_other_day", sql.query(ALL_CTES, ALL_ALERTS.split("UNION ALL")[0]))
+def _(spark, sf):
+    """On any day but today the forecast says nothing."""
+    later = AS_OF + timedelta(days=1)
+    return al.check(seasons_of(spark, sf), AS_OF, forecast_of(spark, sf), today=later, level=LEVEL)
+
+
 SITES = "places AS (SELECT DISTINCT city FROM seasons UNION SELECT DISTINCT city FROM event_hours)"
 
 

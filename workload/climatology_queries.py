@@ -111,27 +111,34 @@ def _(spark, sf):
     return cl.daily_flags(obs_daily(spark, sf), levels=HIGH)
 
 
-PICK = "CASE s.pollen_type " + " ".join(
-    f"WHEN '{s}' THEN h.{s}_pollen" for s in sql.SPECIES
-) + " END"
 HOURS = [*sql.MART_CHAIN[:-1], sql.obs_daily(), sql.seasons()]
 
 
 def _profile(groups: str, by: str) -> str:
+    """One list of readings per hour of a season, then means of the lists, then their share of the mean hour."""
+    readings = " UNION ALL ".join(
+        f"SELECT city, date_local, hour_local, '{s}' AS pollen_type, {s}_pollen AS reading FROM hourly" for s in sql.SPECIES
+    )
     return f"""
+readings AS ({readings}),
+in_season AS (
+  SELECT r.* FROM readings r SEMI JOIN seasons s
+    ON r.pollen_type = s.pollen_type AND r.city = s.city
+   AND r.date_local >= s.season_start AND r.date_local <= s.season_end AND s.year = extract(year FROM r.date_local)
+),
+by_hour AS (
+  SELECT {groups}, hour_local, list(reading) FILTER (WHERE reading IS NOT NULL) AS seen FROM in_season GROUP BY {groups}, hour_local
+),
+means AS (SELECT * EXCLUDE (seen), list_sum(seen) / nullif(len(seen), 0) AS grains FROM by_hour),
+whole AS (SELECT {by}, sum(grains) / count(grains) AS usual FROM means GROUP BY {by}),
 profile AS (
-  SELECT * REPLACE ({CAP} AS pollen_type),
-    grains / nullif(avg(grains) OVER (PARTITION BY {by}), 0) * 100 AS index
-  FROM (
-    SELECT {groups}, hour_local, avg({PICK}) AS grains
-    FROM hourly h JOIN seasons s ON s.city = h.city AND s.year = year(h.date_local)
-      AND h.date_local BETWEEN s.season_start AND s.season_end
-    GROUP BY ALL
-  )
+  SELECT means.* REPLACE (upper(left(means.pollen_type, 1)) || substr(means.pollen_type, 2) AS pollen_type),
+    100 * grains / CASE WHEN usual <> 0 THEN usual END AS index
+  FROM means JOIN whole USING ({by})
 )"""
 
 
-BY_SITE = _profile("h.city, s.pollen_type", "city, pollen_type")
+BY_SITE = _profile("city, pollen_type", "city, pollen_type")
 
 
 def profile_of(spark, sf, pooled=False):
@@ -148,7 +155,7 @@ def _(spark, sf):
 @register(
     "hour_profile_pooled",
     sql.query(
-        [*HOURS, _profile("s.pollen_type", "pollen_type")],
+        [*HOURS, _profile("pollen_type", "pollen_type")],
         "SELECT * FROM profile",
         ["grains", "index"],
     ),
@@ -317,11 +324,26 @@ def _(spark, sf):
     sql.query(
         sql.MART_CHAIN[:-1],
         f"""SELECT city, time_local AS time, {", ".join(POLLEN)} FROM hourly
-            WHERE time_local >= '1998-03-27' AND time_local < '1998-04-03'""",
+            WHERE time_local >= '1998-03-27' AND time_local < '1998-04-03' AND city IN ('ASIA', 'EUROPE')""",
+    ),
+)
+def _(spark, sf):
+    """Two sites are known; the hours of others are not returned."""
+    known = spark.createDataFrame([("ASIA",), ("EUROPE",), ("ATLANTIS",)], "city string")
+    return hr.hour_window(hourly_mart(spark, sf), date(1998, 3, 27), date(1998, 4, 3), sites=known)
+
+
+@register(
+    "one_site_hour_window",
+    sql.query(
+        sql.MART_CHAIN[:-1],
+        """SELECT city, time_local AS time, birch_pollen FROM hourly
+            WHERE time_local >= '1998-03-27' AND time_local < '1998-04-03' AND city = 'ASIA'""",
     ),
 )
 def _(spark, sf):
-    return hr.hour_window(hourly_mart(spark, sf), date(1998, 3, 27), date(1998, 4, 3))
+    window = hr.hour_window(hourly_mart(spark, sf), date(1998, 3, 27), date(1998, 4, 3), columns=["birch_pollen"], site="ASIA")
+    return window
 
 
 def forecast_of(spark, sf):
