@@ -148,38 +148,62 @@ class Network:
         gates = np.empty((steps, lanes, 2 * h), np.float32)
         fresh, mixed_in = np.empty((steps, lanes, h), np.float32), np.empty((steps, lanes, h), np.float32)
         given = table[inputs]
+        # In place, as these arrays are small and passes over them are what costs.
         for t in range(steps):
-            before = held[t] = state * ~begins[t][:, None]
+            before = held[t] = state if not begins[t].any() else state * ~begins[t][:, None]
             g = before @ turn
-            gate = 1 / (1 + np.exp(-(given[t, :, : 2 * h] + g[:, : 2 * h])))
-            gates[t], mixed_in[t] = gate, g[:, 2 * h :]
-            new = np.tanh(given[t, :, 2 * h :] + gate[:, h:] * mixed_in[t])
-            fresh[t] = new
-            state = out[t] = new + gate[:, :h] * (before - new)
+            gate, inner, new = gates[t], mixed_in[t], fresh[t]
+            np.add(given[t, :, : 2 * h], g[:, : 2 * h], out=gate)
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            inner[:] = g[:, 2 * h :]
+            np.multiply(gate[:, h:], inner, out=new)
+            new += given[t, :, 2 * h :]
+            np.tanh(new, out=new)
+            state = out[t]
+            np.subtract(before, new, out=state)
+            state *= gate[:, :h]
+            state += new
         return out, held, gates, fresh, mixed_in
 
-    def logs(self, states: np.ndarray, kind: np.ndarray, word: np.ndarray):
-        """Natural logs of the class and, for head words, of the word; states by row, kinds and words by row."""
+    def logs(self, states: np.ndarray, kind: np.ndarray, word: np.ndarray, shares: bool = True):
+        """Natural logs of the class and, for head words, of the word; states by row, kinds and words by row.
+
+        With ``shares`` also the probabilities that gradients need.
+        """
         w, c = self.weights, self.shape.classes
-        raw = states @ w["class"] + w["class0"]
-        raw -= raw.max(axis=1, keepdims=True)
-        share = np.exp(raw)
+        # States lie between -1 and 1: most weights cannot let an exponential overflow.
+        safe = max(np.abs(w[n]).sum(axis=-2).max() + np.abs(w[f"{n}0"]).max() for n in ("class", "word")) < 80
+        raw = states @ w["class"]
+        raw += w["class0"]
+        if not safe:
+            raw -= raw.max(axis=1, keepdims=True)
+        log = raw[np.arange(len(states)), kind]
+        share = np.exp(raw, out=raw)
         total = share.sum(axis=1)
-        rows = np.arange(len(states))
-        log = raw[rows, kind] - np.log(total)
-        share /= total[:, None]
-        order = np.argsort(kind, kind="stable")
+        log -= np.log(total)
+        if shares:
+            share /= total[:, None]
+        order = np.argsort(kind.astype(np.int16), kind="stable")
         bounds = np.searchsorted(kind[order], np.arange(c + 1))
         inner = []
         for k in range(c):
             at = order[bounds[k] : bounds[k + 1]]
             if len(at):
-                x = states[at] @ w["word"][k] + w["word0"][k]
-                x -= x.max(axis=1, keepdims=True)
-                e = np.exp(x)
+                x = states[at] @ w["word"][k]
+                x += w["word0"][k]
+                if not safe:
+                    x -= x.max(axis=1, keepdims=True)
+                own = x[np.arange(len(at)), word[at]]
+                e = np.exp(x, out=x)
                 s = e.sum(axis=1)
-                log[at] += x[np.arange(len(at)), word[at]] - np.log(s)
-                inner.append((k, at, e / s[:, None]))
+                own -= np.log(s)
+                log[at] += own
+                if shares:
+                    e /= s[:, None]
+                    inner.append((k, at, e))
         return log, share, inner
 
     def gradients(self, inputs, begins, state, kind, word, there):
@@ -191,14 +215,16 @@ class Network:
         log, share, inner = self.logs(states, kind, word)
         n = len(states)
         share[np.arange(n), kind] -= 1
-        share /= n
-        grads = {"class": states.T @ share, "class0": share.sum(axis=0), "word": np.zeros_like(w["word"]), "word0": np.zeros_like(w["word0"])}
+        grads = {"class": states.T @ share, "class0": np.ones(n, share.dtype) @ share, "word": np.zeros_like(w["word"]), "word0": np.zeros_like(w["word0"])}
         d = share @ w["class"].T
         for k, at, e in inner:
             e[np.arange(len(at)), word[at]] -= 1
-            e /= n
             grads["word"][k], grads["word0"][k] = states[at].T @ e, e.sum(axis=0)
             d[at] += e @ w["word"][k].T
+        # The mean is taken here, of the small arrays.
+        d /= n
+        for g in grads.values():
+            g /= n
         if there is None:
             d_states = d.reshape(steps, lanes, h)
         else:
@@ -208,16 +234,23 @@ class Network:
         back = np.zeros((lanes, h), np.float32)
         d_given, d_turned = np.empty((steps, lanes, 3 * h), np.float32), np.empty((steps, lanes, 3 * h), np.float32)
         turn = w["state"].T
+        keep, reset = gates[:, :, :h], gates[:, :, h:]
+        to_new = (1 - keep) * (1 - fresh * fresh)
+        to_keep = (held - fresh) * keep * (1 - keep)
+        to_reset = mixed_in * reset * (1 - reset)
         for t in range(steps - 1, -1, -1):
-            back = back + d_states[t]
-            keep, reset, new = gates[t, :, :h], gates[t, :, h:], fresh[t]
-            d_new = back * (1 - keep) * (1 - new * new)
-            d_given[t, :, :h] = back * (held[t] - new) * keep * (1 - keep)
-            d_given[t, :, h : 2 * h] = d_new * mixed_in[t] * reset * (1 - reset)
-            d_given[t, :, 2 * h :] = d_new
-            d_turned[t, :, : 2 * h] = d_given[t, :, : 2 * h]
-            d_turned[t, :, 2 * h :] = d_new * reset
-            back = (back * keep + d_turned[t] @ turn) * ~begins[t][:, None]
+            back += d_states[t]
+            own, turned = d_given[t], d_turned[t]
+            d_new = own[:, 2 * h :]
+            np.multiply(back, to_new[t], out=d_new)
+            np.multiply(back, to_keep[t], out=own[:, :h])
+            np.multiply(d_new, to_reset[t], out=own[:, h : 2 * h])
+            turned[:, : 2 * h] = own[:, : 2 * h]
+            np.multiply(d_new, reset[t], out=turned[:, 2 * h :])
+            back *= keep[t]
+            back += turned @ turn
+            if begins[t].any():
+                back *= ~begins[t][:, None]
         grads["state"] = held.reshape(-1, h).T @ d_turned.reshape(-1, 3 * h)
         flat = inputs.ravel()
         order = np.argsort(flat, kind="stable")
@@ -256,13 +289,23 @@ def windows(starts: np.ndarray, shape: Shape):
     size = np.array([len(f) for f in flat])
     begin = np.zeros(n, bool)
     begin[starts[:-1]] = True
-    for at in range(0, int(size[0]) if len(size) else 0, shape.window):
+    longest = int(size[0]) if len(size) else 0
+    # Lanes side by side, unless one long document would make this far larger than the tokens.
+    side = None
+    if len(flat) * longest <= 4 * n:
+        side = np.full((longest, len(flat)), -1)
+        for i, own in enumerate(flat):
+            side[: len(own), i] = own
+    for at in range(0, longest, shape.window):
         live = int((size > at).sum())
-        steps = min(shape.window, int(size[0]) - at)
-        places = np.full((steps, live), -1)
-        for i in range(live):
-            own = flat[i][at : at + steps]
-            places[: len(own), i] = own
+        steps = min(shape.window, longest - at)
+        if side is not None:
+            places = np.ascontiguousarray(side[at : at + steps, :live])
+        else:
+            places = np.full((steps, live), -1)
+            for i in range(live):
+                own = flat[i][at : at + steps]
+                places[: len(own), i] = own
         yield places, begin[places] | (places < 0)
 
 
@@ -344,8 +387,8 @@ def _scored(shared, shape: Shape, base: float):
                     out = network.forward(before[places], begins, state)[0]
                     state = out[-1]
                     there = places.ravel() >= 0
-                    own = places.ravel()[there]
-                    log[own] = network.logs(out.reshape(-1, shape.hidden)[there], kind[own], word[own])[0]
+                    own, whole, rows = places.ravel()[there], there.all(), out.reshape(-1, shape.hidden)
+                    log[own] = network.logs(rows if whole else rows[there], kind[own], word[own], shares=False)[0]
                 tail = kind >= shape.classes
                 log[tail] -= room[kind[tail] - shape.classes]
                 counted = np.log(count + 0.5)
