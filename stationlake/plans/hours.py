@@ -53,8 +53,8 @@ def typical_window(
 
     Each covered year's hours are moved onto the requested dates and averaged;
     ``years`` lists the years a value comes from. The covered dates are a table
-    of at most (end - start) rows per calendar year, so it is broadcast and the
-    hours are joined on their date: one scan for all years.
+    of at most (end - start) rows per calendar year, and the hours are joined on
+    their date: one scan for all years.
     """
     columns = list(columns or hourly_columns().values())
     span = days.agg(F.min("date_local").alias("first"), F.max("date_local").alias("last"))
@@ -73,9 +73,16 @@ def typical_window(
     moved = F.timestamp_add(
         "DAY", F.datediff(F.lit(start), F.col("s")), F.col("time_local")
     )
+    # The calendar months of the window are known now: a stored table reads only these,
+    # by the month in UTC, which is that of the local date or of a day beside it.
+    near = [start + timedelta(days=i) for i in range(-1, (end - start).days + 2)]
+    months = sorted({d.month for d in near})
+    rows = hours.filter(F.month("date_local").isin(months))
+    if "month" in hours.columns:
+        rows = rows.filter(F.col("month").isin(months))
     return (
-        hours.select("city", "date_local", "time_local", *columns)
-        .join(F.broadcast(dates), "date_local")
+        rows.select("city", "date_local", "time_local", *columns)
+        .join(dates, "date_local")
         .groupBy("city", moved.alias("time"))
         .agg(
             *[F.avg(c).alias(c) for c in columns],

@@ -104,8 +104,8 @@ def season_coverage(seasons: DataFrame, first_week: int = 5, last_week: int = 36
 def start_gaps(seasons: DataFrame, reference: str = "Malmö") -> DataFrame:
     """Weeks between each site's season start and the reference site's, over the years.
 
-    The reference side is one site: one row per species and year, whatever the
-    number of sites, so it is broadcast. Years missing there drop out.
+    The reference side is one site: one row per species and year. Years missing
+    there drop out.
     """
     starts = seasons.select(
         F.initcap("pollen_type").alias("pollen_type"), "city", "year", "season_start"
@@ -114,7 +114,7 @@ def start_gaps(seasons: DataFrame, reference: str = "Malmö") -> DataFrame:
         "pollen_type", "year", F.col("season_start").alias("__ref")
     )
     return (
-        starts.join(F.broadcast(ref), ["pollen_type", "year"])
+        starts.join(ref, ["pollen_type", "year"])
         .withColumn("gap_weeks", weeks_between("__ref", "season_start"))
         .groupBy("pollen_type", "city")
         .agg(

@@ -122,13 +122,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def store_mart(df: DataFrame, path: str, time: str) -> None:
-    """Write a mart partitioned by the year of ``time``; readers prune by the ``year`` column."""
-    write_by_year(df.withColumn("year", F.year(time)), path)
+    """Write a mart partitioned by year and month of ``time``; readers prune by both.
 
-
-def write_by_year(df: DataFrame, path: str) -> None:
-    """Replace the years present in ``df`` and keep all others."""
-    _replace_partitions(df, path, "year")
+    Replaces the months present in ``df`` and keeps all others.
+    """
+    parts = {"year": F.year(time), "month": F.month(time)}
+    _replace_partitions(df.withColumns(parts), path, *parts)
 
 
 def _replace_partitions(df: DataFrame, path: str, *columns: str) -> None:

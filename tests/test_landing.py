@@ -206,3 +206,17 @@ def test_a_stored_mart_is_pruned_by_year(spark, tmp_path):
     assert window.count() == 4
     plan = window._jdf.queryExecution().executedPlan().toString()
     assert "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_a_typical_window_reads_only_its_months(spark, tmp_path):
+    from stationlake.plans.hours import typical_window
+
+    path = str(tmp_path / "hourly")
+    listed = [("a", t, t.date(), 1.0) for y in (2021, 2022) for m in (3, 5, 9) for t in hours(f"{y}-{m:02d}-10T00:00", 30)]
+    df = spark.createDataFrame(listed, "city string, time_local timestamp_ntz, date_local date, v double")
+    tables.store_mart(df, path, "time_local")
+    days = spark.createDataFrame([(dt.date(2021, 1, 1),), (dt.date(2022, 12, 31),)], "date_local date")
+    window = typical_window(spark.read.parquet(path), days, dt.date(2024, 5, 10), dt.date(2024, 5, 12), columns=["v"])
+    assert window.count() == 30
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert any("month" in part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:])
