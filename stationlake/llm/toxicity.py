@@ -5,19 +5,22 @@ The models spell words: each predicts the next byte of a word from up to
 stem. Both discount their counts and fall back to one distribution: the
 interpolated continuation counts of both classes together. So an expression
 that is rare in both says nothing. The feature of a text is its log-likelihood
-ratio, toxic against ordinary, per word; a logistic curve, fitted on labelled
-rows that the models have not seen, turns it into a score.
+ratio, toxic against ordinary, per word; a logistic curve turns it into a score.
+It is fitted crosswise: each labelled row counts with the ratio that the models
+of the other ``PARTS`` - 1 parts give it, and each class with its share of all
+labels, however many of its rows are taken. So all labels train the models.
 
-Labels of ``most_toxic`` and ``most_ordinary`` rows at most, and of
-``calibration`` rows of any class, are learned from, taken by the hash of their
-key: this bounds the broadcast lists of keys. The model keeps the ``max_grams``
-grams with the highest counts, so its size is bounded too. A word counts once
-per text. Every text is scored on all its words.
+Labels of ``most_toxic`` and ``most_ordinary`` rows at most are learned from,
+and of these up to ``calibration`` rows of each class fit the curve, all taken
+by the hash of their key: this bounds the broadcast lists of keys. The model
+keeps the ``max_grams`` grams with the highest counts, so its size is bounded
+too. A word counts once per text. Every text is scored on all its words.
 
 Defined results: null and empty texts have ratio 0, and the score of that; rows
 without key are not held out; of repeated labels with one key the larger
-counts; without labelled rows of both classes all scores are 0. Added columns
-replace columns of the same name.
+counts; without words in labelled rows of both classes all scores are 0; where
+all rows of a class lie in one part, the models of all parts stand in for those
+of the others. Added columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationlake.llm.frames import as_bytes, extended
+from stationlake.llm.frames import as_bytes, extended, stored
 from stationlake.llm.hashing import LETTERS, Lookup, portions, spelled
 
 DISCOUNT, SHARED_DISCOUNT = 1.0, 0.75
+PARTS = 5
 
 
 def fold(key: str, folds: int = 5) -> Column:
@@ -110,17 +114,18 @@ def _shared(grams: np.ndarray, order: int) -> np.ndarray:
 
 
 def _counted_words(batches):
-    """Words of each batch with the number of toxic and ordinary texts that hold them."""
+    """Words of each batch by part, with the number of toxic and ordinary texts that hold them."""
     for batch in batches:
-        counts = (Counter(), Counter())
-        for text, toxic in zip(as_bytes(batch.column("__text")), batch.column("__toxic").to_pylist()):
+        counts = [(Counter(), Counter()) for _ in range(PARTS)]
+        for text, toxic, part in zip(as_bytes(batch.column("__text")), *[batch.column(c).to_pylist() for c in ("__toxic", "__part")]):
             if text:
-                counts[toxic].update(set(text.translate(LETTERS).split()))
-        words = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), *[pa.array([c[w] for w in words], pa.int64()) for c in (counts[1], counts[0])]],
-            names=["word", "toxic", "ordinary"],
-        )
+                counts[part][toxic].update(set(text.translate(LETTERS).split()))
+        for part, (ordinary, toxic) in enumerate(counts):
+            words = list(ordinary.keys() | toxic.keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.binary()), pa.array([part] * len(words), pa.int32()), *[pa.array([c[w] for w in words], pa.int64()) for c in (toxic, ordinary)]],
+                names=["word", "part", "toxic", "ordinary"],
+            )
 
 
 def _counted_grams(order: int):
@@ -156,43 +161,59 @@ def fit(
         .groupBy(F.col(key).alias("__key"))
         .agg((F.max(label) > 0).alias("__toxic"))
         .withColumn("__order", F.xxhash64("__key", F.lit("order")))
+        .withColumn("__part", F.pmod(F.xxhash64("__key", F.lit("part")), F.lit(PARTS)).cast("int"))
     )
-    tuning = F.pmod(F.xxhash64("__key", F.lit("part")), F.lit(5)) == 0
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
 
-    def sample(where, size):
-        return known.filter(where).orderBy("__order", "__key").limit(size).select("__key", "__toxic")
+    def sample(toxic, size):
+        of = known.filter(F.col("__toxic") == toxic)
+        return of.orderBy("__order", "__key").limit(size).select("__key", "__toxic", "__part")
 
-    chosen = sample(~tuning & F.col("__toxic"), most_toxic).unionByName(sample(~tuning & ~F.col("__toxic"), most_ordinary))
+    chosen = sample(True, most_toxic).unionByName(sample(False, most_ordinary))
     counts = [F.sum(c).alias(c) for c in ("toxic", "ordinary")]
-    words = (
+    words = stored(
         rows.join(F.broadcast(chosen), "__key")
-        .select("__text", "__toxic")
-        .mapInArrow(_counted_words, "word binary, toxic long, ordinary long")
-        .groupBy("word")
-        .agg(*counts)
+        .select("__text", "__toxic", "__part")
+        .mapInArrow(_counted_words, "word binary, part int, toxic long, ordinary long")
+        .groupBy("word", "part")
+        .agg(*counts),
+        "words",
     )
-    grams = words.mapInArrow(_counted_grams(order), "gram long, toxic long, ordinary long").groupBy("gram").agg(*counts)
-    top = grams.orderBy(F.desc(F.expr("toxic + ordinary")), "gram").limit(max_grams).toPandas()
-    model = Model(*[top[c].to_numpy() for c in ("gram", "toxic", "ordinary")], order) if len(top) else None
-    if model is None or not top["toxic"].any() or not top["ordinary"].any():
+
+    def learned(words):
+        grams = words.mapInArrow(_counted_grams(order), "gram long, toxic long, ordinary long").groupBy("gram").agg(*counts)
+        top = grams.orderBy(F.desc(F.expr("toxic + ordinary")), "gram").limit(max_grams).toPandas()
+        if not len(top) or not top["toxic"].any() or not top["ordinary"].any():
+            return None
+        return Model(*[top[c].to_numpy() for c in ("gram", "toxic", "ordinary")], order)
+
+    model = learned(words)
+    if model is None:
         return Model(*[np.empty(0, np.int64)] * 3, order)
-    tuned = rows.join(F.broadcast(sample(tuning, calibration)), "__key")
-    points = scored(tuned, model, "__text", keep=["__toxic"]).toPandas()
-    if points["__toxic"].nunique() == 2:
-        model.slope, model.offset = _logistic(points["ratio"].to_numpy(), points["__toxic"].to_numpy(float))
+    drawn = sample(True, min(calibration, most_toxic)).unionByName(sample(False, min(calibration, most_ordinary)))
+    tuned = stored(rows.join(F.broadcast(drawn), "__key").select("__text", "__toxic", "__part"), "tuning")
+    points = []
+    for part in range(PARTS):
+        shared = docs.sparkSession.sparkContext.broadcast(learned(words.filter(F.col("part") != part)) or model)
+        points.append(_scored(tuned.filter(F.col("__part") == part), shared, "__text", ["__toxic"]).toPandas())
+        shared.destroy()
+    x, y = (np.concatenate([p[c].to_numpy(float) for p in points]) for c in ("ratio", "__toxic"))
+    share = {r["__toxic"]: r["count"] for r in known.groupBy("__toxic").count().collect()}
+    weight = np.where(y > 0, share[True] / max(y.sum(), 1), share[False] / max((1 - y).sum(), 1))
+    if 0 < y.sum() < len(y):
+        model.slope, model.offset = _logistic(x, y, weight / weight.mean())
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset by Newton steps, with a weak pull to 0 for separable points."""
     scale = max(float(x.std()), 1e-9)
     features = np.column_stack([(x - x.mean()) / scale, np.ones_like(x)])
     w, pull = np.zeros(2), np.diag([1e-2, 1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-        gradient = features.T @ (p - y) + pull @ w
-        step = np.linalg.solve((features * (p * (1 - p))[:, None]).T @ features + pull, gradient)
+        gradient = features.T @ (weight * (p - y)) + pull @ w
+        step = np.linalg.solve((features * (weight * p * (1 - p))[:, None]).T @ features + pull, gradient)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -201,8 +222,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep=None) -> DataFrame:
     """``docs`` with ``score`` (0 to 1), ``predicted`` (1 from 0.5 on) and ``ratio``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return _scored(docs, docs.sparkSession.sparkContext.broadcast(model), text, keep)
+
 
+def _scored(docs: DataFrame, shared, text: str, keep) -> DataFrame:
     def run(batches):
         for batch in batches:
             ratio = shared.value.ratios(as_bytes(batch.column(text)))

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stationlake.llm import toxicity
 
@@ -59,6 +60,19 @@ def test_null_empty_long_repeated_and_missing(spark, tables):
     assert toxicity.scored(odd.limit(0), toxicity.fit(docs.limit(0), labels)).collect() == []
 
 
+@pytest.mark.parametrize("few,options", [(1, {}), (4, {"calibration": 100})])
+def test_few_toxic_labels_still_calibrate(spark, tables, few, options):
+    docs, labels, truth = tables
+    of = [d for d, bad in truth.items() if bad and zlib.crc32(str(d).encode()) % 5][:few]
+    model = toxicity.fit(docs, labels.filter((F.col("toxic") == 0) | F.col("doc_id").isin(of)), **options)
+    assert model.slope > 0 and model.offset > -1000
+    score = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, model).collect()}
+    held = [d for d in truth if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert np.mean([score[d] for d in held if truth[d]]) > 2 * np.mean([score[d] for d in held if not truth[d]])
+    # Scores follow the shares of the classes in all labels, not in the rows drawn for the curve.
+    assert np.mean([score[d] for d in truth if not truth[d]]) < 5 * few / 1129
+
+
 def test_spelled_grams():
     from stationlake.llm.hashing import spelled
 
