@@ -2,10 +2,14 @@
 
 The models spell words: each predicts the next byte of a word from up to
 ``order`` - 1 bytes before it, so forms of one stem share what is known of the
-stem. Both discount their counts and fall back to one distribution: the
-interpolated continuation counts of both classes together. So an expression
-that is rare in both says nothing. The feature of a text is its log-likelihood
-ratio, toxic against ordinary, per word; a logistic curve turns it into a score.
+stem. Both discount their counts, by what the counts of counts tell, and fall
+back to one distribution: the interpolated continuation counts of both classes
+together. The feature of a text is its log-likelihood ratio, toxic against
+ordinary, per word. A gram that neither model knows, or that both know by the
+shared counts only, has ratio 0, and every other ratio is shrunk by its
+evidence: z the standard score of the difference of the classes after the same
+context, it counts z^2 / (z^2 + ``DOUBT``). So the many words that say nothing
+do not drown the few that do. A logistic curve turns the feature into a score.
 It is fitted crosswise: each labelled row counts with the ratio that the models
 of the other ``PARTS`` - 1 parts give it, and each class with its share of all
 labels, however many of its rows are taken. So all labels train the models.
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from stationlake.llm.frames import as_bytes, extended, stored
 from stationlake.llm.hashing import LETTERS, Lookup, portions, spelled
 
-DISCOUNT, SHARED_DISCOUNT = 1.0, 0.75
+SHARED_DISCOUNT, DOUBT = 0.75, 25.0
 PARTS = 5
 
 
@@ -44,36 +48,36 @@ def fold(key: str, folds: int = 5) -> Column:
 
 
 class Model:
-    """Log-likelihood ratio of each known gram, and of an unknown byte after each known context."""
+    """Log-likelihood ratio of each known gram; unknown ones have none."""
 
     def __init__(self, grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, order: int):
         self.order, self.slope, self.offset = order, 0.0, -1000.0
         grams = grams.view(np.uint64)
         self.grams = Lookup(grams)
         contexts, at = np.unique(grams >> np.uint64(8), return_inverse=True)
-        self.contexts = Lookup(contexts)
-        lower = _shared(grams, order)
-        likely, fall = [], []
+        lower, size = _shared(grams, order), _sizes(grams, order)
+        likely, known, totals = [], np.zeros(len(grams), bool), []
         for count in (toxic.astype(float), ordinary.astype(float)):
+            discount = _discounts(count, size, order)[size]
             total = np.bincount(at, count, len(contexts))
-            moved = np.bincount(at, np.minimum(count, DISCOUNT), len(contexts))
+            moved = np.bincount(at, np.minimum(count, discount), len(contexts))
             weight = np.where(total > 0, np.maximum(moved / np.maximum(total, 1), 1e-9), 1.0)
-            own = np.where(total[at] > 0, np.maximum(count - DISCOUNT, 0) / np.maximum(total[at], 1), 0.0)
+            own = np.where(total[at] > 0, np.maximum(count - discount, 0) / np.maximum(total[at], 1), 0.0)
             likely.append(np.log(own + weight[at] * lower))
-            fall.append(np.log(weight))
-        self.ratio = np.append(likely[0] - likely[1], 0.0)
-        self.fall = np.append(fall[0] - fall[1], 0.0)
+            known |= own > 0
+            totals.append(total[at])
+        both = totals[0] + totals[1]
+        share = (toxic + ordinary) / np.maximum(both, 1)
+        spread = share * (1 - share) * totals[0] * totals[1] / np.maximum(both, 1)
+        squared = np.where(spread > 0, (toxic - share * totals[0]) ** 2 / np.where(spread > 0, spread, 1), 0.0)
+        self.ratio = np.append(np.where(known, (likely[0] - likely[1]) * squared / (squared + DOUBT), 0.0), 0.0)
 
     def ratios(self, texts: list[bytes | None]) -> np.ndarray:
         """Log-likelihood ratio per word of each text."""
         out = [np.empty(0)]
         for a, b in portions(texts):
             grams, starts, words = spelled(texts[a:b], self.order)
-            at = self.grams.find(grams)
-            value = self.ratio[at]
-            unknown = np.flatnonzero(at == self.grams.n)
-            value[unknown] = self.fall[self.contexts.find(grams[unknown] >> np.uint64(8))]
-            total = np.concatenate(([0.0], np.cumsum(value)))
+            total = np.concatenate(([0.0], np.cumsum(self.ratio[self.grams.find(grams)])))
             out.append((total[starts[1:]] - total[starts[:-1]]) / np.maximum(words, 1))
         return np.concatenate(out)
 
@@ -82,12 +86,22 @@ class Model:
             return 1.0 / (1.0 + np.exp(-(self.slope * ratios + self.offset)))
 
 
+def _sizes(grams: np.ndarray, order: int) -> np.ndarray:
+    return sum((grams >> np.uint64(8 * k) > 0).astype(np.int64) for k in range(order))
+
+
+def _discounts(count: np.ndarray, size: np.ndarray, order: int) -> np.ndarray:
+    """Share of one count to discount from grams of each size, n1 / (n1 + 2 n2); a half where none is seen once."""
+    once, twice = (np.bincount(size[count == n], minlength=order + 1) for n in (1, 2))
+    return np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
+
+
 def _shared(grams: np.ndarray, order: int) -> np.ndarray:
     """Probability of each gram's last byte after its context without the first byte.
 
     Interpolated Kneser-Ney: a shorter gram counts the distinct bytes before it.
     """
-    size = sum((grams >> np.uint64(8 * k) > 0).astype(np.int64) for k in range(order))
+    size = _sizes(grams, order)
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for n in range(order - 1, 0, -1):
         longer = grams[size == n + 1]

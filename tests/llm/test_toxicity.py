@@ -73,6 +73,29 @@ def test_few_toxic_labels_still_calibrate(spark, tables, few, options):
     assert np.mean([score[d] for d in truth if not truth[d]]) < 5 * few / 1129
 
 
+def test_held_out_rows_with_known_insults_are_found(spark):
+    """Insults that stand in 200 toxic training rows and in no ordinary one, in texts of other words."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    insults = "idiot loser trash scum moron clown pathetic worthless stupid disgusting".split()
+    held = docs.filter(toxicity.fold("doc_id") == 0).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    rows = toxicity.scored(held, toxicity.fit(docs, labels)).collect()
+    toxic = [r["predicted"] for r in rows if r["toxic"] and set(insults) & set(r["text"].lower().replace(".", " ").replace(",", " ").split())]
+    false = sum(r["predicted"] for r in rows if r["toxic"] == 0)
+    found = sum(r["predicted"] for r in rows if r["toxic"])
+    print(f"{sum(toxic)} of {len(toxic)} with known insults, {found} of {sum(r['toxic'] or 0 for r in rows)} in all, {false} others")
+    assert len(toxic) > 45 and sum(toxic) >= 0.95 * len(toxic) and false <= 2
+
+
+def test_unknown_and_doubtful_grams_say_nothing():
+    def gram(text):
+        return int.from_bytes(text, "big")
+    known = np.array([gram(g) for g in (b" a", b" b", b" c")])
+    model = toxicity.Model(known, np.array([50, 50, 1]), np.array([5000, 50, 0]), 2)
+    assert model.ratio[1] > 1 > 0 > model.ratio[0] and model.ratio[3] == 0
+    assert abs(model.ratio[2]) < model.ratio[1]
+    assert model.ratios([b"xyz xyzzy"]).tolist() == [0.0]
+
+
 def test_spelled_grams():
     from stationlake.llm.hashing import spelled
 
