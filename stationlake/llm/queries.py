@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from stationlake.llm import decontaminate, hamming, neardup, pages, pieces, recurrent, separators, shards, tokenfiles, toxicity
-from stationlake.llm.frames import table
+from stationlake.llm import decontaminate, hamming, neardup, packing, pages, pieces, recurrent, repair, separators, shards, tokenfiles, toxicity, variants
+from stationlake.llm.frames import stored, table
 from stationlake.llm.registry import register
 from stationlake.session import work_path
 
@@ -125,3 +125,19 @@ def main_text(spark, sf_dir):
 @register("op5_recurrent_scores")
 def recurrent_scores(spark, sf_dir):
     return recurrent.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op11_spelling_variants")
+def spelling_variants(spark, sf_dir):
+    return variants.variants(stored(variants.words(table(spark, sf_dir, "documents").select("doc_id", "text")), "words"))
+
+
+@register("op12_packing")
+def sequence_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op13_conversation_repair")
+def conversation_repair(spark, sf_dir):
+    return repair.repair(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))

@@ -17,6 +17,11 @@ FIRST = {
     "op7_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op9_near_duplicates": ["doc_id", "n_shingles", "component_id", "kept"],
     "op10_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op11_spelling_variants": ["word", "form", "root", "n", "n_near", "form_n"],
+    "op12_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    "op13_conversation_repair": [
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    ],
 }
 
 
