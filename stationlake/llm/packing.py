@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationlake.llm.frames import stored
-from stationlake.llm.tokenfiles import encoder
+from stationlake.llm.tokenfiles import Encoder
 
 #: Parts of the fitted repeats that are tried: a smaller one leaves more pieces to best fit.
 SHARES = (1.0, 0.97, 0.9, 0.8)
@@ -51,6 +52,12 @@ def cut(n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return count, begin, np.where(number == 0, np.repeat(head, count), size)
 
 
+@lru_cache(maxsize=1)
+def encoder(tokenizer_file: str, words: int = 1_000_000) -> Encoder:
+    """One encoder for all tasks of a worker process; ``words`` are kept, some 250 MB."""
+    return Encoder(tokenizer_file, words)
+
+
 def _cutter(tokenizer_file: str, end: int, size: int, texts_at_once: int = 250):
     def run(batches):
         encode, part = encoder(tokenizer_file), TaskContext.get().partitionId()
