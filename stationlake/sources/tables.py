@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stationlake.session import work_path
+from stationlake.sources import versions
 
 MARTS = ["hourly", "daily", "weekly", "seasons", "missing_values"]
 
@@ -45,7 +45,6 @@ def merged(
 
 
 _PERIODS = {"day": "yyyyMMdd", "month": "yyyyMM"}
-_LISTED = 1000
 
 
 def upsert(
@@ -56,63 +55,65 @@ def upsert(
     time: str = "time",
     version: Sequence[str] = ("loaded_at",),
     by: str = "month",
+    keep: int = 2,
 ) -> None:
-    """Replace or add rows by key in a Parquet table partitioned by day or month (``period``).
-
-    The batch is staged once. Only its periods are read and rewritten. The
-    merged periods are written to a work table first: the job that replaces
-    them reads that table alone, so it can be repeated after a failure without
-    loss. Work tables are removed after success. The table keeps every column
-    any load has had: they are declared beside the data. Rows without time
-    share one period.
+    """Replace or add rows by key in a table kept in periods, a day or a month each.
+
+    The batch is staged once. Its periods alone are read and written, to new
+    folders; the version that names them is put in place last. So a load can be
+    repeated after a failure, readers see the table before or after a load, and
+    two loads at a time cannot both succeed unseen. The newest ``keep`` versions
+    can be read. The table keeps every column any load has had; a column whose
+    type changes takes the narrowest type that holds both, and periods that are
+    not touched keep their files. Rows without time share one period.
+
+    ``keys`` must have the time: a key found in another period would not be seen.
     """
+    if time not in keys:
+        raise ValueError(f"the keys {list(keys)} lack the time column {time!r}")
+    before = versions.version(spark, path)
+    columns = versions.widened(spark, before.columns, new.schema) if before else versions.widened(spark, new.schema, new.schema)
     label = F.coalesce(F.date_format(time, _PERIODS[by]), F.lit("none"))
-    staged, result = work_path(spark, "upsert-batch"), work_path(spark, "upsert")
-    new.withColumn("period", label).write.parquet(staged)
-    batch = spark.read.parquet(staged)
-    keys = [*keys, "period"]
-    if table_exists(spark, path):
-        stored = _with_period(spark, path)
-        batch = merged(_same_periods(stored, batch), batch, keys, version)
-    else:
-        batch = latest_per_key(batch, keys, version)
-    batch.write.parquet(result)
-    rows = spark.read.parquet(result)
-    _declare(spark, path, rows.drop("period").schema)
-    _replace_partitions(rows, path, "period")
-    for work in (staged, result):
-        remove(spark, work)
-
-
-def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    """The table behind ``path`` with all columns of all loads."""
-    return _with_period(spark, path).drop("period")
-
-
-def _with_period(spark: SparkSession, path: str) -> DataFrame:
-    declared = f"{path}/_columns"
-    if table_exists(spark, declared):
-        schema = T.StructType.fromJson(json.loads(spark.read.text(declared, wholetext=True).first()[0]))
-        return spark.read.schema(schema.add("period", "string")).parquet(path)
-    # A failed load may leave no declaration: the files know their columns.
-    found = spark.read.option("mergeSchema", True).parquet(path)
-    return found.withColumn("period", F.col("period").cast("string"))
-
-
-def _declare(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    if table_exists(spark, path) and table_exists(spark, f"{path}/_columns"):
-        if set(schema.names) <= set(_with_period(spark, path).columns) and len(schema.names) + 1 == len(_with_period(spark, path).columns):
-            return
-    spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_columns")
-
-
-def _same_periods(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored rows of the batch's periods: few are listed in the scan, many are joined."""
-    touched = batch.select("period").distinct()
-    listed = [r["period"] for r in touched.limit(_LISTED + 1).collect()]
-    if len(listed) <= _LISTED:
-        return stored.filter(F.col("period").isin(listed))
-    return stored.join(touched, "period", "left_semi").select(*stored.columns)
+    staged, load = work_path(spark, "upsert-batch"), uuid.uuid4().hex
+    new.write.parquet(staged)
+    batch = spark.read.schema(new.schema).parquet(staged)
+    # One entry for each period of the calendar.
+    touched = {r["period"] for r in batch.select(label.alias("period")).distinct().collect()}
+    stored = versions.read(spark, path, before, touched) if before else None
+    rows = merged(stored, batch, keys, version) if before else latest_per_key(batch, keys, version)
+    folder = f"{path}/data/{load}"
+    try:
+        (
+            rows.select(*[F.col(f"`{c.name}`").cast(c.dataType).alias(c.name) for c in columns], label.alias("period"))
+            .hint("rebalance", F.col("period"))
+            .write.option("compression", "zstd")
+            .partitionBy("period")
+            .parquet(folder)
+        )
+        periods = dict(before.periods if before else {}) | dict.fromkeys(touched, (load, columns))
+        versions.commit(spark, path, versions.Version(before.number + 1 if before else 1, columns, periods))
+    except Exception:
+        remove(spark, folder)
+        raise
+    finally:
+        remove(spark, staged)
+    versions.expire(spark, path, keep)
+
+
+def read_upserted(spark: SparkSession, path: str, number: int | None = None, start: date | None = None, end: date | None = None) -> DataFrame:
+    """The newest version behind ``path``, or that of a number, with all columns of all loads.
+
+    ``start`` and ``end`` (both included) choose periods: rows of other times in
+    them, and rows without time, may be among the result.
+    """
+    found = versions.version(spark, path, number)
+    if found is None:
+        raise ValueError(f"no table at {path}")
+    chosen = None
+    if start or end:
+        lo, hi = (d and d.strftime("%Y%m%d") for d in (start, end))
+        chosen = {p for p in found.periods if p == "none" or (not lo or p >= lo[: len(p)]) and (not hi or p <= hi[: len(p)])}
+    return versions.read(spark, path, found, chosen)
 
 
 def remove(spark: SparkSession, path: str) -> None:

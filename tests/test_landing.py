@@ -1,13 +1,12 @@
 import datetime as dt
 import json
 import os
-import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from stationlake.model import LOAD_LOG_SCHEMA, ZONE, site_dimension
-from stationlake.sources import landing, tables
+from stationlake.sources import landing, tables, versions
 from tests.helpers import hours, rows
 
 VARIABLES = ["alder_pollen", "birch_pollen"]
@@ -135,14 +134,18 @@ def test_upsert_touches_only_its_periods(spark, tmp_path, by):
     times = [dt.datetime(2024, m, 1) for m in (5, 6, 7)]
     left = set(os.listdir(shared))
     tables.upsert(spark, path, spark.createDataFrame([("a", t, 1.0, L0) for t in times], RAW), by=by)
-    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "raw").glob("period=*/*.parquet")}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "raw").glob("data/*/period=*/*.parquet")}
     later = L0 + dt.timedelta(days=1)
-    tables.upsert(spark, path, spark.createDataFrame([("a", times[1], 2.0, later), ("b", times[1], 3.0, later)], RAW), by=by)
+    tables.upsert(spark, path, spark.createDataFrame([("a", times[1], 2.0, later), ("b", times[1], 3.0, later)], RAW), by=by, keep=1)
     got = rows(tables.read_upserted(spark, path).select("city", "time", "v"), "time", "city")
     assert got == [("a", times[0], 1.0), ("a", times[1], 2.0), ("b", times[1], 3.0), ("a", times[2], 1.0)]
     day = "01" if by == "day" else ""
     assert sorted(p.parent.name for p in before if p.exists()) == [f"period=202405{day}", f"period=202407{day}"]
-    assert len(list((tmp_path / "raw").glob("period=*/*.parquet"))) == 3
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items() if p.exists())
+    assert len(list((tmp_path / "raw").glob("data/*/period=*/*.parquet"))) == 3
+    in_june = tables.read_upserted(spark, path, start=dt.date(2024, 6, 1), end=dt.date(2024, 6, 30))
+    assert rows(in_june.select("city", "v"), "city") == [("a", 2.0), ("b", 3.0)]
+    assert len(in_june.inputFiles()) == 1
     assert set(os.listdir(shared)) == left
 
 
@@ -156,9 +159,81 @@ def test_upsert_keeps_every_column_of_every_load(spark, tmp_path):
     got = tables.read_upserted(spark, path)
     assert got.columns == ["city", "time", "v", "loaded_at", "checked"]
     assert rows(got.select("city", "v", "checked"), "city") == [("a", 5.0, True), ("b", 4.0, None), ("c", 3.0, None)]
-    shutil.rmtree(f"{path}/_columns")
-    tables.upsert(spark, path, spark.createDataFrame([("d", other, 9.0, L0)], RAW))
-    assert rows(tables.read_upserted(spark, path).select("city", "checked"), "city") == [("a", True), ("b", None), ("c", None), ("d", None)]
+
+
+def test_upsert_widens_types(spark, tmp_path):
+    """Narrower files stay as they are; what no type holds is refused and changes nothing."""
+    path = str(tmp_path / "raw")
+    months = [dt.datetime(2024, m, 1) for m in (1, 2, 3, 4)]
+
+    def load(kind, value, times):
+        schema = f"city string, time timestamp_ntz, v {kind}, loaded_at timestamp_ntz"
+        tables.upsert(spark, path, spark.createDataFrame([("a", t, value, L0) for t in times], schema))
+        return tables.read_upserted(spark, path)
+
+    load("int", 7, months)
+    got = load("bigint", 1 << 40, months[1:3])
+    assert dict(got.dtypes)["v"] == "bigint"
+    assert [r.v for r in got.orderBy("time").collect()] == [7, 1 << 40, 1 << 40, 7]
+    got = load("double", 0.5, months[2:3])
+    assert [r.v for r in got.orderBy("time").collect()] == [7.0, float(1 << 40), 0.5, 7.0]
+    assert [r.v for r in load("tinyint", 1, months[:1]).orderBy("time").collect()] == [1.0, float(1 << 40), 0.5, 7.0]
+    with pytest.raises(ValueError, match="column v was double and is string"):
+        load("string", "x", months[:1])
+    assert [r.v for r in tables.read_upserted(spark, path).orderBy("time").collect()] == [1.0, float(1 << 40), 0.5, 7.0]
+
+
+def test_upsert_refuses_keys_without_time(spark, tmp_path):
+    batch = spark.createDataFrame([("a", T0, 1.0, L0)], RAW)
+    with pytest.raises(ValueError, match="lack the time"):
+        tables.upsert(spark, str(tmp_path / "raw"), batch, keys=("city",))
+
+
+def test_readers_see_one_version(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "raw")
+    times = [dt.datetime(2024, m, 1) for m in (5, 6, 7)]
+
+    def batch(v):
+        return spark.createDataFrame([("a", t, v, L0) for t in times], RAW)
+
+    tables.upsert(spark, path, batch(1.0))
+    opened = tables.read_upserted(spark, path)
+    seen = []
+    commit = versions.commit
+
+    def watched(spark_, path_, new):
+        # All files of the new version are there, but it is not the table yet.
+        seen.append([r.v for r in tables.read_upserted(spark, path).collect()])
+        commit(spark_, path_, new)
+
+    monkeypatch.setattr(versions, "commit", watched)
+    tables.upsert(spark, path, batch(2.0))
+    monkeypatch.undo()
+    assert seen == [[1.0] * 3]
+    assert [r.v for r in opened.collect()] == [1.0] * 3
+    assert [r.v for r in tables.read_upserted(spark, path).collect()] == [2.0] * 3
+    assert [r.v for r in tables.read_upserted(spark, path, number=1).collect()] == [1.0] * 3
+    tables.upsert(spark, path, batch(3.0))
+    assert versions.numbers(spark, path) == [2, 3]
+    assert len(list((tmp_path / "raw").glob("data/*"))) == 2
+
+
+def test_a_failed_or_overtaken_load_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "raw")
+    tables.upsert(spark, path, spark.createDataFrame([("a", T0, 1.0, L0)], RAW))
+    commit = versions.commit
+
+    def overtaken(spark_, path_, new):
+        commit(spark_, path_, versions.version(spark_, path_).__class__(new.number, new.columns, versions.version(spark_, path_).periods))
+        commit(spark_, path_, new)
+
+    monkeypatch.setattr(versions, "commit", overtaken)
+    with pytest.raises(versions.VersionTaken):
+        tables.upsert(spark, path, spark.createDataFrame([("a", T0, 2.0, L0)], RAW))
+    monkeypatch.undo()
+    assert rows(tables.read_upserted(spark, path).select("v")) == [(1.0,)]
+    assert len(list((tmp_path / "raw").glob("data/*"))) == 1
+    assert not list((tmp_path / "raw/versions").glob(".0*-*"))
 
 
 def test_snapshot_and_views(spark, tmp_path):

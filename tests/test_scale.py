@@ -9,7 +9,7 @@ from tests.oracle import DATA
 from workload.registry import QUERIES
 
 SF = str(DATA / "sf0.001")
-STORING = {"upsert_table", "snapshot_roundtrip"}
+STORING = {"upsert_table", "upsert_types", "upsert_versions", "snapshot_roundtrip"}
 LAZY = sorted(n for n in QUERIES if n not in STORING and not n.startswith("stream_"))
 
 

@@ -158,6 +158,45 @@ def _(spark, sf):
     return tb.read_upserted(spark, path)
 
 
+def _since(df, day):
+    return df.filter(F.col("time") >= F.lit(day).cast("timestamp_ntz"))
+
+
+@register(
+    "upsert_types",
+    sql.query(
+        [sql.SITE_LINES, sql.RAW_AIR],
+        """SELECT city, time, CASE WHEN time >= '2001-01-01' THEN pm10 WHEN time >= '2000-01-01' THEN floor(pm10) + 3000000000
+             ELSE floor(pm10) END AS amount FROM raw_air""",
+    ),
+)
+def _(spark, sf):
+    """A column that is int in the first load, bigint in the second and double in the third."""
+    path, air = work_path(spark, "types"), raw_air(spark, sf)
+    amount = F.floor("pm10").cast("int")
+    tb.upsert(spark, path, air.select("city", "time", "loaded_at", amount.alias("amount")))
+    wide = (amount.cast("long") + F.lit(3_000_000_000)).alias("amount")
+    tb.upsert(spark, path, _since(air, "2000-01-01").select("city", "time", "loaded_at", wide))
+    tb.upsert(spark, path, _since(air, "2001-01-01").select("city", "time", "loaded_at", F.col("pm10").alias("amount")))
+    return tb.read_upserted(spark, path).select("city", "time", "amount")
+
+
+@register(
+    "upsert_versions",
+    sql.query(
+        [sql.SITE_LINES, sql.RAW_AIR],
+        """SELECT city, time, pm10 AS before, CASE WHEN time >= '2000-01-01' THEN pm10 + 1 ELSE pm10 END AS after FROM raw_air""",
+    ),
+)
+def _(spark, sf):
+    """Both versions of a table side by side: the one before the correction stays as it was."""
+    path = work_path(spark, "versions")
+    tb.upsert(spark, path, raw_air(spark, sf))
+    tb.upsert(spark, path, corrected(spark, sf))
+    before, after = (tb.read_upserted(spark, path, n).select("city", "time", "pm10") for n in (1, 2))
+    return before.withColumnRenamed("pm10", "before").join(after.withColumnRenamed("pm10", "after"), ["city", "time"])
+
+
 @register(
     "filter_between",
     sql.query(
