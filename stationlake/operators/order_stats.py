@@ -31,8 +31,8 @@ def value_parts(value: Column) -> tuple[Column, Column]:
     21 bits only. Dividing by a power of two is exact. Never null.
     """
     size = F.abs(value)
-    guess = F.floor(F.log2(size))
-    # The logarithm may be off by one close to a power of two.
+    # The logarithm may be off by one close to a power of two; the largest doubles must not reach 2 to the 1024th.
+    guess = F.least(F.floor(F.log2(size)), F.lit(1023))
     scaled = size / F.pow(F.lit(2.0), guess)
     exponent = F.when(scaled >= 2, guess + 1).when(scaled < 1, guess - 1).otherwise(guess)
     mantissa = F.when(scaled >= 2, scaled / 2).when(scaled < 1, scaled * 2).otherwise(scaled)
@@ -65,40 +65,48 @@ def value_counts(df: DataFrame, groups: Sequence[str], columns: Sequence[str]) -
     )
 
 
-def positions(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
+def positions(counts: DataFrame, groups: Sequence[str], numbers: Sequence[str] = ("n",)) -> DataFrame:
     """Add ``before`` (rows with a smaller value) and ``total`` (rows) per group.
 
     The window over the group alone sees one row for each leading part of its
-    values, that over a leading part one row for each middle part.
+    values, that over a leading part one row for each middle part. ``numbers``
+    are several counts of the same values: all are summed in the same windows,
+    into ``before_<name>`` and ``total_<name>``.
     """
     groups = list(groups)
     high, middle = value_parts(F.col("value"))
     inner = Window.partitionBy(*groups, "__high", "__middle")
+    of_high, of_group = Window.partitionBy(*groups, "__high"), Window.partitionBy(*groups)
+
+    def placed(window: Window, by: str, of: str, before: str, total: str) -> list[Column]:
+        """Running sums without the row itself, and whole sums, of every count."""
+        found = []
+        for c in numbers:
+            value = F.col(of.format(c))
+            found += [(F.sum(value).over(window.orderBy(by)) - value).alias(before.format(c)), F.sum(value).over(window).alias(total.format(c))]
+        return found
+
     numbered = counts.withColumns({"__high": high, "__middle": middle}).select(
-        "*",
-        (F.sum("n").over(inner.orderBy("value")) - F.col("n")).alias("__inside"),
-        F.sum("n").over(inner).alias("__size"),
-        F.row_number().over(inner.orderBy("value")).alias("__row"),
+        "*", *placed(inner, "value", "{}", "__inside_{}", "__size_{}"), F.row_number().over(inner.orderBy("value")).alias("__row")
     )
-    of_high, of_group = Window.partitionBy(*groups, "__high"), Window.partitionBy(*groups)
     middles = numbered.filter(F.col("__row") == 1).select(
         *groups,
         "__high",
         "__middle",
-        (F.sum("__size").over(of_high.orderBy("__middle")) - F.col("__size")).alias("__offset"),
-        F.sum("__size").over(of_high).alias("__high_size"),
+        *placed(of_high, "__middle", "__size_{}", "__offset_{}", "__high_size_{}"),
         F.row_number().over(of_high.orderBy("__middle")).alias("__row"),
     )
     highs = middles.filter(F.col("__row") == 1).select(
-        *groups,
-        "__high",
-        (F.sum("__high_size").over(of_group.orderBy("__high")) - F.col("__high_size")).alias("__base"),
-        F.sum("__high_size").over(of_group).alias("total"),
-    )
-    offsets = _joined(middles.drop("__row", "__high_size"), highs, [*groups, "__high"])
-    return _joined(numbered, offsets, [*groups, "__high", "__middle"]).select(
-        *groups, "value", "n", (F.col("__base") + F.col("__offset") + F.col("__inside")).alias("before"), "total"
+        *groups, "__high", *placed(of_group, "__high", "__high_size_{}", "__base_{}", "__total_{}")
     )
+    offsets = _joined(middles.drop("__row", *[f"__high_size_{c}" for c in numbers]), highs, [*groups, "__high"])
+    single = len(numbers) == 1
+    ends = []
+    for c in numbers:
+        suffix = "" if single else f"_{c}"
+        before = F.col(f"__base_{c}") + F.col(f"__offset_{c}") + F.col(f"__inside_{c}")
+        ends += [before.alias(f"before{suffix}"), F.col(f"__total_{c}").alias(f"total{suffix}")]
+    return _joined(numbered, offsets, [*groups, "__high", "__middle"]).select(*groups, "value", *numbers, *ends)
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -153,71 +161,45 @@ def _mean_rank() -> Column:
     return (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank")
 
 
-def spearman(
-    df: DataFrame, groups: Sequence[str], pairs: Sequence[tuple[str, str]], salts: int = 16
-) -> DataFrame:
+def spearman(df: DataFrame, groups: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Rank correlation per group and pair of columns, over rows where both have a value.
 
-    The rows become distinct (x, y) combinations with counts before anything is
-    shuffled by group. A value shared by very many combinations would make one
-    hot join key, so the rank tables are joined on (value, salt).
+    A value's rank depends on which rows take part, and so on the other column,
+    but only through what is missing there. So every column is counted and ranked
+    once, with a count for each partner that has a value, in the same windows.
+    Rows become one entry for each column, never for each pair: the entries fetch
+    their ranks in one join, meet again as rows, and all products are summed in
+    one aggregation. A value with very many rows is a hot key of that join, which
+    may be split, as what follows is dealt out anew.
     """
-    keys = [*groups, "var1", "var2"]
-    entries = [
-        F.struct(
-            F.lit(x).alias("var1"),
-            F.lit(y).alias("var2"),
-            F.col(x).cast("double").alias("x"),
-            F.col(y).cast("double").alias("y"),
-        )
-        for x, y in pairs
-    ]
-    combos = (
-        df.select(*groups, F.inline(F.array(*entries)))
-        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy(*keys, "x", "y")
-        .agg(F.count(F.lit(1)).alias("n"))
+    groups, columns = list(groups), list(dict.fromkeys(c for pair in pairs for c in pair))
+    at = {c: i for i, c in enumerate(columns)}
+    values, numbers = [f"__v{i}" for i in range(len(columns))], [f"n{i}" for i in range(len(columns))]
+    # Equal rows count together; they are told apart by their values alone.
+    rows = (
+        df.select(*groups, *[F.col(c).cast("double").alias(v) for c, v in zip(columns, values)])
+        .groupBy(*groups, *values)
+        .agg(F.count(F.lit(1)).alias("__n"))
     )
-    sides = F.array(
-        *[F.struct(F.lit(side).alias("side"), F.col(side).alias("value")) for side in ("x", "y")]
+    of_column = F.array(*[F.struct(F.lit(i).alias("column"), F.col(v).alias("value")) for i, v in enumerate(values)])
+    entries = rows.select("*", F.inline(of_column)).filter(F.col("value").isNotNull())
+    with_partner = [F.sum(F.when(F.col(v).isNotNull(), F.col("__n")).otherwise(0)).alias(n) for v, n in zip(values, numbers)]
+    counts = entries.groupBy(*groups, "column", "value").agg(*with_partner)
+    suffixes = [""] if len(numbers) == 1 else [f"_{n}" for n in numbers]
+    # Ranks from the middle: their mean is 0 for every partner.
+    centred = [F.col(f"before{s}") + (F.col(n) - F.col(f"total{s}")) / F.lit(2.0) for n, s in zip(numbers, suffixes)]
+    placed = positions(counts, [*groups, "column"], numbers).select(*groups, "column", "value", F.array(*centred).alias("__ranks"))
+    ranked = _joined(entries, placed, [*groups, "column", "value"])
+    whole = ranked.groupBy(*groups, *values, "__n").agg(
+        *[F.max(F.when(F.col("column") == i, F.col("__ranks"))).alias(f"__r{i}") for i in range(len(columns))]
     )
-    counts = (
-        combos.select(*keys, "n", F.inline(sides))
-        .groupBy(*keys, "side", "value")
-        .agg(F.sum("n").alias("n"))
-    )
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    ranks = positions(counts, [*keys, "side"]).select(
-        *keys, "side", "value", "total", _mean_rank(), copies.alias("__salt")
-    )
-
-    def with_rank(rows: DataFrame, side: str, other: str) -> DataFrame:
-        salt = F.pmod(F.xxhash64(F.col(other)), F.lit(salts)).cast("int")
-        of_side = ranks.filter(F.col("side") == side).select(
-            *keys,
-            F.col("value").alias(side),
-            F.col("total"),
-            F.col("rank").alias(f"rank_{side}"),
-            "__salt",
-        )
-        salted = rows.drop("total").withColumn("__salt", salt)
-        return salted.join(of_side, [*keys, side, "__salt"]).drop("__salt")
-
-    ranked = with_rank(with_rank(combos, "x", "y"), "y", "x")
-    mid = (F.col("total") + 1) / F.lit(2.0)
-    dx, dy = F.col("rank_x") - mid, F.col("rank_y") - mid
-    return (
-        ranked.groupBy(*keys)
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum(F.col("n") * dx * dy).alias("__xy"),
-            F.sum(F.col("n") * dx * dx).alias("__xx"),
-            F.sum(F.col("n") * dy * dy).alias("__yy"),
-        )
-        .select(
-            *keys,
-            "n",
-            F.try_divide(F.col("__xy"), F.sqrt("__xx") * F.sqrt("__yy")).alias("rho"),
-        )
-    )
-
+    sums, found = [], []
+    for p, (x, y) in enumerate(pairs):
+        i, j = at[x], at[y]
+        both = F.col(values[i]).isNotNull() & F.col(values[j]).isNotNull()
+        dx, dy, n = F.get(f"__r{i}", F.lit(j)), F.get(f"__r{j}", F.lit(i)), F.col("__n")
+        for name, product in (("xy", dx * dy), ("xx", dx * dx), ("yy", dy * dy), ("n", F.lit(1))):
+            sums.append(F.sum(F.when(both, n * product)).alias(f"__{name}{p}"))
+        rho = F.try_divide(F.col(f"__xy{p}"), F.sqrt(f"__xx{p}") * F.sqrt(f"__yy{p}"))
+        found.append(F.struct(F.lit(x).alias("var1"), F.lit(y).alias("var2"), F.col(f"__n{p}").alias("n"), rho.alias("rho")))
+    return whole.groupBy(*groups).agg(*sums).select(*groups, F.inline(F.array(*found))).filter("n > 0")
