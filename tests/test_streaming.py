@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stationlake.operators.runs import run_ends
 from stationlake.sources import tables
-from stationlake.streaming import jobs
+from stationlake.streaming import jobs, state
 from tests.helpers import hours, rows
 
 
@@ -149,3 +149,43 @@ def test_the_ledger_survives_repeated_batches_and_a_new_checkpoint(spark, tmp_pa
     second(keys("k1", "k3"), 2)
     assert rows(spark.read.parquet(out).select("alert_key", "run", "batch"), "alert_key") == [("k1", "one", 0), ("k2", "two", 0), ("k3", "two", 2)]
     assert rows(spark.read.parquet(ledger).select("alert_key"), "alert_key") == [("k1",), ("k2",), ("k3",)]
+
+
+@pytest.fixture
+def keyed(spark):
+    before = {name: spark.conf.get(name, None) for name in state.STORE}
+    for name, value in state.STORE.items():
+        spark.conf.set(name, value)
+    yield spark
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def keyed_alerts(spark, folder, files, **options):
+    """Alerts of the files, one a batch, and the state rows each batch wrote."""
+    for i, listed in enumerate(files):
+        spark.createDataFrame(listed, VALUES).coalesce(1).write.parquet(f"{folder}/in/{i:02d}")
+    stream = spark.readStream.schema(VALUES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    out = state.run_alerts(stream, 10.0, **options).writeStream.format("parquet").option("path", f"{folder}/out")
+    query = out.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema("city string, pollen_type string, run_start timestamp_ntz, alert_time timestamp_ntz").parquet(f"{folder}/out")
+    return rows(found.select("city", "run_start", "alert_time"), "city", "alert_time"), query.recentProgress
+
+
+@pytest.mark.parametrize("second", [19, 42])
+def test_keyed_state_gives_the_runs_of_the_whole(keyed, tmp_path, second):
+    files = [[r for i, r in enumerate(LINE) if (second >> i & 1) == part] for part in (1, 0)]
+    got, _ = keyed_alerts(keyed, tmp_path, [*files, [FAR]])
+    assert got == batch_alerts(keyed, LINE)
+
+
+def test_keyed_state_of_interruptions_and_untouched_series(keyed, tmp_path):
+    line = series([12.0, 15.0, 3.0, 25.0]) + series([12.0, None, 12.0, 12.0], city="b") + series([10.0] * 7, city="c")
+    files = [line[::2], line[1::2], [FAR], [(None, None, dt.datetime(2026, 6, 1), 50.0)] * 3, [("z", "Birch", dt.datetime(2026, 7, 1), 0.0)]]
+    got, progress = keyed_alerts(keyed, tmp_path, files)
+    june = dt.datetime(2026, 6, 1)
+    assert sorted(got, key=repr) == sorted([("c", dt.datetime(2026, 5, 1, 10), dt.datetime(2026, 5, 1, 12)), (None, june, june)], key=repr)
+    # Later batches write the state of the series they bring, not of all.
+    written = [p["stateOperators"][0]["numRowsUpdated"] for p in progress if p["numInputRows"]]
+    assert written[-1] < written[0]
