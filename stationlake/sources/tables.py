@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
@@ -74,27 +73,15 @@ def upsert(
     before = versions.version(spark, path)
     columns = versions.widened(spark, before.columns, new.schema) if before else versions.widened(spark, new.schema, new.schema)
     label = F.coalesce(F.date_format(time, _PERIODS[by]), F.lit("none"))
-    staged, load = work_path(spark, "upsert-batch"), uuid.uuid4().hex
+    staged = work_path(spark, "upsert-batch")
     new.write.parquet(staged)
     batch = spark.read.schema(new.schema).parquet(staged)
     # One entry for each period of the calendar.
     touched = {r["period"] for r in batch.select(label.alias("period")).distinct().collect()}
     stored = versions.read(spark, path, before, touched) if before else None
     rows = merged(stored, batch, keys, version) if before else latest_per_key(batch, keys, version)
-    folder = f"{path}/data/{load}"
     try:
-        (
-            rows.select(*[F.col(f"`{c.name}`").cast(c.dataType).alias(c.name) for c in columns], label.alias("period"))
-            .hint("rebalance", F.col("period"))
-            .write.option("compression", "zstd")
-            .partitionBy("period")
-            .parquet(folder)
-        )
-        periods = dict(before.periods if before else {}) | dict.fromkeys(touched, (load, columns))
-        versions.commit(spark, path, versions.Version(before.number + 1 if before else 1, columns, periods))
-    except Exception:
-        remove(spark, folder)
-        raise
+        versions.replace(spark, path, before, rows.withColumn("__period", label), columns, "__period")
     finally:
         remove(spark, staged)
     versions.expire(spark, path, keep)

@@ -13,8 +13,9 @@ The list of periods is bounded by the calendar, not by the rows.
 from __future__ import annotations
 
 import json
+import uuid
 from collections import defaultdict
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,7 +84,7 @@ def version(spark: SparkSession, path: str, number: int | None = None) -> Versio
 def commit(spark: SparkSession, path: str, new: Version) -> None:
     """Make ``new`` the newest version, unless another has its number."""
     target = f"{path}/versions/{new.number:012d}.json"
-    files, draft = _files(spark, f"{path}/versions/.{new.number:012d}-{spark._jvm.java.util.UUID.randomUUID()}")
+    files, draft = _files(spark, f"{path}/versions/.{new.number:012d}-{uuid.uuid4().hex}")
     out = files.create(draft, False)
     out.write(bytearray(new.to_json(), "utf-8"))
     out.close()
@@ -128,6 +129,37 @@ def read(spark: SparkSession, path: str, at: Version, periods: set[str] | None =
     return whole
 
 
+def replace(
+    spark: SparkSession, path: str, before: Version | None, rows: DataFrame, columns: T.StructType, period: str, gone: Collection[str] = ()
+) -> Version:
+    """The version after ``before`` in which ``rows`` take the place of all rows of their periods.
+
+    ``period`` names the column that holds them. ``gone`` are periods that the
+    new version lacks, and that are written again only if rows have them. Fails
+    with ``VersionTaken``, and leaves no files, if another version came first.
+    """
+    load = uuid.uuid4().hex
+    folder = f"{path}/data/{load}"
+    try:
+        (
+            rows.select(*[F.col(f"`{c.name}`").cast(c.dataType).alias(c.name) for c in columns], F.col(period).alias("period"))
+            .hint("rebalance", F.col("period"))
+            .write.option("compression", "zstd")
+            .partitionBy("period")
+            .parquet(folder)
+        )
+        files, place = _files(spark, folder)
+        found = {s.getPath().getName().removeprefix("period=") for s in files.listStatus(place) if s.isDirectory()}
+        kept = {p: v for p, v in (before.periods if before else {}).items() if p not in gone}
+        new = Version(before.number + 1 if before else 1, columns, kept | dict.fromkeys(found, (load, columns)))
+        commit(spark, path, new)
+    except Exception:
+        files, place = _files(spark, folder)
+        files.delete(place, True)
+        raise
+    return new
+
+
 def widened(spark: SparkSession, old: T.StructType, new: T.StructType) -> T.StructType:
     """Columns of both, each of the narrowest type that holds its values in both, as a union has them.
 

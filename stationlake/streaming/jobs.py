@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stationlake.operators.neighbours import with_neighbours
 from stationlake.plans.alerts import unsent
+from stationlake.session import work_path
+from stationlake.sources import versions
 from stationlake.sources.tables import remove, table_exists, upsert
 
 
@@ -128,32 +132,85 @@ def deduplicated(
     return alerts.withWatermark(time, remember).dropDuplicatesWithinWatermark([key])
 
 
-def new_alerts(ledger_path: str, out_path: str, checkpoint: str, day: str | None = None) -> Callable[[DataFrame, int], None]:
+LEDGER = T.StructType(
+    [T.StructField("alert_key", T.StringType()), T.StructField("run", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())]
+)
+
+
+def new_alerts(
+    ledger_path: str,
+    out_path: str,
+    checkpoint: str,
+    day: str | None = None,
+    buckets: int = 16,
+    remember: int | None = None,
+    tries: int = 5,
+) -> Callable[[DataFrame, int], None]:
     """Sink for ``foreachBatch``: writes alerts not yet in the ledger, then adds their keys.
 
-    Ledger and output have a folder per checkpoint and batch, so a repeated
-    batch overwrites its own output and never that of another stream.
-    ``day`` names a date column that is the same for the same key: only the
-    ledger's days in the batch are read then.
+    The output has a folder per checkpoint and batch, so a repeated batch
+    overwrites its own output and never that of another stream. The ledger is a
+    table in versions, one file for each of its parts, so what a batch reads
+    does not grow with the number of batches before it. ``day`` names a date
+    column that is the same for the same key: the parts are days then, else
+    ``buckets`` parts by hash. A batch reads and replaces its own parts only;
+    days more than ``remember`` days before the batch's newest are forgotten.
+
+    Of two streams with one ledger, the one whose version comes second judges
+    its batch again, so no alert is passed on by both.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        run = checkpoint_id(spark, checkpoint)
-        alerts = batch.withColumn("day", F.col(day).cast("date") if day else F.lit(None).cast("date"))
-        fresh = alerts.dropDuplicates(["alert_key"])
-        if table_exists(spark, ledger_path):
-            ledger = spark.read.schema("alert_key string, run string, batch long, day date").option("basePath", ledger_path).parquet(ledger_path)
-            own = (F.col("run") == run) & (F.col("batch") == batch_id)
-            if day:
-                listed = [r["day"] for r in alerts.select("day").distinct().limit(1001).collect()]
-                if len(listed) <= 1000:
-                    ledger = ledger.filter(F.col("day").isin([d for d in listed if d]) | F.col("day").isNull())
-            fresh = unsent(alerts, ledger.filter(~own))
+        run, staged = checkpoint_id(spark, checkpoint), work_path(spark, "alerts")
+        named = batch.withColumn("__day", F.col(day).cast("date") if day else F.lit(None).cast("date"))
+        named.write.parquet(staged)
+        alerts = spark.read.parquet(staged)
         out = f"{out_path}/run={run}/batch={batch_id}"
-        fresh.select(*batch.columns, *([] if "day" in batch.columns else ["day"])).write.mode("overwrite").parquet(out)
-        keys = spark.read.parquet(out).select("alert_key", "day")
-        target = f"{ledger_path}/run={run}/batch={batch_id}"
-        keys.write.mode("overwrite").partitionBy("day").parquet(target)
+        try:
+            for attempt in range(tries):
+                try:
+                    _pass_on(spark, alerts, ledger_path, out, run, batch_id, buckets, remember)
+                    break
+                except versions.VersionTaken:
+                    if attempt == tries - 1:
+                        raise
+        finally:
+            remove(spark, staged)
+        versions.expire(spark, ledger_path)
 
     return write
+
+
+def _pass_on(
+    spark: SparkSession, alerts: DataFrame, ledger_path: str, out: str, run: str, batch_id: int, buckets: int, remember: int | None
+) -> None:
+    """Write the alerts the ledger lacks, and the ledger's next version with their keys."""
+
+    def part(day: str) -> Column:
+        by_hash = F.format_string("b%03d", F.pmod(F.xxhash64("alert_key"), F.lit(buckets)))
+        return F.coalesce(F.date_format(day, "yyyyMMdd"), by_hash)
+
+    before = versions.version(spark, ledger_path)
+    # One entry for each day or bucket of the batch.
+    touched = {r[0] for r in alerts.select(part("__day")).distinct().collect()}
+    own = F.col("run").eqNullSafe(run) & F.col("batch").eqNullSafe(batch_id)
+    known = versions.read(spark, ledger_path, before, touched) if before else spark.createDataFrame([], LEDGER)
+    others = known.filter(~own)
+    fresh = unsent(alerts, others)
+    days = [] if "day" in alerts.columns else [F.col("__day").alias("day")]
+    fresh.select(*[c for c in alerts.columns if c != "__day"], *days).write.mode("overwrite").parquet(out)
+    passed_on = alerts.join(spark.read.parquet(out).select("alert_key"), "alert_key", "left_semi").dropDuplicates(["alert_key"])
+    added = passed_on.select("alert_key", F.lit(run).alias("run"), F.lit(batch_id).cast("long").alias("batch"), F.col("__day").alias("day"))
+    gone = []
+    if before and remember is not None:
+        listed = {p for p in {*touched, *before.periods} if p.isdigit()}
+        newest = datetime.strptime(max(listed), "%Y%m%d") if listed else None
+        gone = [p for p in before.periods if newest and p.isdigit() and p < f"{newest - timedelta(days=remember):%Y%m%d}"]
+    rows = others.unionByName(added).withColumn("__part", part("day"))
+    versions.replace(spark, ledger_path, before, rows, LEDGER, "__part", gone)
+
+
+def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
+    """All keys of the ledger, with the run and batch that passed them on."""
+    return versions.read(spark, ledger_path, versions.version(spark, ledger_path))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationlake.operators.runs import run_ends
-from stationlake.sources import tables
+from stationlake.sources import tables, versions
 from stationlake.streaming import jobs, state
 from tests.helpers import hours, rows
 
@@ -148,7 +148,40 @@ def test_the_ledger_survives_repeated_batches_and_a_new_checkpoint(spark, tmp_pa
     second(keys("k1", "k3"), 2)
     second(keys("k1", "k3"), 2)
     assert rows(spark.read.parquet(out).select("alert_key", "run", "batch"), "alert_key") == [("k1", "one", 0), ("k2", "two", 0), ("k3", "two", 2)]
-    assert rows(spark.read.parquet(ledger).select("alert_key"), "alert_key") == [("k1",), ("k2",), ("k3",)]
+    assert rows(jobs.read_ledger(spark, ledger).select("alert_key", "run"), "alert_key") == [("k1", "one"), ("k2", "two"), ("k3", "two")]
+
+
+def test_the_ledger_is_compact_and_forgets(spark, tmp_path, monkeypatch):
+    ledger, out = str(tmp_path / "ledger"), str(tmp_path / "out")
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/metadata").write_text('{"id":"one"}')
+    sink = jobs.new_alerts(ledger, out, str(tmp_path / "one"), "day", remember=10)
+
+    def send(batch, *listed):
+        sink(spark.createDataFrame([(f"k{i}", dt.date(2024, m, d)) for i, m, d in listed], "alert_key string, day date"), batch)
+
+    for batch in range(3):
+        send(batch, (batch, 5, 1), (0, 5, 1))
+    # Three batches of one day leave one file of the day.
+    assert len(jobs.read_ledger(spark, ledger).inputFiles()) == 1
+    send(3, (7, 5, 20))
+    assert rows(jobs.read_ledger(spark, ledger).select("alert_key"), "alert_key") == [("k7",)]
+    # Another stream comes first: the batch is judged again.
+    commit, raced = versions.commit, []
+
+    def overtaken(spark_, path_, new):
+        if not raced:
+            raced.append(1)
+            (tmp_path / "two").mkdir()
+            (tmp_path / "two/metadata").write_text('{"id":"two"}')
+            monkeypatch.setattr(versions, "commit", commit)
+            jobs.new_alerts(ledger, out, str(tmp_path / "two"), "day")(spark.createDataFrame([("k8", dt.date(2024, 5, 20))], "alert_key string, day date"), 0)
+        commit(spark_, path_, new)
+
+    monkeypatch.setattr(versions, "commit", overtaken)
+    send(4, (8, 5, 20), (9, 5, 20))
+    passed_on = spark.read.parquet(out).select("alert_key", "run").filter("alert_key IN ('k8', 'k9')")
+    assert rows(passed_on, "alert_key") == [("k8", "two"), ("k9", "one")]
 
 
 @pytest.fixture
