@@ -151,6 +151,28 @@ def quantiles(
     return found.select(*groups, *[interpolated(*w) for w in wanted])
 
 
+def attached(rows: DataFrame, per_group: DataFrame, groups: Sequence[str], spread: int = 16) -> DataFrame:
+    """``rows`` with the columns of their group's one row in ``per_group``; null groups meet null groups.
+
+    A group with a third of all rows is dealt over ``spread`` keys and its row
+    copied that often, so the rows that meet it come from all tasks into many.
+    Sums over the groups afterwards are partial before they meet. Where the
+    groups' rows are small the engine broadcasts them, by their measured size.
+    """
+    copies = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("__spread")
+    others = [c for c in rows.columns if c not in groups]
+    key = F.pmod(F.xxhash64(*others), F.lit(spread)).cast("int") if others else F.lit(0)
+    joined = _left(rows.withColumn("__spread", key), per_group.select("*", copies), [*groups, "__spread"])
+    return joined.drop("__spread")
+
+
+def _left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which a null key meets a null key."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(renamed, same, "left").drop(*[f"__r_{k}" for k in keys])
+
+
 def average_ranks(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Rank of every distinct value from 1; ties share the mean of their ranks."""
     counts = value_counts(df, groups, [value]).drop("column")

@@ -16,7 +16,7 @@ from stationlake.model import (
     daily_columns,
 )
 from stationlake.operators.neighbours import with_neighbours
-from stationlake.operators.order_stats import quantiles
+from stationlake.operators.order_stats import attached, quantiles
 from stationlake.plans.climatology import in_season
 
 WEATHER_BINS = {
@@ -83,7 +83,7 @@ def paired_effects(
     rows = days.select(
         *keys, "ratio", "precipitation_mm", "wind_speed_avg_kmh", "temperature_max_c"
     )
-    cut = rows.join(cuts, keys, "left")
+    cut = attached(rows, cuts, keys)
 
     def mean_where(condition: Column) -> Column:
         return F.avg(F.when(condition, F.col("ratio")))
@@ -232,7 +232,8 @@ def box_statistics(
 ) -> DataFrame:
     """Quartiles, whiskers and number of outliers per group, for values of at least ``minimum``.
 
-    Whiskers reach the last value within 1.5 times the box height.
+    Whiskers reach the last value within 1.5 times the box height. A null group
+    is a group like others.
     """
     groups = list(groups)
     kept = days.filter(F.col(value) >= minimum).select(*groups, value)
@@ -240,7 +241,7 @@ def box_statistics(
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
     return (
-        kept.join(box, groups)
+        attached(kept, box, groups)
         .groupBy(*groups, "q1", "median", "q3")
         .agg(
             F.count(F.lit(1)).alias("n"),

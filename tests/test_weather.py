@@ -120,3 +120,22 @@ def test_paired_effects_against_pandas(spark):
         assert got[city, "Rain (rainy vs dry)"] == pytest.approx(
             g.loc[rain >= 2, "ratio"].mean() / g.loc[rain < 0.1, "ratio"].mean()
         )
+
+
+def test_box_statistics_keep_null_groups(spark):
+    given = [(g, float(v)) for g in ("a", None) for v in [*range(1, 12), 60]]
+    got = weather.box_statistics(spark.createDataFrame(given, "city string, grains double"), ["city"])
+    listed = {r["city"]: (r["q1"], r["median"], r["q3"], r["n"], r["whisker_low"], r["whisker_high"], r["outliers"]) for r in got.collect()}
+    assert listed == dict.fromkeys(["a", None], (3.75, 6.5, 9.25, 12, 1.0, 11.0, 1))
+
+
+def test_cuts_meet_a_hot_site_in_many_tasks(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        days = spark.range(3000).selectExpr("IF(id % 3 = 0, 'hot', string(id % 50)) AS city", "double(id % 97) AS grains")
+        plan = weather.box_statistics(days, ["city"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    join = [line for line in plan.splitlines() if "Join" in line and "__spread" in line]
+    assert join and "BroadcastExchange" not in plan
