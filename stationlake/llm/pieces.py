@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from stationlake.llm.frames import extended
@@ -263,6 +264,9 @@ SCHEMA = (
 )
 
 
+_NBEST = pa.list_(pa.struct([("score", pa.float64()), ("swaps", pa.list_(pa.struct([("word", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
+
+
 def encode(docs: DataFrame, model_file: str, n: int = 4, text: str = "text", keep=None) -> DataFrame:
     """``docs`` with the best ``ids``, their ``score``, whether they decode to the text, and ``nbest``.
 
@@ -270,33 +274,39 @@ def encode(docs: DataFrame, model_file: str, n: int = 4, text: str = "text", kee
     the best: the word's number in the text and its ids.
     """
 
+    types = [pa.list_(pa.int32()), pa.float64(), pa.bool_(), _NBEST]
+
     def run(batches):
         encoder = Encoder(model_file, n)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            ids, scores, restored, nbest = [], [], [], []
-            for a, b in _portions(texts):
-                for t, (flat, score, found) in zip(texts[a:b], encoder(texts[a:b])):
+            column, parts = batch.column(text), []
+            # A portion's results are Arrow arrays before the next is begun.
+            for a, b in _portions(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+                texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
+                ids, scores, restored, nbest = [], [], [], []
+                for t, (flat, score, found) in zip(texts, encoder(texts)):
                     ids.append(flat.astype(np.int32))
                     scores.append(score)
                     restored.append(encoder.vocabulary.decode(flat.tolist()) == t.replace(SPACE, " "))
                     nbest.append([{"score": s, "swaps": [{"word": w, "ids": x} for w, x in swaps]} for s, swaps in found])
-            at = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield [pa.ListArray.from_arrays(at, pa.array(flat)), scores, restored, nbest]
+                at = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids)))
+                parts.append([lists, pa.array(scores, types[1]), pa.array(restored, types[2]), pa.array(nbest, types[3])])
+            yield [pa.concat_arrays([p[i] for p in parts]) if parts else pa.array([], t) for i, t in enumerate(types)]
 
     return extended(docs, SCHEMA, run, keep)
 
 
-def _portions(texts: list[str], most: int = 3_000_000):
+def _portions(sizes: list[int], most: int = 500_000):
+    """Bounds of texts in a row with up to ``most`` bytes together; a longer text stands alone."""
     begin, total = 0, 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > most:
+    for i, size in enumerate(sizes):
+        if i > begin and total + size > most:
             yield begin, i
             begin, total = i, 0
-        total += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+        total += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def decode(docs: DataFrame, model_file: str, ids: str = "ids", into: str = "decoded", keep=None) -> DataFrame:
