@@ -46,8 +46,10 @@ def sentencepiece(spark, sf_dir):
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
-        F.xxhash64("ids").alias("ids_hash"),
+        "ids",
         "score",
+        "nbest",
+        F.xxhash64("ids").alias("ids_hash"),
         F.col("nbest.score").alias("nbest_scores"),
         F.transform("nbest", lambda x: F.size(x["swaps"])).alias("nbest_swaps"),
         "restored",

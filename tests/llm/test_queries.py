@@ -9,6 +9,7 @@ from tests.oracle import DATA, compare, connect
 
 SF = "sf0.001"
 FIRST = {
+    "op1_sentencepiece": ["doc_id", "n_pieces", "ids", "score", "nbest"],
     "op2_main_text": ["page_id", "url", "text", "n_chars"],
     "op3_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op4_decontamination": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
