@@ -21,7 +21,7 @@ from stationlake.model import (
     daily_columns,
 )
 from stationlake.operators.order_stats import quantiles
-from stationlake.operators.reshape import labelled
+from stationlake.operators.reshape import grid, labelled
 from stationlake.operators.runs import ratio_to_mean, top_rows
 
 DAYS_PER_MONTH = 30.4
@@ -322,3 +322,12 @@ def retail_headline(need: DataFrame) -> DataFrame:
         F.col("p.month").alias("pm25_month"),
         site.scalar().alias("pm25_city"),
     )
+
+
+def season_grid(seasons: DataFrame, sites: Sequence[str], cell: str = "season_days") -> DataFrame:
+    """One row per species and year, one column per site in the given order; null where a site had no season.
+
+    The columns are named beforehand, so no job looks for them and a site
+    without any season has its column.
+    """
+    return grid(seasons, ["pollen_type", "year"], "city", sites, cell)

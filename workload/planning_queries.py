@@ -312,3 +312,21 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return pl.pm25_days_per_year(obs_daily(spark, sf), pm25_limit=7.0)
+
+
+SOUTH_TO_NORTH = ["AFRICA", "MIDDLE EAST", "ASIA", "AMERICA", "EUROPE"]
+
+
+@register(
+    "season_grid",
+    sql.query(
+        SEASONS,
+        "SELECT pollen_type, year, "
+        + ", ".join(f"""max(season_days) FILTER (WHERE city = '{c}') AS "{c}\"""" for c in SOUTH_TO_NORTH)
+        + " FROM seasons GROUP BY pollen_type, year",
+        ints=["year", *SOUTH_TO_NORTH],
+    ),
+)
+def _(spark, sf):
+    """Length of the seasons, sites side by side in a fixed order."""
+    return pl.season_grid(seasons_of(spark, sf), SOUTH_TO_NORTH)
