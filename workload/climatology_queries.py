@@ -436,6 +436,30 @@ def _(spark, sf):
     return hr.best_source(hours, days, forecast_of(spark, sf), date(2030, 1, 10), date(2024, 2, 1))
 
 
+@register(
+    "best_source_all",
+    sql.query(
+        [
+            *EVENT_MARTS,
+            sql.SNAPSHOTS,
+            FORECAST,
+            _typical("2025-01-24", "2025-01-31"),
+            "later AS (SELECT * REPLACE (time + to_days(366) AS time) FROM forecast WHERE city <> 'click')",
+            "ahead AS (SELECT DISTINCT city FROM later WHERE time::DATE = DATE '2025-01-26')",
+        ],
+        f"""SELECT city, time, {", ".join(POLLEN)}, 'forecast' AS kind FROM later SEMI JOIN ahead USING (city)
+            UNION ALL SELECT city, time, {", ".join(POLLEN)}, 'typical' FROM typical_hours ANTI JOIN ahead USING (city)""",
+        POLLEN,
+    ),
+)
+def _(spark, sf):
+    """A day after the stored ones: each site has its forecast, or typical values where no forecast reaches the day."""
+    hours, days = event_marts(spark, sf)
+    later = F.timestamp_add("DAY", F.lit(366), F.col("time"))
+    some = forecast_of(spark, sf).filter(F.col("city") != "click").withColumn("time", later)
+    return hr.best_source(hours, days, some, date(2025, 1, 26), date(2025, 1, 20))
+
+
 SUMMARY_LEVEL = {s: 9000.0 for s in sql.SPECIES}
 LONG_DAY = " UNION ALL ".join(
     f"SELECT city, time, {i} AS ord, '{s.capitalize()}' AS pollen_type, {s}_pollen AS v FROM event_hours"
