@@ -23,33 +23,31 @@ _MIDDLE = 1 << 21
 _HIGHEST = 1 << 40
 
 
-def value_parts(value: Column) -> tuple[Column, Column]:
-    """Two numbers whose order is that of the value as far as they differ.
+def with_value_parts(df: DataFrame, high: str = "high", middle: str = "middle", value: str = "value") -> DataFrame:
+    """Add two numbers whose order is that of the value as far as they differ.
 
     The first holds sign, exponent and the 10 leading bits of the mantissa, the
     second the 21 bits after them; values that agree in both differ in the last
-    21 bits only. Dividing by a power of two is exact. Never null.
+    21 bits only. Dividing by a power of two is exact. Never null. Each step is a
+    column of its own, so it is computed once and the code of a row stays small.
     """
-    size = F.abs(value)
-    # The logarithm may be off by one close to a power of two; the largest doubles must not reach 2 to the 1024th.
-    guess = F.least(F.floor(F.log2(size)), F.lit(1023))
-    scaled = size / F.pow(F.lit(2.0), guess)
-    exponent = F.when(scaled >= 2, guess + 1).when(scaled < 1, guess - 1).otherwise(guess)
-    mantissa = F.when(scaled >= 2, scaled / 2).when(scaled < 1, scaled * 2).otherwise(scaled)
-    bits = F.floor((mantissa - 1) * F.lit(float(1 << 31)))
-    high = (exponent + 1100) * 1024 + F.shiftright(bits, 21)
-    middle = bits.bitwiseAND(F.lit(_MIDDLE - 1))
+    v, size, guess, scaled, step = F.col(value), F.col("__size"), F.col("__guess"), F.col("__scaled"), F.col("__step")
+    sign, bits = F.col("__sign"), F.col("__bits")
+    mantissa = F.when(step == 1, scaled / 2).when(step == -1, scaled * 2).otherwise(scaled)
     infinite = size == F.lit(float("inf"))
-    parts = []
-    for part, far in ((high, _HIGHEST), (middle, 0)):
-        signed = (
-            F.when(F.isnan(value), F.lit(2 * far))
-            .when(infinite, F.when(value > 0, F.lit(far)).otherwise(F.lit(-far)))
-            .when(value > 0, part)
-            .when(value < 0, -part)
-        )
-        parts.append(F.coalesce(signed.cast("long"), F.lit(0).cast("long")))
-    return parts[0], parts[1]
+    leading = (guess + step + 1100) * 1024 + F.shiftright(bits, 21)
+    placed = F.when(F.isnan(v), F.lit(2 * _HIGHEST)).when(infinite, sign * F.lit(_HIGHEST)).otherwise(sign * leading)
+    inner = F.when(F.isnan(v) | infinite, F.lit(0)).otherwise(sign * bits.bitwiseAND(F.lit(_MIDDLE - 1)))
+    return (
+        # The logarithm may be off by one close to a power of two; the largest doubles must not reach 2 to the 1024th.
+        df.withColumn("__size", F.abs(v))
+        .withColumn("__guess", F.least(F.floor(F.log2(size)), F.lit(1023)))
+        .withColumn("__scaled", size / F.pow(F.lit(2.0), guess))
+        .withColumns({"__step": F.when(scaled >= 2, 1).when(scaled < 1, -1).otherwise(0), "__sign": F.when(v > 0, 1).when(v < 0, -1)})
+        .withColumn("__bits", F.floor((mantissa - 1) * F.lit(float(1 << 31))))
+        .withColumns({n: F.coalesce(p.cast("long"), F.lit(0).cast("long")) for n, p in ((high, placed), (middle, inner))})
+        .drop("__size", "__guess", "__scaled", "__step", "__sign", "__bits")
+    )
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -74,7 +72,6 @@ def positions(counts: DataFrame, groups: Sequence[str], numbers: Sequence[str] =
     into ``before_<name>`` and ``total_<name>``.
     """
     groups = list(groups)
-    high, middle = value_parts(F.col("value"))
     inner = Window.partitionBy(*groups, "__high", "__middle")
     of_high, of_group = Window.partitionBy(*groups, "__high"), Window.partitionBy(*groups)
 
@@ -86,7 +83,7 @@ def positions(counts: DataFrame, groups: Sequence[str], numbers: Sequence[str] =
             found += [(F.sum(value).over(window.orderBy(by)) - value).alias(before.format(c)), F.sum(value).over(window).alias(total.format(c))]
         return found
 
-    numbered = counts.withColumns({"__high": high, "__middle": middle}).select(
+    numbered = with_value_parts(counts, "__high", "__middle").select(
         "*", *placed(inner, "value", "{}", "__inside_{}", "__size_{}"), F.row_number().over(inner.orderBy("value")).alias("__row")
     )
     middles = numbered.filter(F.col("__row") == 1).select(
@@ -117,13 +114,16 @@ def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def quantiles(
-    df: DataFrame, groups: Sequence[str], probs: Mapping[str, Mapping[str, float]]
+    df: DataFrame, groups: Sequence[str], probs: Mapping[str, Mapping[str, float]], rescan: bool = False
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per group, null where it has no values.
 
     ``probs`` maps each value column to the quantiles wanted of it, by result
-    name. All columns go through the same shuffles.
+    name. All columns go through the same shuffles. A costly input is computed
+    once; ``rescan`` is for rows that come straight from a table, see ``selected``.
     """
+    if rescan:
+        return selected(df, groups, probs)
     placed = positions(value_counts(df, groups, list(probs)), [*groups, "column"])
     wanted = [(c, name, float(q)) for c, named in probs.items() for name, q in named.items()]
     ends = []
@@ -151,6 +151,73 @@ def quantiles(
     return found.select(*groups, *[interpolated(*w) for w in wanted])
 
 
+def selected(df: DataFrame, groups: Sequence[str], probs: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """The same as ``quantiles`` by selection: three scans instead of a shuffle of all values.
+
+    Three rounds narrow the values by the parts of ``with_value_parts``: count the
+    rows of every leading part, keep the parts that hold a wanted row, count their
+    middle parts, and at last their values. Only these counts are sorted, some two
+    million a group at most. The cells kept, two per quantile and group, are
+    broadcast if the engine measures them as small; else rows meet them on spread keys.
+    """
+    groups, keys = list(groups), [*groups, "column"]
+    values = {c: F.col(c).cast("double") for c in probs}
+    rows = df.select(*groups, labelled(values, "column", "value")).withColumn("n", F.when(F.col("value").isNull(), 0).otherwise(1))
+    wanted = F.lit(None).cast("array<double>")
+    for c, named in probs.items():
+        wanted = F.when(F.col("column") == c, F.array(*[F.lit(float(q)) for q in named.values()])).otherwise(wanted)
+    rows, high, middle = with_value_parts(rows), F.col("high"), F.col("middle")
+    wanted = F.lit(None).cast("array<double>")
+    for c, named in probs.items():
+        wanted = F.when(F.col("column") == c, F.array(*[F.lit(float(q)) for q in named.values()])).otherwise(wanted)
+
+    def counted(rows: DataFrame, parts: Mapping[str, Column], carried: Sequence[Column]) -> DataFrame:
+        """Rows per combination of parts, numbered by the last within the others."""
+        *outer, last = parts
+        cells = rows.select(*keys, *[c.alias(p) for p, c in parts.items()], "n", *carried)
+        found = cells.groupBy(*keys, *parts).agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in cells.columns if c.startswith("__of_")])
+        within = Window.partitionBy(*keys, *outer)
+        running = F.sum("n").over(within.orderBy(last)) - F.col("n")
+        if not outer:
+            return found.select("*", running.alias("before"), F.sum("n").over(within).alias("total"))
+        return found.select(*keys, *parts, "n", (F.col("__of_before") + running).alias("before"), F.col("__of_total").alias("total"))
+
+    def holding(cells: DataFrame) -> DataFrame:
+        """Cells with the lower or upper row of a wanted quantile."""
+        holds = F.exists(wanted, lambda q: _inside(F.floor((F.col("total") - 1) * q)) | _inside(F.ceil((F.col("total") - 1) * q)))
+        return cells.filter(holds)
+
+    def narrowed(rows: DataFrame, cells: DataFrame, parts: Mapping[str, Column]) -> DataFrame:
+        """Rows in one of the cells, two per wanted quantile and group, with what is known of the cell."""
+        named = [F.col("before").alias("__of_before"), F.col("total").alias("__of_total")]
+        known = holding(cells).select(*keys, *parts, *named)
+        placed = rows.filter(F.col("value").isNotNull()).select(*keys, "value", "n", "high", "middle")
+        return attached(placed, known, [*keys, *parts]).filter(F.col("__of_total").isNotNull())
+
+    carried = [F.col("__of_before"), F.col("__of_total")]
+    highs = counted(rows, {"high": high}, [])
+    middles = counted(narrowed(rows, highs, {"high": high}), {"high": high, "middle": middle}, carried)
+    inner = {"high": high, "middle": middle}
+    singles = counted(narrowed(rows, middles, inner), {**inner, "value": F.col("value")}, carried)
+
+    ends = []
+    for column, named in probs.items():
+        for name, q in named.items():
+            at = (F.col("total") - 1) * F.lit(float(q))
+            lo, hi = (F.max(F.when((F.col("column") == column) & _inside(row), F.col("value"))) for row in (F.floor(at), F.ceil(at)))
+            part = F.max(F.when(F.col("column") == column, at - F.floor(at)))
+            ends.append((lo + (hi - lo) * part).alias(name))
+    names = [name for named in probs.values() for name in named]
+    found = singles.groupBy(*groups).agg(*ends)
+    if not groups:
+        return found
+    return _left(highs.select(*groups).distinct(), found, groups).select(*groups, *names)
+
+
+def _inside(row: Column) -> Column:
+    return (F.col("before") <= row) & (row < F.col("before") + F.col("n"))
+
+
 def attached(rows: DataFrame, per_group: DataFrame, groups: Sequence[str], spread: int = 16) -> DataFrame:
     """``rows`` with the columns of their group's one row in ``per_group``; null groups meet null groups.
 

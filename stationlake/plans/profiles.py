@@ -20,16 +20,18 @@ def describe(
     percentiles: Sequence[float] = (0.5, 0.75, 0.9, 0.99),
     at_least: float | None = None,
     approximate: bool = False,
+    rescan: bool = False,
 ) -> DataFrame:
     """Count, mean, deviation, extremes and percentiles per group.
 
     Percentiles are exact; ``approximate`` takes the sketch instead, which needs
-    no second pass.
+    no second pass. ``rescan`` suits rows that come straight from a table, see
+    ``quantiles``.
     """
     rows = df if at_least is None else df.filter(F.col(value) >= at_least)
     if not groups:
         whole = rows.withColumn("__all", F.lit(0))
-        return describe(whole, ["__all"], value, percentiles, None, approximate).drop("__all")
+        return describe(whole, ["__all"], value, percentiles, None, approximate, rescan).drop("__all")
     names = {f"p{round(q * 100)}": q for q in percentiles}
     basic = [
         F.count(value).alias("count"),
@@ -41,13 +43,16 @@ def describe(
     if approximate:
         sketch = [F.percentile_approx(value, q).alias(n) for n, q in names.items()]
         return rows.groupBy(*groups).agg(*basic, *sketch)
-    found = quantiles(rows, groups, {value: names}).withColumnsRenamed({g: f"__{g}" for g in groups})
+    found = quantiles(rows, groups, {value: names}, rescan).withColumnsRenamed({g: f"__{g}" for g in groups})
     same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups])
     return rows.groupBy(*groups).agg(*basic).join(found, same, "left").drop(*[f"__{g}" for g in groups])
 
 
-def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Minimum, maximum, mean, median, values and missing values of each column, one row each."""
+def column_profile(df: DataFrame, columns: Sequence[str], rescan: bool = False) -> DataFrame:
+    """Minimum, maximum, mean, median, values and missing values of each column, one row each.
+
+    ``rescan`` suits rows that come straight from a table, see ``quantiles``.
+    """
     values = {c: F.col(c).cast("double") for c in columns}
     long = df.select(labelled(values, "column", "value"))
     basic = long.groupBy("column").agg(
@@ -57,7 +62,7 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count("value").alias("n_values"),
         (F.count(F.lit(1)) - F.count("value")).alias("n_missing"),
     )
-    medians = quantiles(df, [], {c: {f"m{i}": 0.5} for i, c in enumerate(columns)})
+    medians = quantiles(df, [], {c: {f"m{i}": 0.5} for i, c in enumerate(columns)}, rescan)
     middle = medians.select(
         labelled({c: F.col(f"m{i}") for i, c in enumerate(columns)}, "column", "q50")
     )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stationlake.operators.order_stats import average_ranks, positions, quantiles, spearman, value_counts, value_parts
+from stationlake.operators.order_stats import average_ranks, positions, quantiles, spearman, value_counts, with_value_parts
 from stationlake.plans.profiles import describe
 
 SCHEMA = "g string, x double, y double"
@@ -29,11 +29,12 @@ def spark_frame(spark, df):
     return spark.createDataFrame(listed, SCHEMA)
 
 
+@pytest.mark.parametrize("rescan", [False, True])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_quantiles(spark, seed):
+def test_quantiles(spark, seed, rescan):
     df = frame(seed)
     probs = {"x": {"lo": 0.1, "mid": 0.5, "third": 2 / 3}, "y": {"top": 0.99}}
-    got = quantiles(spark_frame(spark, df), ["g"], probs).toPandas().set_index("g")
+    got = quantiles(spark_frame(spark, df), ["g"], probs, rescan).toPandas().set_index("g")
     for g, part in df.groupby("g"):
         for column, named in probs.items():
             for name, q in named.items():
@@ -102,16 +103,16 @@ def test_parts_follow_the_order_of_any_doubles(spark):
     near = [x for k in range(-1040, 1020, 37) for x in (2.0**k, np.nextafter(2.0**k, 0), np.nextafter(2.0**k, 9e307))]
     values = [*bits[~np.isnan(bits)].tolist(), *near, *[-x for x in near], 0.0, -0.0, 5e-324, 1.797e308, 9e307, 1.7976931348623157e308, -1.797e308, -9e307, float("inf"), float("-inf"), 1.7e308, 1.7e9, 1.7e9 + 1e-6]
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    got = sorted(df.select("v", *[p.alias(n) for p, n in zip(value_parts(F.col("v")), ("a", "b"))]).collect(), key=lambda r: r["v"])
+    got = sorted(with_value_parts(df, "a", "b", "v").collect(), key=lambda r: r["v"])
     parts = [(r["a"], r["b"]) for r in got]
     assert parts == sorted(parts)
-    assert spark.range(1).select(*value_parts(F.lit(float("nan")))).first()[0] > max(p[0] for p in parts)
+    assert with_value_parts(spark.range(1).select(F.lit(float("nan")).alias("value"))).first()["high"] > max(p[0] for p in parts)
 
 
 @pytest.mark.parametrize("value", ["1.7e9 + id", "1013 + id / 200000", "id * 1e-300", "1e15 + id"])
 def test_no_window_holds_more_than_its_bound(spark, value):
     df = spark.range(200_000).select(F.lit("g").alias("g"), F.expr(f"CAST({value} AS DOUBLE)").alias("x"))
-    parts = df.select("x", *[p.alias(n) for p, n in zip(value_parts(F.col("x")), ("a", "b"))]).distinct()
+    parts = with_value_parts(df.select("x"), "a", "b", "x").distinct()
     inner = parts.groupBy("a", "b").count().agg(F.max("count")).first()[0]
     middle = parts.select("a", "b").distinct().groupBy("a").count().agg(F.max("count")).first()[0]
     assert inner <= 1 << 21 and middle <= 1 << 21 and (inner < 100 or middle < 100)
@@ -126,4 +127,32 @@ def test_groups_without_name_or_values_stay(spark):
     got = {r["g"]: r for r in describe(df, ["g"], "v", [0.5]).collect()}
     assert got[None]["p50"] == 2.0 and got["x"]["p50"] == 2.0
     assert got["y"]["p50"] is None and got["y"]["count"] == 0
-    assert {r["g"]: r["q"] for r in quantiles(df, ["g"], {"v": {"q": 0.5}}).collect()} == {None: 2.0, "x": 2.0, "y": None}
+    for rescan in (False, True):
+        assert {r["g"]: r["q"] for r in quantiles(df, ["g"], {"v": {"q": 0.5}}, rescan).collect()} == {None: 2.0, "x": 2.0, "y": None}
+    assert quantiles(df.limit(0), ["g"], {"v": {"q": 0.5}}).collect() == []
+    assert [r["q"] for r in quantiles(df.limit(0), [], {"v": {"q": 0.5}}).collect()] == [None]
+
+
+@pytest.mark.parametrize("rescan", [False, True])
+def test_quantiles_of_any_doubles(spark, rescan):
+    draw = np.random.default_rng(3)
+    far = [float("inf"), float("-inf"), 5e-324, -5e-324, 0.0, -0.0, 1.7976931348623157e308]
+    close = [1.0 + k * 2.0**-52 for k in range(40)]
+    values = [*far, *close, *close, *draw.normal(0, 1e-3, 200).tolist(), *[7.0] * 300]
+    df = spark.createDataFrame([("g", float(v)) for v in values] + [("h", float("nan")), ("h", 1.0), ("h", 2.0)], "g string, v double")
+    wanted = {f"q{i}": i / (len(values) - 1) for i in (0, 1, 5, 100, 250, 280, 330, len(values) - 2, len(values) - 1)}
+    got = {r["g"]: r for r in quantiles(df, ["g"], {"v": wanted}, rescan).collect()}
+    ordered = sorted(values)
+    for name, q in wanted.items():
+        at = (len(values) - 1) * q
+        lo, hi = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+        assert got["g"][name] == pytest.approx(lo + (hi - lo) * (at - np.floor(at)), nan_ok=True) or lo == hi == got["g"][name]
+    assert got["h"]["q0"] == 1.0
+
+
+def test_only_counts_are_sorted(spark):
+    """Selection joins and numbers counts of parts; with rescan no exchange carries the values themselves."""
+    df = spark.range(1000).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
+    text = quantiles(df, ["g"], {"v": {"q": 0.5}}, rescan=True)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in text.splitlines() if "Window [" in line]
+    assert len(windows) == 4 and sum("value" in w.split("windowspecdefinition")[1].split("ASC")[0] for w in windows) == 1
