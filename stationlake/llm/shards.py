@@ -9,8 +9,11 @@ until each is within the tolerance or its interval holds no other key. Cells
 between the splitters bound what one task sorts. With the counts below each
 cell known, one exchange gives every row its shard and its slot in the shard.
 
-Law: bytes. Shards differ by the tolerance and one row at most at either end.
-Equal texts meet in one shard, except where a splitter falls among them.
+Law: bytes. A splitter that falls among equal texts moves to the nearer end of
+their group if it then misses its target by ``group_tolerance`` of an even shard
+at most; so a group of up to twice that weight meets in one shard, and only
+heavier ones may be split. Elsewhere shards differ by the tolerance and one row
+at most at either end.
 
 Defined results: a null text has no bytes, an empty one none either; both count
 the fixed size per row. Rows that repeat id and text share a key and a shard,
@@ -87,6 +90,21 @@ def splitters(rows: DataFrame, wanted: list[tuple[str, float, float]], total: di
         known["bytes"].update(zip(new, below_bytes.tolist()))
 
 
+def at_group_edges(rows: DataFrame, bounds: list[int], even: float, allowed: float) -> list[int]:
+    """The splitters, each moved to the nearer edge of its group where this misses the target by ``allowed`` at most.
+
+    A group shares the upper half of its keys. One more pass counts at all edges.
+    """
+    starts = [b >> 32 << 32 for b in bounds]
+    edges = sorted({e for s in starts for e in (s, s + (1 << 32)) if _LOWEST <= e <= _HIGHEST})
+    size = dict(zip(edges, counts_between(rows, edges)[1].tolist()))
+    moved = []
+    for i, (bound, start) in enumerate(zip(bounds, starts), 1):
+        near = min((e for e in (start, start + (1 << 32)) if e in size), key=lambda e: abs(size[e] - even * i))
+        moved.append(near if abs(size[near] - even * i) <= allowed else bound)
+    return sorted(moved)
+
+
 def shard(
     docs: DataFrame,
     shards: int = 40,
@@ -95,11 +113,15 @@ def shard(
     per_row: int = 16,
     tolerance: float = 0.0005,
     cell_rows: int = 50_000,
+    group_tolerance: float = 0.05,
+    most_cells: int = 20_000,
 ) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot`` (from 0, without gaps in a shard).
 
     ``tolerance`` is the share of an even shard by which a splitter may miss;
-    ``cell_rows`` is about the number of rows one task sorts.
+    ``cell_rows`` is about the number of rows one task sorts, more where this
+    needs over ``most_cells`` cells: the counts a round sends to the driver are
+    16 for each cell at most, whatever the data.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     sized = docs.select(
@@ -113,10 +135,12 @@ def shard(
     total = {"rows": sums["n"], "bytes": sums["size"]}
     even = total["bytes"] / shards
     wanted = [("bytes", even * i, even * tolerance) for i in range(1, shards)]
-    cells = -(-total["rows"] // cell_rows)
-    inner = [("rows", total["rows"] * i / cells, cell_rows / 2) for i in range(1, cells)]
+    cells = min(-(-total["rows"] // cell_rows), most_cells)
+    inner = [("rows", total["rows"] * i / cells, total["rows"] / cells / 2) for i in range(1, cells)]
     found = splitters(rows, wanted + inner, total) if total["rows"] else [_HIGHEST] * (shards - 1)
     bounds = sorted(found[: shards - 1])
+    if total["rows"] and bounds:
+        bounds = at_group_edges(rows, bounds, even, even * group_tolerance)
     edges = sorted(set(bounds) | set(found[shards - 1 :]))
     below = counts_between(rows, edges)[0]
     starts = np.concatenate(([0], below))  # rows before each cell

@@ -62,3 +62,20 @@ def test_odd_rows(spark):
     check(out.collect(), given, 3)
     assert shards.shard(docs.limit(0), 3).collect() == []
     assert [r["shard"] for r in shards.shard(docs.filter("doc_id = 4"), 3).collect()] in ([0], [1], [2])
+
+
+def test_equal_texts_meet(spark):
+    """Groups of up to a tenth of an even shard stay whole; a heavier one may be split, and shards stay near equal."""
+    given = [(i, f"copy {i // 25} " * 3 if i < 2500 else f"text {i} of its own") for i in range(6000)]
+    given += [(10_000 + i, "one heavy text") for i in range(2000)]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    for cell_rows, most in ((50_000, 20_000), (100, 20_000), (100, 7)):
+        rows = shards.shard(docs, 20, cell_rows=cell_rows, most_cells=most).collect()
+        check(rows, given, 20)
+        even = sum(r["size"] for r in rows) / 20
+        found = defaultdict(list)
+        for r in rows:
+            found[r["text"]].append(r)
+        for group in found.values():
+            assert len({r["shard"] for r in group}) == 1 or sum(r["size"] for r in group) > 0.1 * even
+        assert np.abs(sizes(rows, 20) - even).max() <= 0.1 * even + 2 * (0.0005 * even + 100)
