@@ -8,6 +8,8 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stationlake.model import raw_schema
+
 
 def payload_schema(variables: Sequence[str]) -> str:
     """DDL of a payload: ``hourly`` is a struct of parallel arrays."""
@@ -15,10 +17,40 @@ def payload_schema(variables: Sequence[str]) -> str:
     return f"hourly struct<`time`: array<string>, {arrays}>"
 
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Payload files below ``city=<name>`` folders as one row per file: city, body."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select("city", F.col("value").alias("body"))
+def read_payloads(
+    spark: SparkSession, path: str, seen: DataFrame | None = None, after: datetime | None = None
+) -> DataFrame:
+    """Payload files below ``city=<name>`` folders, one row each: city, file, modified, body.
+
+    ``seen`` (``file``, ``modified``) is the record of earlier loads: its files are
+    left out, unless they have changed since. ``after`` leaves out files last
+    changed before that moment when files are listed, so none of them is opened;
+    it must not be later than a file may still arrive with.
+    """
+    reader = spark.read.schema("value string, city string").option("wholetext", True)
+    if after is not None:
+        reader = reader.option("modifiedAfter", after.strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
+    files = reader.text(path).select(
+        "city",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+        F.col("value").alias("body"),
+    )
+    return files if seen is None else files.join(seen.select("file", "modified"), ["file", "modified"], "left_anti").select(*files.columns)
+
+
+def loaded_files(payloads: DataFrame, variables: Sequence[str], loaded_at: Column | datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of the sound payload files in the raw schema, and the files set aside.
+
+    A rejected file keeps its content and the reason, also where its folder names
+    no site; it gives no rows and does not stop the others.
+    """
+    named = F.when(F.col("city").isNull(), "no site")
+    judged = parsed(payloads, variables).withColumn("problem", F.coalesce(named, "problem"))
+    rows = with_lineage(payload_rows(judged, variables), loaded_at)
+    raw = [F.col(f.name).cast(f.dataType) for f in raw_schema(variables)]
+    rejects = judged.filter(F.col("problem").isNotNull()).select("city", "file", "modified", "problem", "body")
+    return rows.select(*raw), rejects
 
 
 def parsed(payloads: DataFrame, variables: Sequence[str], body: str = "body") -> DataFrame:

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from stationlake.model import LOAD_LOG_SCHEMA, ZONE, site_dimension
+from stationlake.model import LOAD_LOG_SCHEMA, ZONE, raw_schema, site_dimension
 from stationlake.sources import landing, tables, versions
 from tests.helpers import hours, rows
 
@@ -50,6 +50,28 @@ def test_files_below_site_folders(spark, tmp_path):
     assert dict(rows(got)) == {"Malmö": 3, "Luleå": 3}
 
 
+def test_files_are_loaded_once_and_bad_ones_set_aside(spark, tmp_path):
+    for city, name, body in (("Malmö", "a", BODY), ("Malmö", "b", "no json"), ("007", "a", BODY), ("__HIVE_DEFAULT_PARTITION__", "a", BODY)):
+        folder = tmp_path / f"city={city}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"{name}.json").write_text(body)
+        os.utime(folder / f"{name}.json", (1.7e9, 1.7e9))
+    first = landing.read_payloads(spark, str(tmp_path))
+    loaded, rejects = landing.loaded_files(first, VARIABLES, dt.datetime(2026, 5, 2))
+    assert loaded.schema.simpleString() == raw_schema(VARIABLES).simpleString()
+    assert dict(rows(loaded.groupBy("city").count())) == {"Malmö": 3, "007": 3}
+    assert sorted((str(r.city), r.problem, r.body) for r in rejects.collect()) == [("Malmö", "unreadable", "no json"), ("None", "no site", BODY)]
+    seen = spark.createDataFrame(first.select("file", "modified").collect(), "file string, modified timestamp")
+    assert landing.read_payloads(spark, str(tmp_path), seen).count() == 0
+    # A file that is mended is read again, a new one is read, the others are not.
+    (tmp_path / "city=Malmö" / "b.json").write_text(BODY)
+    (tmp_path / "city=007" / "c.json").write_text("")
+    again = landing.read_payloads(spark, str(tmp_path), seen)
+    assert sorted(r.file.rsplit("/", 1)[1] for r in again.collect()) in (["b.json"], ["b.json", "c.json"])
+    newer = landing.read_payloads(spark, str(tmp_path), after=dt.datetime(2025, 1, 1))
+    assert {r.file.rsplit("/", 1)[1] for r in newer.collect()} <= {"b.json", "c.json"}
+
+
 def test_a_bad_payload_does_not_stop_the_others(spark):
     late = BODY.replace("2025-03-08T23:00", "yesterday")
     short = BODY.replace('"2025-03-08T22:00", ', "")

@@ -57,15 +57,62 @@ def _(spark, sf):
 )
 def load_log_of(spark, sf):
     """Payloads of three days are damaged, each in its way: the others must still be loaded and logged."""
+    payloads = la.parsed(damaged_payloads(spark, sf), POLLEN)
+    rows = la.payload_rows(payloads, POLLEN)
+    return la.load_log(payloads, rows, "air_quality", date(2024, 1, 31), RUN_AT, POLLEN)
+
+
+def damaged_payloads(spark, sf):
     damage = (
         F.when(F.col("start") == F.lit(date(2024, 1, 5)), F.expr("substring(body, 2)"))
         .when(F.col("start") == F.lit(date(2024, 1, 6)), F.regexp_replace("body", r"(\d)T(\d)", "$1 at $2"))
         .when(F.col("start") == F.lit(date(2024, 1, 7)), F.regexp_replace("body", r'"time":\s*\["[^"]*",?\s*', '"time":['))
     )
-    payloads = landed_payloads(spark, sf).withColumn("body", F.coalesce(damage, F.col("body")))
-    payloads = la.parsed(payloads, POLLEN)
-    rows = la.payload_rows(payloads, POLLEN)
-    return la.load_log(payloads, rows, "air_quality", date(2024, 1, 31), RUN_AT, POLLEN)
+    return landed_payloads(spark, sf).withColumn("body", F.coalesce(damage, F.col("body")))
+
+
+LOADS = (datetime(2024, 1, 11, 4, 30), RUN_AT)
+
+
+def loads_from_files(spark, sf):
+    """Payload files of the first ten days are landed and loaded, then the others, by a second load that sees both."""
+    folder, record = work_path(spark, "landed"), work_path(spark, "seen")
+    files = damaged_payloads(spark, sf).select("city", F.col("start").alias("day"), "body").repartition("city", "day")
+    early = F.col("day") < F.lit(date(2024, 1, 11))
+    files.filter(early).write.partitionBy("city", "day").text(folder)
+    first = la.read_payloads(spark, folder)
+    first.select("file", "modified").write.parquet(record)
+    files.filter(~early).write.mode("append").partitionBy("city", "day").text(folder)
+    second = la.read_payloads(spark, folder, spark.read.parquet(record))
+    return [la.loaded_files(p, POLLEN, at) for p, at in zip((first, second), LOADS)]
+
+
+@register(
+    "load_landed_files",
+    sql.query(
+        [sql.EVENT_HOURS],
+        f"""SELECT city, time, {', '.join(POLLEN)},
+              CASE WHEN time < TIMESTAMP '2024-01-11' THEN TIMESTAMP '{LOADS[0]}' ELSE TIMESTAMP '{LOADS[1]}' END AS loaded_at
+            FROM event_hours
+            WHERE coalesce({', '.join(POLLEN)}) IS NOT NULL AND time::DATE NOT IN (DATE '2024-01-05', DATE '2024-01-06', DATE '2024-01-07')""",
+    ),
+)
+def _(spark, sf):
+    (early, _), (late, _) = loads_from_files(spark, sf)
+    return early.unionByName(late)
+
+
+@register(
+    "rejected_files",
+    sql.query(
+        [sql.EVENT_HOURS],
+        """SELECT city, CASE day(time) WHEN 5 THEN 'unreadable' WHEN 6 THEN 'bad time' ELSE 'uneven arrays' END AS problem, count(DISTINCT time::DATE) AS n_files
+           FROM event_hours WHERE time::DATE IN (DATE '2024-01-05', DATE '2024-01-06', DATE '2024-01-07') GROUP BY ALL""",
+    ),
+)
+def _(spark, sf):
+    (_, early), (_, late) = loads_from_files(spark, sf)
+    return early.unionByName(late).groupBy("city", "problem").agg(F.count("file").alias("n_files"))
 
 
 @register(
