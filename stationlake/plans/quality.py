@@ -138,31 +138,74 @@ def values_rule(column: str, values: Sequence) -> RowRule:
     return RowRule(f"accepted_values({column})", broken)
 
 
-def run_rules(table: str, df: DataFrame, rules: Sequence[RowRule | KeyRule]) -> DataFrame:
+@dataclass(frozen=True)
+class SiteRule:
+    """A rule on the keys of a whole site: violations of one site, from aggregates of its rows.
+
+    ``found`` are the aggregates wanted, by name, over one row per key that has
+    the key columns and ``__n``, its number of rows; ``violations`` is computed
+    from them and the site.
+    """
+
+    name: str
+    site: str
+    found: Mapping[str, Column]
+    violations: Column
+
+
+def days_rule(site: str = "city", day: str = "date_local") -> SiteRule:
+    """As ``missing_days``, for a table with the key (site, day)."""
+    span = F.date_diff("__last", "__first") + 1
+    found = {"__first": F.min(day), "__last": F.max(day), "__days": F.count(day)}
+    return SiteRule("no_missing_days", site, found, F.when(F.col(site).isNull(), span).otherwise(span - F.col("__days")))
+
+
+def hours_rule(site: str = "city", time: str = "time_utc") -> SiteRule:
+    """As ``missing_hours``, for a table with the key (site, time): 1 for each site."""
+    found = {"__span": epoch_hours(F.max(time)) - epoch_hours(F.min(time)) + 1, "__rows": F.sum("__n")}
+    return SiteRule("no_missing_hours", site, found, F.when(F.col("__rows") != F.col("__span"), 1))
+
+
+def order_rule() -> RowRule:
+    """As ``disordered_seasons``."""
+    return RowRule("start_not_after_end", F.coalesce(F.col("season_start") > F.col("season_end"), F.lit(False)))
+
+
+Rule = RowRule | KeyRule | SiteRule
+
+
+def run_rules(table: str, df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Number of violations per rule.
 
-    All row rules of a table are counted in one pass; each key rule is one
-    aggregation by its key.
+    The table is read once: rows are reduced to its first key with the number of
+    rows and of violations of every row rule, the keys to sites where a rule asks
+    for them, and these to one row. A further key is one more aggregation.
     """
     row_rules = [r for r in rules if isinstance(r, RowRule)]
-    parts = []
-    if row_rules:
-        counted = df.agg(
-            *[F.count(F.when(r.broken, 1)).alias(f"r{i}") for i, r in enumerate(row_rules)]
-        )
-        entries = [
-            F.struct(F.lit(r.name).alias("rule"), F.col(f"r{i}").alias("violations"))
-            for i, r in enumerate(row_rules)
-        ]
-        parts.append(counted.select(F.lit(table).alias("table"), F.inline(F.array(*entries))))
-    for rule in rules:
-        if isinstance(rule, KeyRule):
-            doubles = unique_combination(df, rule.columns)
-            parts.append(
-                doubles.agg(F.count(F.lit(1)).alias("violations")).select(
-                    F.lit(table).alias("table"), F.lit(rule.name).alias("rule"), "violations"
-                )
-            )
+    site_rules = [r for r in rules if isinstance(r, SiteRule)]
+    keys = [r for r in rules if isinstance(r, KeyRule)]
+    sites = {r.site for r in site_rules}
+    if sites and (len(sites) > 1 or not keys or not sites <= set(keys[0].columns)):
+        raise ValueError(f"{table}: rules on sites need one site column, part of the first key")
+    broken = [F.count(F.when(r.broken, 1)).alias(f"__r{i}") for i, r in enumerate(row_rules)]
+    counts = {r.name: f"__r{i}" for i, r in enumerate(row_rules)}
+    found = df.groupBy(*keys[0].columns).agg(F.count(F.lit(1)).alias("__n"), *broken) if keys else df.agg(*broken)
+    if keys:
+        found = found.withColumn("__copies", (F.col("__n") > 1).cast("long"))
+        counts[keys[0].name] = "__copies"
+    for site in sites:
+        mine = {f"__s{i}": r for i, r in enumerate(site_rules)}
+        wanted = {n: c for r in mine.values() for n, c in r.found.items()}
+        sums = [F.sum(c).alias(c) for c in counts.values()]
+        found = found.groupBy(site).agg(*[c.alias(n) for n, c in wanted.items()], *sums)
+        found = found.withColumns({n: r.violations.cast("long") for n, r in mine.items()})
+        counts |= {r.name: n for n, r in mine.items()}
+    totals = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.values()])
+    entries = [F.struct(F.lit(name).alias("rule"), F.col(c).alias("violations")) for name, c in counts.items()]
+    parts = [totals.select(F.lit(table).alias("table"), F.inline(F.array(*entries)))]
+    for rule in keys[1:]:
+        doubles = unique_combination(df, rule.columns).agg(F.count(F.lit(1)).alias("violations"))
+        parts.append(doubles.select(F.lit(table).alias("table"), F.lit(rule.name).alias("rule"), "violations"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -170,7 +213,7 @@ def rule_sets(
     sites: Sequence[str] = tuple(s[0] for s in SITES),
     species: Sequence[str] = tuple(SPECIES),
     hours_per_day: tuple[int, int] = (23, 25),
-) -> dict[str, list[RowRule | KeyRule]]:
+) -> dict[str, list[Rule]]:
     """The rules of every table of the pipeline."""
     air = [f"{s}_pollen" for s in species] + ["pm2_5", "pm10", "ozone", "no2"]
     return {
@@ -204,9 +247,11 @@ def rule_sets(
             KeyRule(("city", "time_utc")),
             range_rule("hour_local", 0, 23),
             null_rule("temperature_c"),
+            hours_rule(),
         ],
         "daily": [
             KeyRule(("city", "date_local")),
+            days_rule(),
             range_rule("n_hours", *hours_per_day),
         ],
         "weekly": [
@@ -219,22 +264,11 @@ def rule_sets(
             null_rule("season_start"),
             null_rule("peak_date"),
             null_rule("season_end"),
+            order_rule(),
         ],
     }
 
 
-def run_suite(tables: Mapping[str, DataFrame], rules: Mapping[str, Sequence]) -> DataFrame:
-    """All rules of all given tables plus the whole-table checks that apply to them."""
-    parts = [run_rules(name, df, rules[name]) for name, df in tables.items() if name in rules]
-    whole = {
-        "daily": ("no_missing_days", missing_days),
-        "hourly": ("no_missing_hours", missing_hours),
-        "seasons": ("start_not_after_end", disordered_seasons),
-    }
-    for name, (rule, violations) in whole.items():
-        if name in tables:
-            counted = violations(tables[name]).agg(F.count(F.lit(1)).alias("violations"))
-            parts.append(
-                counted.select(F.lit(name).alias("table"), F.lit(rule).alias("rule"), "violations")
-            )
-    return reduce(DataFrame.unionByName, parts)
+def run_suite(tables: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Rule]]) -> DataFrame:
+    """All rules of all given tables, each table read once."""
+    return reduce(DataFrame.unionByName, [run_rules(name, df, rules[name]) for name, df in tables.items() if name in rules])

@@ -37,7 +37,7 @@ def test_freshness(spark, age, status):
 
 def test_the_rule_set_has_51_rules():
     rules = qu.rule_sets()
-    assert sum(len(r) for r in rules.values()) + 3 == 51
+    assert sum(len(r) for r in rules.values()) == 51
     assert len(rules["stg_air_quality"]) == 21 and len(rules["stg_weather"]) == 13
 
 
@@ -48,6 +48,27 @@ def test_one_pass_for_all_row_rules(spark):
     assert got == {"not_null(v)": 1, "not_negative(v)": 1, "accepted_values(k)": 1, "unique(k)": 0}
 
 
+def test_rules_on_sites_equal_the_plain_forms(spark):
+    day = [(c, dt.date(2024, 5, d), 24) for c, d in (("a", 1), ("a", 2), ("a", 5), ("b", 1), ("b", 1), (None, 3), (None, 4))]
+    days = spark.createDataFrame([*day, ("z", None, 1)], "city string, date_local date, n_hours int")
+    ts = hours("2024-05-01", 5)
+    times = spark.createDataFrame([("a", t) for t in ts if t.hour != 2] + [("b", t) for t in ts] + [("c", None), (None, ts[0]), (None, ts[0])], "city string, time_utc timestamp_ntz")
+    for df, rule, plain in ((days, qu.days_rule(), qu.missing_days), (times, qu.hours_rule(), qu.missing_hours)):
+        key = qu.KeyRule(tuple(df.columns[:2]))
+        for part in (df, df.limit(0)):
+            out = qu.run_rules("t", part, [key, qu.null_rule("city"), rule])
+            got = {r.rule: r.violations for r in out.collect()}
+            assert got == {
+                rule.name: plain(part).count(),
+                key.name: qu.unique_combination(part, key.columns).count(),
+                "not_null(city)": part.filter("city IS NULL").count(),
+            }
+    text = qu.run_rules("t", spark.read.parquet("/root/testdata/sf0.001/events.parquet"), [qu.KeyRule(("event_id",)), qu.null_rule("ts")])
+    assert text._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    with pytest.raises(ValueError):
+        qu.run_rules("t", days, [qu.days_rule()])
+
+
 def test_missing_report(spark):
     listed = [("s", "a", "v", 2024, 50.0), ("s", "b", "v", 2024, 25.0), ("s", "a", "w", 2024, 0.0)]
     df = spark.createDataFrame(listed, "source string, city string, variable string, year int, pct_missing double")
