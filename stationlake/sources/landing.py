@@ -25,7 +25,8 @@ def read_payloads(
     ``seen`` (``file``, ``modified``) is the record of earlier loads: its files are
     left out, unless they have changed since. ``after`` leaves out files last
     changed before that moment when files are listed, so none of them is opened;
-    it must not be later than a file may still arrive with.
+    it must not be later than a file may still arrive with. Files without any
+    content give no row, as the engine's reader passes over them.
     """
     reader = spark.read.schema("value string, city string").option("wholetext", True)
     if after is not None:
