@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from stationlake.functions.calendar import local_time
 from stationlake.plans import marts
+from stationlake.plans.refresh import read_mart, refresh
+from stationlake.session import work_path
+from stationlake.sources import tables as tb
 from workload import sql
 from workload.fixtures import obs_daily, raw_air, raw_weather, table
 from workload.registry import register
@@ -197,3 +202,51 @@ def daily_raw(spark, sf):
 )
 def _(spark, sf):
     return marts.monthly_means(daily_raw(spark, sf), VARIABLES, [1998, 1999])
+
+
+def _until(df, day):
+    return df.filter(F.col("time") < F.lit(day).cast("timestamp_ntz"))
+
+
+def _from(df, day):
+    return df.filter(F.col("time") >= F.lit(day).cast("timestamp_ntz"))
+
+
+def loaded_in_parts(spark, sf):
+    """Marts after three loads: wrong values for the end of a first part, their correction with the later rows, late weather."""
+    folder = work_path(spark, "marts")
+    air, weather = raw_air(spark, sf), raw_weather(spark, sf)
+    wrong = F.when(F.col("time") >= F.lit("1997-11-05").cast("timestamp_ntz"), F.col("birch_pollen") * 3 + 1)
+    early = _until(air, "1998-01-01").withColumn("birch_pollen", F.coalesce(wrong, F.col("birch_pollen")))
+    refresh(spark, folder, early, _until(weather, "1997-12-20"), min_hours=4)
+    refresh(spark, folder, _from(air, "1997-11-05"), min_hours=4)
+    refresh(spark, folder, weather=_from(weather, "1997-12-20"), min_hours=4)
+    return folder
+
+
+def snapshot_of_loads(spark, sf, name):
+    """All five marts after the loads are exported; one of them is read back."""
+    folder = loaded_in_parts(spark, sf)
+    exported = work_path(spark, "snapshot")
+    tb.export_snapshot({m: read_mart(spark, folder, m) for m in tb.MARTS}, exported)
+    return tb.read_snapshot(spark, exported)[name]
+
+
+WEEKLY_MEASURES = [
+    *[f"{s}_pollen_{a}" for s in sql.SPECIES for a in ("avg", "max")],
+    "pm2_5_avg", "ozone_avg", "temperature_avg_c", "precipitation_mm", "wind_speed_avg_kmh",
+]
+
+# The marts built anew from all rows.
+REBUILT = {
+    "hourly": sql.query(sql.MART_CHAIN[:-1], "SELECT * FROM hourly"),
+    "daily": sql.query(sql.MART_CHAIN, "SELECT * FROM daily", sql.DAILY_MEASURES, longs=["n_hours"]),
+    "weekly": sql.query([*sql.MART_CHAIN, sql.weekly("daily")], "SELECT * FROM weekly", WEEKLY_MEASURES, longs=["n_days"]),
+    "seasons": sql.query([*sql.MART_CHAIN, sql.seasons("daily")], "SELECT * FROM seasons", SEASON_FLOATS),
+    "missing_values": sql.query(
+        [sql.SITE_LINES, sql.RAW_AIR, sql.RAW_WEATHER], MISSING, ["pct_missing"], ["year"], ["n_rows", "n_missing"]
+    ),
+}
+
+for mart, rebuilt in REBUILT.items():
+    register(f"loaded_{mart}", rebuilt)(partial(snapshot_of_loads, name=mart))
