@@ -10,7 +10,7 @@ is the same as that of the plain window, for any spacing of the rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -106,6 +106,72 @@ def with_neighbours(
     return joined.select(*df.columns, "prev", "next")
 
 
+def neighbours_where(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    values: Sequence[str],
+    chosen: Callable[[Column, Column], Column],
+    before: int = 1,
+    after: int = 0,
+    bucket: Column | None = None,
+) -> DataFrame:
+    """Rows that ``chosen`` picks, with ``prev`` and ``next`` as in ``with_neighbours``.
+
+    ``chosen(row, earlier)`` gets a row's values and those of the row before
+    it (null at the start of a series) and says whether the row is wanted; null
+    counts as no. A bucket becomes one sorted list, so buckets must be small (a
+    site's year of days). Only wanted rows become rows again and get their
+    neighbours cut out of that list. Lists and edges come from the same shuffle;
+    the window over ``keys`` sees one row of edges per bucket.
+
+    The result has the keys, ``order``, the values, ``prev`` and ``next``.
+    """
+    if before < 1:
+        raise ValueError("the row before is needed to choose rows")
+    keys = list(keys)
+    row = F.struct(F.col(order).alias("at"), F.struct(*[F.col(v) for v in values]).alias("row"))
+    lists = (
+        _in_buckets(df, keys, order, bucket)
+        .groupBy(*keys, _BUCKET)
+        .agg(F.sort_array(F.collect_list(row)).alias("__rows"))
+    )
+    over_buckets = Window.partitionBy(*keys).orderBy(_BUCKET)
+    earlier = F.collect_list(_TAIL).over(over_buckets.rowsBetween(-before, -1))
+    later = F.collect_list(_HEAD).over(over_buckets.rowsBetween(1, max(after, 1)))
+    carried = lists.select(
+        *keys, _BUCKET, _last(F.col("__rows"), before).alias(_TAIL), _first(F.col("__rows"), after).alias(_HEAD)
+    ).select(
+        *keys,
+        _BUCKET,
+        _last(F.flatten(earlier), before).alias("__carry_tail"),
+        _first(F.flatten(later), after).alias("__carry_head"),
+    )
+    around = lists.join(carried, [*keys, _BUCKET]).select(
+        *keys,
+        F.concat("__carry_tail", "__rows", "__carry_head").alias("__all"),
+        F.size("__carry_tail").alias("__from"),
+        F.size("__rows").alias("__n"),
+    )
+
+    # Positions from 0; the places of wanted rows are found first, and only these are cut out.
+    def wanted(i: Column) -> Column:
+        previous = F.when(i > 0, F.get("__all", i - 1)["row"])
+        return F.coalesce(chosen(F.get("__all", i)["row"], previous), F.lit(False))
+
+    places = F.filter(F.sequence(F.col("__from"), F.col("__from") + F.col("__n") - 1), wanted)
+    at = F.col("__place")
+    start = F.greatest(at - before, F.lit(0))
+    found = around.select("*", F.explode(places).alias("__place")).select(
+        *keys,
+        F.get("__all", at).alias("__row"),
+        F.slice("__all", start + 1, at - start)["row"].alias("prev"),
+        F.slice("__all", at + 2, after)["row"].alias("next"),
+    )
+    plain = [F.col("__row")["row"][v].alias(v) for v in values if v not in (*keys, order)]
+    return found.select(*keys, F.col("__row")["at"].alias(order), *plain, "prev", "next")
+
+
 def rolling_mean(
     df: DataFrame,
     keys: Sequence[str],

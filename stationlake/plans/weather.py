@@ -15,7 +15,7 @@ from stationlake.model import (
     WIND_BINS,
     daily_columns,
 )
-from stationlake.operators.neighbours import with_neighbours
+from stationlake.operators.neighbours import neighbours_where
 from stationlake.operators.order_stats import attached, quantiles
 from stationlake.plans.climatology import in_season
 
@@ -123,26 +123,24 @@ def rain_events(
     (or a day before known to be wet) are left out.
 
     The rain conditions depend on no species, so they reduce the days before
-    the join with the seasons.
+    the join with the seasons; only the days they leave get their neighbours.
     """
     columns = columns or {s: daily_columns()[s] for s in WEATHER_SPECIES}
     base = days.select("city", "date_local", "precipitation_mm", *columns.values())
-    series = with_neighbours(
+    def after_a_dry_day(day: Column, before: Column) -> Column:
+        return ~known(day["precipitation_mm"] < rain_mm) & ~known(before["precipitation_mm"] >= dry_mm)
+
+    rain_days = neighbours_where(
         base,
         ["city"],
         "date_local",
         ["precipitation_mm", *columns.values()],
+        after_a_dry_day,
         before=1,
         after=look_ahead,
         bucket=F.trunc("date_local", "year"),
-    )
+    ).filter((F.size("prev") == 1) & (F.size("next") == look_ahead))
     day_before = F.get("prev", F.lit(0))
-    rain_days = series.filter(
-        (F.size("prev") == 1)
-        & (F.size("next") == look_ahead)
-        & ~known(F.col("precipitation_mm") < rain_mm)
-        & ~known(day_before["precipitation_mm"] >= dry_mm)
-    )
     per_species = rain_days.select(
         "city",
         "date_local",

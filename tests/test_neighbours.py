@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stationlake.operators.neighbours import rolling_mean, rolling_mean_hours, with_neighbours
+from stationlake.operators.neighbours import neighbours_where, rolling_mean, rolling_mean_hours, with_neighbours
 from stationlake.operators.runs import as_ranges, first_run, run_ends, top_rows
 from tests.helpers import rows
 
@@ -49,6 +49,26 @@ def test_neighbours_equal_the_plain_series(spark, seed, before, after, bucket):
             assert found[site, t] == (prev, following)
 
 
+@pytest.mark.parametrize("before,after", [(1, 7), (3, 0)])
+@pytest.mark.parametrize("bucket", ["month", "day"])
+def test_neighbours_of_wanted_rows_only(spark, before, after, bucket):
+    data = series(3) + [("lone", dt.datetime(2024, 1, 1), 9.0)]
+    df = spark.createDataFrame(data, SCHEMA)
+
+    def rising(row, earlier):
+        return (row["v"] > earlier["v"]) | (earlier["v"].isNull() & (row["v"] > 5))
+
+    cut = F.date_trunc(bucket, "t")
+    every = with_neighbours(df, ["site"], "t", ["v"], before, after, bucket=cut)
+    wanted = every.filter(rising(F.struct("v"), F.get("prev", F.size("prev") - 1)))
+    got = neighbours_where(df, ["site"], "t", ["v"], rising, before, after, bucket=cut)
+    assert got.columns == ["site", "t", "v", "prev", "next"]
+    expected = rows(wanted.select(*got.columns), "site", "t")
+    assert rows(got, "site", "t") == expected and 0 < len(expected) < len(data)
+    with pytest.raises(ValueError):
+        neighbours_where(df, ["site"], "t", ["v"], rising, 0, 1)
+
+
 def test_short_series_need_no_buckets(spark):
     data = series(5, n=30)
     df = spark.createDataFrame(data, SCHEMA)
