@@ -92,7 +92,8 @@ def test_probabilities_of_all_words_sum_to_one():
     assert total == pytest.approx(np.ones(4), abs=1e-4)
 
 
-def test_lanes_hold_every_token_once_and_carry_the_state():
+@pytest.mark.parametrize("least", [0, 20])
+def test_lanes_hold_every_token_once_and_carry_the_state(least):
     starts = np.concatenate(([0], np.cumsum([7, 1, 30, 2, 2, 19])))
     seen, net = [], network()
     inputs = np.random.default_rng(5).integers(0, 20, int(starts[-1]))
@@ -101,7 +102,7 @@ def test_lanes_hold_every_token_once_and_carry_the_state():
         begins = np.zeros((b - a, 1), bool)
         whole[a:b] = net.forward(inputs[a:b, None], begins, np.zeros((1, SMALL.hidden), np.float32))[0][:, 0]
     state = None
-    for places, begins in recurrent.windows(starts, SMALL):
+    for places, begins in recurrent.windows(starts, SMALL, least):
         live = places.shape[1]
         state = np.zeros((live, SMALL.hidden), np.float32) if state is None else state[:live]
         out = net.forward(inputs[places], begins, state)[0]
