@@ -11,7 +11,7 @@ from stationlake.plans import hours as hr
 from stationlake.plans import marts
 from stationlake.sources.tables import latest_forecast
 from workload import sql
-from workload.fixtures import HIGH, event_hours, forecast_snapshots, obs_daily
+from workload.fixtures import HIGH, event_hours, forecast_snapshots, obs_daily, stored
 from workload.mart_queries import hourly_mart
 from workload.registry import register
 
@@ -25,7 +25,7 @@ def seasons_of(spark, sf, site: str = "r_name"):
 
 
 def days_and_seasons(spark, sf, site: str = "r_name"):
-    days = obs_daily(spark, sf, site)
+    days = stored(obs_daily(spark, sf, site), "days")
     return days, marts.seasons(days)
 
 

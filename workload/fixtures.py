@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stationlake.session import work_path
+
 SPECIES_FLAGS = {"alder": "A", "birch": "N", "grass": "R"}
 
 # Levels that some days of the stand-in data exceed.
@@ -39,18 +41,27 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a work table, for queries that use it more than once: it is computed only once."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def site_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items with the region and nation of their customer."""
+    """Line items with the region and nation of their customer.
+
+    The orders meet their customers first, so the lines are moved once only.
+    """
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate"
     )
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(sites(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
+    placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(
+        sites(spark, sf), F.col("c_nationkey") == F.col("n_nationkey")
     )
+    return lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def sites(spark: SparkSession, sf: str) -> DataFrame:
