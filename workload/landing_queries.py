@@ -21,6 +21,7 @@ from workload.fixtures import (
     obs_daily,
     raw_air,
     regions_of,
+    stored,
     table,
 )
 from workload.registry import register
@@ -265,7 +266,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     folder = work_path(spark, "snapshot")
-    days = obs_daily(spark, sf)
+    days = stored(obs_daily(spark, sf), "days")
     tb.export_snapshot({"daily": days, "seasons": marts.seasons(days)}, folder)
     tb.read_snapshot(spark, folder, ["daily", "seasons"])
     return spark.sql(

@@ -6,7 +6,7 @@ from stationlake.model import FACTOR_AIR, FACTOR_HOT, FACTOR_RAIN
 from stationlake.plans import planning as pl
 from workload import sql
 from workload.climatology_queries import SEASONS, seasons_of
-from workload.fixtures import MODERATE, obs_daily, regions_of
+from workload.fixtures import MODERATE, obs_daily, regions_of, stored
 from workload.registry import register
 from workload.risk_queries import DAYS, FLAGS, RISK_CTES, flags_of, risk_from
 
@@ -219,7 +219,7 @@ EVENT_RISK = "event_risk AS (SELECT city, week, avg(problem::INTEGER) AS problem
 
 
 def event_days_of(spark, sf):
-    days = obs_daily(spark, sf)
+    days = stored(obs_daily(spark, sf), "days")
     return pl.event_days(days, risk_from(spark, sf, days), level=MODERATE)
 
 
