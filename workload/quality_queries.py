@@ -13,7 +13,7 @@ from stationlake.plans import profiles as pr
 from stationlake.plans import quality as qu
 from workload import mart_queries as mq
 from workload import sql
-from workload.fixtures import obs_daily, raw_air, raw_weather, table
+from workload.fixtures import obs_daily, raw_air, raw_weather, stored, table
 from workload.registry import register
 
 RAW = [sql.SITE_LINES, sql.RAW_AIR, sql.RAW_WEATHER]
@@ -263,10 +263,11 @@ SUITE = " UNION ALL ".join(
 
 @register("dq_suite", sql.query(CHAIN, SUITE))
 def _(spark, sf):
-    air, weather = raw_air(spark, sf), raw_weather(spark, sf)
+    # Each is used by the next one and by rules of its own.
+    air, weather = stored(raw_air(spark, sf), "air"), stored(raw_weather(spark, sf), "weather")
     staged_air, staged_weather = marts.stage_air_quality(air), marts.stage_weather(weather)
-    hours = marts.hourly(staged_air, staged_weather)
-    days = marts.daily(hours, min_hours=4)
+    hours = stored(marts.hourly(staged_air, staged_weather), "hours")
+    days = stored(marts.daily(hours, min_hours=4), "days")
     tables = {
         "air_quality": air,
         "weather": weather,
