@@ -20,7 +20,7 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,9 @@ class Encoder:
     """Ids of texts by a tokenizers file.
 
     Keeps the ids of distinct words; beyond ``most`` words those seen once go.
-    Words of letters alone, with or without marks behind, need no splitting, so
-    the library's model gets them directly; all others pass its whole chain.
+    Words of letters alone, with or without marks behind, also several with single
+    line ends between, need no splitting, so the library's model gets them
+    directly; all others pass its whole chain.
     """
 
     def __init__(self, tokenizer_file: str, most: int = 250_000):
@@ -55,29 +56,47 @@ class Encoder:
         self.spaced: dict[str, int] = {}
         self.bare: dict[str, int] = {}
         self.flat, self.at, self.hits = array("i"), array("q", [0]), np.zeros(0, np.int64)
+        # A line end, and one or two marks behind a word: 43 entries at most.
+        self.marks: dict[str, list[int]] = {}
         self.direct = self._is_byte_level()
 
     def _is_byte_level(self) -> bool:
         """Whether the direct way is known to give the ids of the whole chain."""
-        tried = [" the", " Wörter", "été", " a", " 日本", " x.", " straße,!"]
+        tried = [" the", " Wörter", "été", " a", " 日本", " x.", " straße,!", " x.\nÜber", "a\nb,\nc"]
         whole = [e.ids for e in self.tokenizer.encode_batch_fast(tried, add_special_tokens=False)]
         return whole == [self._directly(w) for w in tried]
 
     def _directly(self, word: str) -> list[int] | None:
-        letters = word.rstrip(".,;:!?")
-        if not letters[letters.startswith(" ") :].isalpha():
-            return None
-        marks = word[len(letters) :]
-        ids = [t.id for t in self.model.tokenize(letters.encode().decode("latin-1").translate(_VISIBLE))]
-        return ids + [t.id for t in self.model.tokenize(marks)] if marks else ids
+        ids: list[int] = []
+        for i, line in enumerate(word.split("\n")):
+            letters = line.rstrip(".,;:!?")
+            if not letters[(not i) and letters.startswith(" ") :].isalpha():
+                return None
+            if i:
+                ids += self._of_marks(_VISIBLE[0x0A])
+            # ASCII letters are visible as they are.
+            visible = letters.replace(" ", _VISIBLE[0x20]) if letters.isascii() else letters.encode().decode("latin-1").translate(_VISIBLE)
+            ids += [t.id for t in self.model.tokenize(visible)]
+            if len(letters) < len(line):
+                ids += self._of_marks(line[len(letters) :])
+        return ids
+
+    def _of_marks(self, marks: str) -> list[int]:
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = [t.id for t in self.model.tokenize(marks)]
+            if len(marks) <= 2:
+                self.marks[marks] = ids
+        return ids
 
     def _learn(self, words: list[str]) -> None:
         found = [self._directly(w) if self.direct else None for w in words]
         others = [w for w, ids in zip(words, found) if ids is None]
         whole = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False)) if others else iter(())
-        for ids in found:
-            self.flat.extend(next(whole).ids if ids is None else ids)
-            self.at.append(len(self.flat))
+        found = [next(whole).ids if ids is None else ids for ids in found]
+        ends = len(self.flat) + np.cumsum([*map(len, found)], dtype=np.int64)
+        self.flat.extend(chain.from_iterable(found))
+        self.at.frombytes(ends.tobytes())
 
     def _forget(self) -> None:
         """Keep the words seen more than once, or none if these are too many as well."""
@@ -110,14 +129,12 @@ class Encoder:
         places = np.fromiter(map(table.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(places < 0)
         if len(new):
-            fresh = []
-            for i in new.tolist():
-                w = words[i]
-                if w not in table:
-                    table[w] = len(self.at) - 1 + len(fresh)
-                    fresh.append(before + w)
-                places[i] = table[w]
-            self._learn(fresh)
+            unknown = [words[i] for i in new.tolist()]
+            fresh = list(dict.fromkeys(unknown))
+            known = len(self.at) - 1
+            table.update(zip(fresh, range(known, known + len(fresh))))
+            places[new] = np.fromiter(map(table.__getitem__, unknown), np.int64, len(unknown))
+            self._learn([before + w for w in fresh])
         return places
 
     def __call__(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
