@@ -9,7 +9,8 @@ step. The model gives each id the probability
 where the first two name the id seen last in that context, p0 is the id's
 frequency in the block so far, and the weights are learned for each combination
 of how often both contexts were right in a row. The range coder has 64-bit
-states and gives out 16 bits at a time.
+states, carries into words given out before, and gives out 32 bits at a time, at
+most once a step. The words of all lanes stand in the order they are read in.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ import zlib
 import numpy as np
 
 _HEAD = struct.Struct("<4sIIIII")  # magic, ids, lanes, vocabulary, crc of ids, crc of the rest
-_MAGIC = b"TKB1"
+_MAGIC = b"TKB2"
 _KIND, _SYMBOL = 12, 20
+_WHOLE = np.uint64(1 << _SYMBOL)
 _LOW32 = np.uint64(0xFFFFFFFF)
-_W, _S32, _S48 = np.uint64(16), np.uint64(32), np.uint64(48)
+_S32 = np.uint64(32)
 _ID = (1 << 24) - 1
 _ONE = 1 << 24
 #: Packed predictions hold an id below its confidence, 0 to 3.
@@ -36,70 +38,71 @@ class _Model:
 
     def __init__(self, lanes: int, vocabulary: int):
         self.vocabulary = vocabulary
-        # Predictions after the last id, then those after the last two.
-        self.table = np.zeros(vocabulary + (1 << _TABLE), np.int64)
-        self.at = np.zeros((2, lanes), np.int64)
-        self.at[1] = vocabulary
+        # Predictions after the last id, then those after the last two; all lanes' places in the first, then in the second.
+        self.table = np.zeros(vocabulary + (1 << _TABLE), np.int32)
+        self.at = np.zeros(2 * lanes, np.int64)
+        self.at[lanes:] = vocabulary
+        self.last = np.zeros(lanes, np.int64)
         self.weights = np.ones((32, 3), np.int64)
         self.seen = np.zeros(vocabulary, np.int64)
         self.pending: list[np.ndarray] = []
         self.step, self.next_count = 0, 1
-        self.sums = np.arange(vocabulary + 1, dtype=np.int64)
         self._count()
 
     def _count(self) -> None:
-        for ids in self.pending:
-            self.seen += np.bincount(ids, minlength=self.vocabulary)
-        self.pending = []
-        total = max(int(self.seen.sum()), 1)
+        """Where the interval of each id begins, and how wide it is."""
+        if self.pending:
+            self.seen += np.bincount(np.concatenate(self.pending), minlength=self.vocabulary)
+            self.pending = []
         room = (1 << _SYMBOL) - self.vocabulary
-        self.sums[1:] = np.cumsum(self.seen) * room // total
-        if not self.seen.any():
-            self.sums[1:] = np.arange(1, self.vocabulary + 1) * room // self.vocabulary
-        self.sums[1:] += np.arange(1, self.vocabulary + 1)
-        self.coarse = np.searchsorted(self.sums, np.arange(0, 1 << _SYMBOL, 64), side="right") - 1
+        counts = np.cumsum(self.seen) if self.step else np.arange(1, self.vocabulary + 1)
+        sums = np.zeros(self.vocabulary + 1, np.int64)
+        sums[1:] = counts * room // counts[-1] + np.arange(1, self.vocabulary + 1)
+        self.below, self.width = sums[:-1].astype(np.uint64), np.diff(sums).astype(np.uint64)
+        self.owner = None
 
     def symbols(self, values: np.ndarray) -> np.ndarray:
-        """The id whose interval holds each value: a table by the upper bits, then a short search."""
-        found = self.coarse[values >> 6]
-        while True:
-            low = np.flatnonzero(self.sums[found + 1] <= values)
-            if not len(low):
-                return found
-            if len(low) < len(found) // 8:
-                found[low] = np.searchsorted(self.sums, values[low], side="right") - 1
-                return found
-            found[low] += 1
+        """The id whose interval holds each value."""
+        if self.owner is None:
+            self.owner = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.width.astype(np.int64))
+        return self.owner.take(values)
 
     def predict(self):
-        """Predictions of order 1 and 2; per weight context, where its three kinds begin (flat, by 4)."""
-        self.old = self.table[self.at]
-        guess = self.old & _ID
-        level = self.old >> 24
-        self.state = level[1] * 8 + level[0] * 2 + (guess[0] == guess[1])
-        total = self.weights.sum(axis=1, keepdims=True)
-        share = 1 + self.weights * ((1 << _KIND) - 3) // total
-        begin = np.zeros((32, 4), np.int64)
-        begin[:, 1] = share[:, 0]
-        begin[:, 2] = share[:, 0] + share[:, 1]
-        begin[:, 3] = 1 << _KIND
-        self.begin = begin.ravel()
-        self.guess = guess
+        """Predictions of order 1 and 2; per weight context, where its three kinds begin and their shares (flat, by 4)."""
+        self.old = self.table.take(self.at)
+        self.guess = self.old & _ID
+        guess, level = self.guess.reshape(2, -1), (self.old >> 24).reshape(2, -1)
+        state = (level[1] << 3) + (level[0] << 1)
+        state += guess[0] == guess[1]
+        # Four cells for each context.
+        self.cell = state.astype(np.int64) << 2
+        if self.step < 32 or self.step % 8 == 0:
+            total = self.weights.sum(axis=1, keepdims=True)
+            share = np.zeros((32, 4), np.int64)
+            share[:, :3] = 1 + self.weights * ((1 << _KIND) - 3) // total
+            share[:, 2] = (1 << _KIND) - share[:, 0] - share[:, 1]
+            begin = np.cumsum(share, axis=1) - share
+            self.share = share.ravel().astype(np.uint64)
+            self.begin = begin.ravel().astype(np.uint64) << np.uint64(_SYMBOL)
+            self.second, self.third = self.begin[1::4].repeat(4), self.begin[2::4].repeat(4)
         return guess
 
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        self.weights += np.bincount(self.state * 3 + kind, minlength=96).reshape(32, 3)
+    def learn(self, ids: np.ndarray, ids32: np.ndarray, cell: np.ndarray) -> None:
+        self.weights += np.bincount(cell, minlength=128).reshape(32, 4)[:, :3]
         if self.step % 64 == 63:
             big = self.weights.sum(axis=1) > 1 << 20
             self.weights[big] = (self.weights[big] >> 1) + 1
         old = self.old
-        weak = old < 2 * _ONE
-        new = np.where(weak, ids | _ONE, old - _ONE)
-        hit = self.guess == ids
-        hit &= old >= _ONE
-        self.table[self.at] = np.where(hit, np.where(old < _TOP, old + _ONE, old), new)
-        self.at[1] = (((self.at[0] * 40503 + ids * 2654435761) >> 8) & ((1 << _TABLE) - 1)) + self.vocabulary
-        self.at[0] = ids
+        both = np.concatenate((ids32, ids32))
+        miss = np.where(old < 2 * _ONE, both | _ONE, old - _ONE)
+        self.table[self.at] = np.where(self.guess == both, np.minimum(old + _ONE, both + _TOP), miss)
+        place = self.last * 40503
+        place += ids * 2654435761
+        place >>= 8
+        place &= (1 << _TABLE) - 1
+        place += self.vocabulary
+        self.at = np.concatenate((ids, place))
+        self.last = ids
         self.pending.append(ids)
         self.step += 1
         if self.step == self.next_count:
@@ -111,6 +114,15 @@ def _lanes(n: int) -> int:
     return max(1, min(4096, -(-n // 256)))
 
 
+def _carry(out: np.ndarray, size: np.ndarray, lanes: np.ndarray) -> None:
+    """Add one to the last word of the lanes, and to those before where it wraps."""
+    at = size[lanes] - 1
+    while len(lanes):
+        out[lanes, at] += np.uint32(1)
+        on = out[lanes, at] == 0
+        lanes, at = lanes[on], at[on] - 1
+
+
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     """The ids, each below ``vocabulary``, as a self-contained block."""
     n = len(ids)
@@ -123,45 +135,46 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(lanes, vocabulary)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out, size = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
+    out, size = np.zeros((lanes, steps + 2), np.uint32), np.zeros(lanes, np.int64)
+    gone, ranks = [], []
     for x in grid:
+        x32 = x.astype(np.int32)
         p1, p2 = model.predict()
-        kind = (x != p2).astype(np.int64)
-        kind += kind & (x != p1)
-        cell = model.state * 4 + kind
-        begin = model.begin[cell]
-        share = model.begin[cell + 1] - begin
-        other = np.flatnonzero(kind == 2)
-        start, width = begin << _SYMBOL, share << _SYMBOL
-        below = model.sums[x[other]]
-        part = share[other]
-        start[other] += part * below
-        width[other] = part * (model.sums[x[other] + 1] - below)
+        missed = x32 != p2
+        other = missed & (x32 != p1)
+        cell = model.cell
+        cell += missed
+        cell += other
+        share = model.share.take(cell)
+        start = model.below.take(x)
+        start *= other
+        start *= share
+        start += model.begin.take(cell)
+        width = np.where(other, model.width.take(x), _WHOLE)
+        width *= share
         unit = span >> _S32
-        low += start.astype(np.uint64) * unit
-        span = width.astype(np.uint64) * unit
-        at = None
-        while True:
-            a, s = (low, span) if at is None else (low[at], span[at])
-            settled = (a ^ (a + s)) >> _S48 == 0
-            forced = ~settled & (s <= _LOW32)
-            if forced.any():
-                s = np.where(forced, (~a + np.uint64(1)) & _LOW32, s)
-            go = np.flatnonzero(settled | forced)
-            if not len(go):
-                break
-            at = go if at is None else at[go]
-            a, s = a[go], s[go]
-            out[at, size[at]] = a >> _S48
-            size[at] += 1
-            low[at] = a << _W
-            span[at] = s << _W
-        model.learn(x, kind)
-    for k in range(4):
-        out[np.arange(lanes), size] = (low >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)
+        start *= unit
+        low += start
+        over = np.flatnonzero(low < start)
+        if len(over):
+            _carry(out, size, over)
+        span = np.multiply(width, unit, out=width)
+        go = np.flatnonzero(span <= _LOW32)
+        if len(go):
+            rank, left = size.take(go), low.take(go)
+            out[go, rank] = left >> _S32
+            size[go] = rank + 1
+            low[go] = left << _S32
+            span[go] = span.take(go) << _S32
+            gone.append(go)
+            ranks.append(rank)
+        model.learn(x, x32, cell)
+    for part in (low >> _S32, low & _LOW32):
+        out[np.arange(lanes), size] = part
         size += 1
-    words = out[np.arange(out.shape[1]) < size[:, None]]
-    rest = size.astype("<u4").tobytes() + words.astype("<u2").tobytes()
+    # A lane is read two words ahead: one moves up for each that was given out.
+    later = [out[np.concatenate(gone), np.concatenate(ranks) + 2]] if gone else []
+    rest = np.concatenate([out[:, 0], out[:, 1], *later]).astype("<u4").tobytes()
     return _HEAD.pack(_MAGIC, n, lanes, vocabulary, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(rest)) + rest
 
 
@@ -173,54 +186,48 @@ def decode_block(data: bytes) -> np.ndarray:
     rest = data[_HEAD.size :]
     if magic != _MAGIC or zlib.crc32(rest) != crc_rest:
         raise ValueError("token block is damaged")
-    size = np.frombuffer(rest, "<u4", lanes).astype(np.int64)
-    words = np.concatenate((np.frombuffer(rest, "<u2", offset=4 * lanes), np.zeros(8, np.uint16))).astype(np.uint64)
-    at_word = np.concatenate(([0], np.cumsum(size)[:-1]))
+    words = np.frombuffer(rest, "<u4")
     steps = -(-n // lanes)
     grid = np.zeros((steps, lanes), np.int64)
     model = _Model(lanes, vocabulary)
-    low, span, code = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64), np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << _W) | words[at_word]
-        at_word += 1
+    # The code less the low end of its interval.
+    code, span = words[:lanes].astype(np.uint64) << _S32, np.full(lanes, 2**64 - 1, np.uint64)
+    code |= words[lanes : 2 * lanes]
+    read = 2 * lanes
     for t in range(steps):
         p1, p2 = model.predict()
         unit = span >> _S32
-        value = np.minimum((code - low) // unit, _LOW32).astype(np.int64)
-        high = value >> _SYMBOL
-        cell = model.state * 4
-        kind = (high >= model.begin[cell + 1]).astype(np.int64) + (high >= model.begin[cell + 2])
-        cell += kind
-        begin = model.begin[cell]
-        share = model.begin[cell + 1] - begin
-        start, width = begin << _SYMBOL, share << _SYMBOL
-        x = np.where(kind == 0, p2, p1)
-        other = np.flatnonzero(kind == 2)
-        part = share[other]
-        found = model.symbols((value[other] - start[other]) // part)
-        x[other] = found
-        below = model.sums[found]
-        start[other] += part * below
-        width[other] = part * (model.sums[found + 1] - below)
-        low += start.astype(np.uint64) * unit
-        span = width.astype(np.uint64) * unit
-        at = None
-        while True:
-            a, s = (low, span) if at is None else (low[at], span[at])
-            settled = (a ^ (a + s)) >> _S48 == 0
-            forced = ~settled & (s <= _LOW32)
-            if forced.any():
-                s = np.where(forced, (~a + np.uint64(1)) & _LOW32, s)
-            go = np.flatnonzero(settled | forced)
-            if not len(go):
-                break
-            at = go if at is None else at[go]
-            low[at] = a[go] << _W
-            span[at] = s[go] << _W
-            code[at] = (code[at] << _W) | words[at_word[at]]
-            at_word[at] += 1
-        model.learn(x, kind)
-        grid[t] = x
+        value = np.minimum(code // unit, _LOW32)
+        cell = model.cell
+        context = cell.copy()
+        missed, other = value >= model.second.take(context), value >= model.third.take(context)
+        cell += missed
+        cell += other
+        share = model.share.take(cell)
+        start = model.begin.take(cell)
+        x32 = np.where(missed, p1, p2)
+        width = np.full(lanes, _WHOLE)
+        at = np.flatnonzero(other)
+        if len(at):
+            # Both are below 2 ** 32, so the quotient's whole part is exact.
+            part = share.take(at)
+            inside = ((value.take(at) - start.take(at)).astype(np.float64) / part).astype(np.int64)
+            found = model.symbols(inside)
+            x32[at] = found
+            start[at] += model.below.take(found) * part
+            width[at] = model.width.take(found)
+        width *= share
+        start *= unit
+        code -= start
+        span = np.multiply(width, unit, out=width)
+        go = np.flatnonzero(span <= _LOW32)
+        if len(go):
+            code[go] = (code.take(go) << _S32) | words[read : read + len(go)]
+            span[go] = span.take(go) << _S32
+            read += len(go)
+        grid[t] = x32
+        x = grid[t]
+        model.learn(x, x32, cell)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc_ids:
         raise ValueError("token block does not hold the ids it was made from")

@@ -5,9 +5,9 @@ keys and lengths, the number of ids before the block in its part, and the ids
 of whole documents, coded on their own (rangecoder). A block closes once it has
 ``block_ids`` ids. Blocks carry checksums; reading a damaged one fails.
 
-The library encodes each distinct word of a task once. A text may be cut before
-a space that follows another character than white space: the tokenizer's
-pattern always starts a new word there, so the ids are those of the whole text.
+The library encodes each distinct piece of a task once. A text is cut only where
+the tokenizer's pattern always starts a new word, whatever stands around (see
+``_cuts``), so the ids are those of the whole text.
 
 Defined results: null and empty texts have only the end id; rows without key
 come first; rows that repeat a key stay, next to each other, ordered by text.
@@ -16,55 +16,116 @@ An empty table gives files without blocks.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stationlake.llm.rangecoder import decode_block, encode_block
 
-_INNER = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
 #: A byte-level vocabulary writes each byte as a visible character: itself, or one from U+0100 on.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _VISIBLE = {b: chr(b) for b in _PLAIN} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
+_LINED = _VISIBLE | {0x0A: "\n"}
+#: Classes of bytes: letters, marks, digits, space, line end, other white space, what is not told apart, and the
+#: last byte of wide white space. An apostrophe is not told apart, as it may belong to the letters behind it.
+_LETTER, _MARK, _DIGIT, _SPACE, _LINE, _WHITE, _OTHER, _WIDE = range(8)
+_CLASS = np.full(256, _OTHER, np.uint8)
+for _c in range(128):
+    _CLASS[_c] = (
+        _LETTER if chr(_c).isalpha() else _DIGIT if chr(_c).isdigit() else _SPACE if _c == 0x20 else _LINE if _c == 0x0A
+        else _WHITE if chr(_c).isspace() else _MARK if 0x20 < _c < 0x7F and _c != 0x27 else _OTHER
+    )
+#: U+00C0 to U+024F, whose two bytes begin with these, are letters, two signs excepted.
+_CLASS[0xC3:0xCA] = _LETTER
+_TOLD = (_LETTER, _MARK, _DIGIT)
+_STARTS = np.zeros((8, 8), bool)
+_STARTS[[*_TOLD, _OTHER], _SPACE] = True
+_WIDE_SPACES = [int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_SPACES = _STARTS.ravel().copy()
+_STARTS[[*_TOLD, _OTHER], _LINE] = True
+for _a in _TOLD:
+    # After a line end only where no white space stands before it, which _cuts checks.
+    _STARTS[[a for a in (*_TOLD, _LINE) if a != _a], _a] = True
+_STARTS = _STARTS.ravel()
+_AFTER_LINE = np.isin(np.arange(64), [8 * _LINE + a for a in _TOLD])
 BLOCKS = "part int, block int, first long, doc_ids array<long>, lengths array<long>, data binary"
 
 
+def _cuts(data: np.ndarray, spaces_only: bool) -> np.ndarray:
+    """Whether the pattern of a byte-level tokenizer starts a new word at each byte, or False where that is open.
+
+    It does between letters, marks and digits, and before white space that follows
+    something else; after a single line end as well. With ``spaces_only`` just
+    before a space that follows something else than white space.
+    """
+    kind = _CLASS[data]
+    # Second bytes of letters, and the last bytes of white space.
+    begin = np.flatnonzero(data >= 0xC2)
+    if len(begin):
+        lead, second, third = (data.take(begin + i, mode="clip").astype(np.int32) for i in range(3))
+        letter = (lead >= 0xC3) & (lead <= 0xC9) & ~((lead == 0xC3) & ((second == 0x97) | (second == 0xB7)))
+        kind[begin] = np.where(letter, _LETTER, _OTHER)
+        kind[begin[letter] + 1] = _LETTER
+        kind[begin[np.isin(lead << 8 | second, _WIDE_SPACES)] + 1] = _WIDE
+        kind[begin[np.isin(lead << 16 | second << 8 | third, _WIDE_SPACES)] + 2] = _WIDE
+    pair = kind[:-1] << 3
+    pair |= kind[1:]
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (_SPACES if spaces_only else _STARTS)[pair]
+    if not spaces_only:
+        line = np.flatnonzero(_AFTER_LINE[pair]) + 1
+        cut[line[~cut[line - 1]]] = False
+    return cut
+
+
 class Encoder:
     """Ids of texts by a tokenizers file.
 
-    Keeps the ids of distinct words; beyond ``most`` words those seen once go.
-    Words of letters alone, with or without marks behind, also several with single
-    line ends between, need no splitting, so the library's model gets them
-    directly; all others pass its whole chain.
+    Keeps the ids of distinct pieces; beyond ``most`` pieces those seen once go.
+    Pieces of letters alone need no splitting, so the library's model gets them
+    directly, many in one call; all others pass its whole chain.
     """
 
     def __init__(self, tokenizer_file: str, most: int = 250_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(tokenizer_file), most
         self.model, self.vocabulary = self.tokenizer.model, self.tokenizer.get_vocab_size()
-        # Words after a space, by their letters; and those without one before them.
-        self.spaced: dict[str, int] = {}
-        self.bare: dict[str, int] = {}
-        self.flat, self.at, self.hits = array("i"), array("q", [0]), np.zeros(0, np.int64)
+        # The model alone, on visible letters with spaces between the pieces.
+        self.letters = Tokenizer(self.model)
+        self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.leads = np.zeros(self.vocabulary, bool)
+        self.leads[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(_VISIBLE[0x20])]] = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._clear()
         # A line end, and one or two marks behind a word: 43 entries at most.
         self.marks: dict[str, list[int]] = {}
+        self.direct = True
         self.direct = self._is_byte_level()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table: dict[str, int] = {}
+        self.flat, self.at, self.hits = array("i"), array("q", [0]), np.zeros(0, np.int64)
 
     def _is_byte_level(self) -> bool:
         """Whether the direct way is known to give the ids of the whole chain."""
         tried = [" the", " Wörter", "été", " a", " 日本", " x.", " straße,!", " x.\nÜber", "a\nb,\nc"]
         whole = [e.ids for e in self.tokenizer.encode_batch_fast(tried, add_special_tokens=False)]
-        return whole == [self._directly(w) for w in tried]
+        if whole != [self._directly(w) for w in tried]:
+            return False
+        shown = "".join(map(chr, range(0x20, 0x7F)))
+        tried += [*(f"a{c}a 1{c}1\n{c}é{c} {c}.{c},{c}\n" for c in shown), "a×b÷c ß\n\nb \n c", shown]
+        whole = [i for e in self.tokenizer.encode_batch_fast(tried, add_special_tokens=False) for i in [*e.ids, 0]]
+        return self(tried, 0)[0].tolist() == whole
 
     def _directly(self, word: str) -> list[int] | None:
         ids: list[int] = []
@@ -89,25 +150,50 @@ class Encoder:
                 self.marks[marks] = ids
         return ids
 
-    def _learn(self, words: list[str]) -> None:
-        found = [self._directly(w) if self.direct else None for w in words]
-        others = [w for w, ids in zip(words, found) if ids is None]
-        whole = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False)) if others else iter(())
-        found = [next(whole).ids if ids is None else ids for ids in found]
-        ends = len(self.flat) + np.cumsum([*map(len, found)], dtype=np.int64)
-        self.flat.extend(chain.from_iterable(found))
-        self.at.frombytes(ends.tobytes())
+    def _of_letters(self, pieces: list[str], spaced: bool, at_once: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of letters alone, all with or all without a space before them, and the number of ids of each."""
+        ids, sizes, space = [np.empty(0, np.int32)], [np.empty(0, np.int64)], _VISIBLE[0x20]
+        for begin in range(0, len(pieces), at_once):
+            # Each piece, or a lone space behind it, gives the one token that leads with a space.
+            visible = "\n".join(pieces[begin : begin + at_once])
+            visible = visible.replace(" ", space) if visible.isascii() else visible.encode().decode("latin-1").translate(_LINED)
+            visible = visible.replace("\n", " ") if spaced else visible.replace("\n", f" {space} ") + f" {space}"
+            got = np.array(self.letters.encode_batch_fast([visible], add_special_tokens=False)[0].ids, np.int32)
+            lead = np.flatnonzero(self.leads[got])
+            sizes.append(np.diff(np.append(lead, len(got))) if spaced else np.diff(np.append(-1, lead)) - 1)
+            ids.append(got if spaced else np.delete(got, lead))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, pieces: list[str]) -> None:
+        spaced, bare, others = [], [], []
+        for p in pieces:
+            if not self.direct:
+                others.append(p)
+            elif p.isalpha():
+                bare.append(p)
+            elif p[0] == " " and p[1:].isalpha():
+                spaced.append(p)
+            else:
+                others.append(p)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)] if others else []
+        parts = [self._of_letters(spaced, True), self._of_letters(bare, False)]
+        sizes = np.concatenate([n for _, n in parts] + [np.fromiter(map(len, found), np.int64, len(found))])
+        known, base = len(self.at) - 1, len(self.flat)
+        self.table.update(zip(spaced + bare + others, range(known, known + len(pieces))))
+        for ids, _ in parts:
+            self.flat.frombytes(ids.tobytes())
+        for ids in found:
+            self.flat.extend(ids)
+        self.at.frombytes((base + np.cumsum(sizes)).tobytes())
 
     def _forget(self) -> None:
-        """Keep the words seen more than once, or none if these are too many as well."""
+        """Keep the pieces seen more than once, or none if these are too many as well."""
         keep = self.hits > 1
         if 2 * int(keep.sum()) > self.most:
             keep[:] = False
         new = np.cumsum(keep) - 1
-        for table in (self.spaced, self.bare):
-            left = {w: int(new[i]) for w, i in table.items() if keep[i]}
-            table.clear()
-            table.update(left)
+        new, kept = new.tolist(), keep.tolist()
+        self.table = {p: new[i] for p, i in self.table.items() if kept[i]}
         flat, at = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.empty(0, np.int32), np.frombuffer(self.at, np.int64)
         size = np.diff(at)
         kept = flat[np.repeat(keep, size)]
@@ -116,44 +202,35 @@ class Encoder:
         self.flat, self.at = array("i", kept.astype(np.int32).tobytes()), array("q", ends.astype(np.int64).tobytes())
         self.hits = self.hits[keep]
 
-    @staticmethod
-    def words(text: str) -> tuple[str, list[str]]:
-        """What comes before the first cut, and the words after it, without the space each begins with."""
-        if _INNER.search(text):
-            first, *rest = _CUT.split(text)
-            return first, [r[1:] for r in rest]
-        first, *rest = text.split(" ")
-        return first, rest
-
-    def _places(self, table: dict[str, int], words: list[str], before: str) -> np.ndarray:
-        places = np.fromiter(map(table.get, words, repeat(-1)), np.int64, len(words))
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        """Entries of distinct pieces."""
+        places = np.fromiter(map(self.table.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(places < 0)
         if len(new):
-            unknown = [words[i] for i in new.tolist()]
-            fresh = list(dict.fromkeys(unknown))
-            known = len(self.at) - 1
-            table.update(zip(fresh, range(known, known + len(fresh))))
-            places[new] = np.fromiter(map(table.__getitem__, unknown), np.int64, len(unknown))
-            self._learn([before + w for w in fresh])
+            unknown = [pieces[i] for i in new.tolist()]
+            self._learn(unknown)
+            places[new] = np.fromiter(map(self.table.__getitem__, unknown), np.int64, len(unknown))
         return places
 
     def __call__(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, the end id after each text, and the number of ids of each."""
         if len(self.at) > self.most:
             self._forget()
-        first, rest, counts = [], [], []
-        for text in texts:
-            head, tail = self.words(text)
-            first.append(head)
-            rest.extend(tail)
-            counts.append(len(tail) + 1)
-        counts = np.array(counts, np.int64)
-        starts = np.cumsum(counts) - counts
-        index = np.empty(int(counts.sum()), np.int64)
-        later = np.ones(len(index), bool)
-        later[starts] = False
-        index[later] = self._places(self.spaced, rest, " ")
-        index[~later] = self._places(self.bare, first, "")
+        raw = b"".join([t.encode() for t in texts])
+        data = np.frombuffer(raw, np.uint8)
+        bounds = np.concatenate(([0], np.cumsum(np.fromiter((len(t) if t.isascii() else len(t.encode()) for t in texts), np.int64, len(texts)))))
+        cut = _cuts(data, not self.direct) if len(raw) else np.zeros(0, bool)
+        for token in self.added:
+            # Tokens of their own are found before the pattern applies.
+            place = raw.find(token)
+            while place >= 0:
+                cut[place + 1 : place + len(token)] = False
+                place = raw.find(token, place + 1)
+        cut[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        starts = np.flatnonzero(cut)
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw)).dictionary_encode()
+        counts = np.diff(np.searchsorted(starts, bounds))
+        index = self._places(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
         known = len(self.at) - 1
         self.hits = np.concatenate((self.hits, np.zeros(known - len(self.hits), np.int64))) + np.bincount(index, minlength=known)
         flat, at = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.empty(0, np.int32), np.frombuffer(self.at, np.int64)
@@ -171,14 +248,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(tokenizer_file: str) -> Encoder:
-    """One encoder for all tasks of a worker process: it knows most words by then."""
-    return Encoder(tokenizer_file)
+def encoder(tokenizer_file: str, most: int = 250_000) -> Encoder:
+    """One encoder for all tasks of a worker process: it knows most pieces by then."""
+    return Encoder(tokenizer_file, most)
 
 
-def _writer(tokenizer_file: str, end: int, block_ids: int):
+def _writer(tokenizer_file: str, end: int, block_ids: int, at_once: int = 2 << 20):
     def run(batches):
-        encode = encoder(tokenizer_file)
+        encode = encoder(tokenizer_file, 1_000_000)
         part, block, first = TaskContext.get().partitionId(), 0, 0
         keys, lengths, held = [], [], []
 
@@ -198,9 +275,12 @@ def _writer(tokenizer_file: str, end: int, block_ids: int):
 
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            for begin in range(0, len(names), 250):
-                # A few texts at a time: as Python strings they take up to four times their bytes.
-                texts = [t or "" for t in batch.column("text").slice(begin, 250).to_pylist()]
+            column = batch.column("text")
+            # Some texts at a time: as Python strings they take up to four times their bytes.
+            group = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // at_once
+            edges = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(names)]
+            for begin, until in zip(edges, edges[1:]):
+                texts = [t or "" for t in column.slice(begin, until - begin).to_pylist()]
                 ids, n = encode(texts, end)
                 bounds = np.cumsum(n)
                 at = 0
