@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationlake.llm.frames import as_bytes, extended, stored
-from stationlake.llm.hashing import SPACED, Lookup, mixed, portions, word_hashes
+from stationlake.llm.hashing import SPACED, Lookup, portions, word_hashes
 
 END = 0x5DEECE66D1234567
 HELD_OUT = 1
@@ -60,23 +60,19 @@ class Shape:
         return -(-(self.head + 1) // self.classes)
 
 
-def _initials(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, a hash of their first two bytes, and where each text's words start."""
-    hashes, starts = word_hashes(texts, SPACED)
-    codes = np.frombuffer(b" ".join([t.translate(SPACED) if t else b"" for t in texts]) + b"  ", np.uint8).astype(np.uint64)
-    word = codes != 0x20
-    begin = np.flatnonzero(word & np.concatenate(([True], ~word[:-1])))
-    return hashes, mixed(codes[begin] * np.uint64(256) + codes[begin + 1]), starts
+def tokens(texts: list[bytes | None], at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words and of their first two bytes, with an end after each text, and where texts start.
 
-
-def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and initials with an end after each text, and where texts start."""
-    hashes, initial, starts = _initials(texts)
-    n = np.diff(starts)
+    Some texts at a time, as their bytes become several arrays of eight times the size.
+    """
+    parts = [(word_hashes(texts[a:b], SPACED, initials=True)) for a, b in portions(texts, at_once)]
+    n = np.concatenate([np.diff(starts) for _, starts, _ in parts] + [np.empty(0, np.int64)])
     ends = np.cumsum(n + 1)
-    out, first = np.full(int(ends[-1]) if len(ends) else 0, END, np.uint64), np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
-    at = np.arange(len(hashes)) + np.repeat(np.arange(len(texts)), n)
-    out[at], first[at] = hashes, initial
+    size = int(ends[-1]) if len(ends) else 0
+    out, first, word = np.full(size, END, np.uint64), np.zeros(size, np.uint64), np.ones(size, bool)
+    word[ends - 1] = False
+    if parts:
+        out[word], first[word] = (np.concatenate([p[i] for p in parts]) for i in (0, 2))
     return out, first, np.concatenate(([0], ends))
 
 
@@ -145,7 +141,8 @@ class Network:
         h, steps, lanes = self.shape.hidden, *inputs.shape
         table, turn = self.weights["input"], self.weights["state"]
         out, held = np.empty((steps, lanes, h), np.float32), np.empty((steps, lanes, h), np.float32)
-        gates = np.empty((steps, lanes, 2 * h), np.float32)
+        # Both gates of a step lie apart, so that passes over one of them are over adjoining numbers.
+        gates = np.empty((steps, 2, lanes, h), np.float32)
         fresh, mixed_in = np.empty((steps, lanes, h), np.float32), np.empty((steps, lanes, h), np.float32)
         given = table.take(inputs, axis=0)
         # In place, as these arrays are small and passes over them are what costs.
@@ -154,18 +151,19 @@ class Network:
             before = held[t] = state * ~begins[t][:, None] if starting[t] else state
             g = before @ turn
             gate, inner, new = gates[t], mixed_in[t], fresh[t]
-            np.add(given[t, :, : 2 * h], g[:, : 2 * h], out=gate)
+            np.add(given[t, :, :h], g[:, :h], out=gate[0])
+            np.add(given[t, :, h : 2 * h], g[:, h : 2 * h], out=gate[1])
             np.negative(gate, out=gate)
             np.exp(gate, out=gate)
             gate += 1
             np.reciprocal(gate, out=gate)
             inner[:] = g[:, 2 * h :]
-            np.multiply(gate[:, h:], inner, out=new)
+            np.multiply(gate[1], inner, out=new)
             new += given[t, :, 2 * h :]
             np.tanh(new, out=new)
             state = out[t]
             np.subtract(before, new, out=state)
-            state *= gate[:, :h]
+            state *= gate[0]
             state += new
         return out, held, gates, fresh, mixed_in
 
@@ -236,7 +234,7 @@ class Network:
         back = np.zeros((lanes, h), np.float32)
         d_given, d_turned = np.empty((steps, lanes, 3 * h), np.float32), np.empty((steps, lanes, 3 * h), np.float32)
         turn = w["state"].T
-        keep, reset = gates[:, :, :h], gates[:, :, h:]
+        keep, reset = gates[:, 0], gates[:, 1]
         to_new = (1 - keep) * (1 - fresh * fresh)
         to_keep = (held - fresh) * keep * (1 - keep)
         to_reset = mixed_in * reset * (1 - reset)
