@@ -8,9 +8,12 @@ step. The model gives each id the probability
 
 where the first two name the id seen last in that context, p0 is the id's
 frequency in the block so far, and the weights are learned for each combination
-of how often both contexts were right in a row. The range coder has 64-bit
+of how often both contexts were right in a row, from the first 32 steps and each
+eighth after them. The range coder has 64-bit
 states, carries into words given out before, and gives out 32 bits at a time, at
 most once a step. The words of all lanes stand in the order they are read in.
+All lanes take the same steps: what holds for some of them is multiplied in, as
+picking them by a mask costs several times as much.
 """
 
 from __future__ import annotations
@@ -21,11 +24,15 @@ import zlib
 import numpy as np
 
 _HEAD = struct.Struct("<4sIIIII")  # magic, ids, lanes, vocabulary, crc of ids, crc of the rest
-_MAGIC = b"TKB2"
+_MAGIC = b"TKB3"
 _KIND, _SYMBOL = 12, 20
 _WHOLE = np.uint64(1 << _SYMBOL)
 _LOW32 = np.uint64(0xFFFFFFFF)
 _S32 = np.uint64(32)
+_S5 = np.uint64(5)
+#: Intervals hold their width below their begin.
+_BELOW = np.uint64(_SYMBOL + 1)
+_WIDTH = np.uint64((1 << _SYMBOL + 1) - 1)
 _ID = (1 << 24) - 1
 _ONE = 1 << 24
 #: Packed predictions hold an id below its confidence, 0 to 3.
@@ -42,72 +49,103 @@ class _Model:
         self.table = np.zeros(vocabulary + (1 << _TABLE), np.int32)
         self.at = np.zeros(2 * lanes, np.int64)
         self.at[lanes:] = vocabulary
-        self.last = np.zeros(lanes, np.int64)
+        self.last = np.zeros(lanes, np.uint32)
         self.weights = np.ones((32, 3), np.int64)
         self.seen = np.zeros(vocabulary, np.int64)
+        self.old, self.guess = np.zeros(2 * lanes, np.int32), np.zeros(2 * lanes, np.int32)
         self.pending: list[np.ndarray] = []
         self.step, self.next_count = 0, 1
         self._count()
 
     def _count(self) -> None:
-        """Where the interval of each id begins, and how wide it is."""
+        """The interval of each id: where it begins, and how wide it is."""
         if self.pending:
             self.seen += np.bincount(np.concatenate(self.pending), minlength=self.vocabulary)
             self.pending = []
         room = (1 << _SYMBOL) - self.vocabulary
         counts = np.cumsum(self.seen) if self.step else np.arange(1, self.vocabulary + 1)
         sums = np.zeros(self.vocabulary + 1, np.int64)
-        sums[1:] = counts * room // counts[-1] + np.arange(1, self.vocabulary + 1)
-        self.below, self.width = sums[:-1].astype(np.uint64), np.diff(sums).astype(np.uint64)
+        # The products are whole numbers below 2 ** 53, and quotients round alike everywhere.
+        sums[1:] = counts * float(room) / float(counts[-1])
+        sums += np.arange(self.vocabulary + 1)
+        self.width = np.diff(sums)
+        self.interval = (sums[:-1].astype(np.uint64) << _BELOW) | self.width.astype(np.uint64)
         self.owner = None
 
     def symbols(self, values: np.ndarray) -> np.ndarray:
         """The id whose interval holds each value."""
         if self.owner is None:
-            self.owner = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.width.astype(np.int64))
-        return self.owner.take(values)
+            self.owner = np.repeat(np.arange(self.vocabulary, dtype=np.uint16 if self.vocabulary <= 1 << 16 else np.int32), self.width)
+        return self.owner.take(values).astype(np.int64)
+
+    def intervals(self, ids: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the intervals of the ids begin and how wide they are; all there is where ``other`` is 0, not 1."""
+        packed = self.interval.take(ids)
+        packed -= _WHOLE
+        packed *= other
+        packed += _WHOLE
+        start = packed >> _BELOW
+        packed &= _WIDTH
+        return start, packed
 
     def predict(self):
         """Predictions of order 1 and 2; per weight context, where its three kinds begin and their shares (flat, by 4)."""
-        self.old = self.table.take(self.at)
-        self.guess = self.old & _ID
-        guess, level = self.guess.reshape(2, -1), (self.old >> 24).reshape(2, -1)
-        state = (level[1] << 3) + (level[0] << 1)
-        state += guess[0] == guess[1]
-        # Four cells for each context.
-        self.cell = state.astype(np.int64) << 2
+        if self.step == self.next_count:
+            self._count()
+            self.next_count = min(self.next_count * 2, self.next_count + 64)
+        # The places are within the table; checking them costs a copy.
+        self.table.take(self.at, mode="clip", out=self.old)
+        guess = np.bitwise_and(self.old, _ID, out=self.guess).reshape(2, -1)
+        first, second = self.old.reshape(2, -1)
+        # Four cells for each context. Ids are below 2 ** 19, so only confidences are left of these.
+        cell = second >> 19
+        cell += first >> 21
+        cell += (guess[0] == guess[1]).astype(np.int32) << 2
+        self.cell = cell.astype(np.int64)
         if self.step < 32 or self.step % 8 == 0:
             total = self.weights.sum(axis=1, keepdims=True)
             share = np.zeros((32, 4), np.int64)
             share[:, :3] = 1 + self.weights * ((1 << _KIND) - 3) // total
             share[:, 2] = (1 << _KIND) - share[:, 0] - share[:, 1]
             begin = np.cumsum(share, axis=1) - share
-            self.share = share.ravel().astype(np.uint64)
+            self.share, self.parts = share.ravel().astype(np.uint64), share.ravel().astype(np.float64)
             self.begin = begin.ravel().astype(np.uint64) << np.uint64(_SYMBOL)
             self.second, self.third = self.begin[1::4].repeat(4), self.begin[2::4].repeat(4)
         return guess
 
-    def learn(self, ids: np.ndarray, ids32: np.ndarray, cell: np.ndarray) -> None:
-        self.weights += np.bincount(cell, minlength=128).reshape(32, 4)[:, :3]
+    def learn(self, ids: np.ndarray, cell: np.ndarray) -> None:
+        if self.step < 32 or self.step % 8 == 7:
+            self.weights += np.bincount(cell, minlength=128).reshape(32, 4)[:, :3]
         if self.step % 64 == 63:
             big = self.weights.sum(axis=1) > 1 << 20
             self.weights[big] = (self.weights[big] >> 1) + 1
-        old = self.old
-        both = np.concatenate((ids32, ids32))
-        miss = np.where(old < 2 * _ONE, both | _ONE, old - _ONE)
-        self.table[self.at] = np.where(self.guess == both, np.minimum(old + _ONE, both + _TOP), miss)
-        place = self.last * 40503
-        place += ids * 2654435761
+        both = np.concatenate((ids, ids))
+        hit = (self.guess == both).astype(np.int32)
+        # A prediction gains a level if right and loses one if wrong; one below two gives way to the id.
+        stays = self.old >> 25
+        stays |= hit
+        hit <<= 25
+        new = self.old
+        new += hit
+        new -= _ONE
+        self.guess += _TOP
+        np.minimum(new, self.guess, out=new)
+        both |= _ONE
+        new -= both
+        new *= stays
+        new += both
+        self.table[self.at] = new
+        # Only the low bits count, so products may wrap.
+        place = self.last * np.uint32(40503)
+        self.last = ids.view(np.uint32)
+        place += self.last * np.uint32(2654435761)
         place >>= 8
         place &= (1 << _TABLE) - 1
         place += self.vocabulary
-        self.at = np.concatenate((ids, place))
-        self.last = ids
+        self.at[: len(ids)] = ids
+        self.at[len(ids) :] = place
         self.pending.append(ids)
         self.step += 1
-        if self.step == self.next_count:
-            self._count()
-            self.next_count = min(self.next_count * 2, self.next_count + 64)
 
 
 def _lanes(n: int) -> int:
@@ -115,8 +153,8 @@ def _lanes(n: int) -> int:
 
 
 def _carry(out: np.ndarray, size: np.ndarray, lanes: np.ndarray) -> None:
-    """Add one to the last word of the lanes, and to those before where it wraps."""
-    at = size[lanes] - 1
+    """Add one to the last of ``size`` words of the lanes, and to those before where it wraps."""
+    at = size - 1
     while len(lanes):
         out[lanes, at] += np.uint32(1)
         on = out[lanes, at] == 0
@@ -130,51 +168,51 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         raise ValueError("ids must lie in the vocabulary, of at most 2 ** 19 ids")
     lanes = _lanes(n)
     steps = -(-n // lanes)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(lanes, vocabulary)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out, size = np.zeros((lanes, steps + 2), np.uint32), np.zeros(lanes, np.int64)
-    gone, ranks = [], []
-    for x in grid:
-        x32 = x.astype(np.int32)
+    # By step and lane: the upper word of the low end, whether it is given out, whether the words before take a carry,
+    # and the number of these.
+    upper, gone, over = (np.empty((steps, lanes), kind) for kind in (np.uint32, bool, bool))
+    sizes = np.zeros((steps + 1, lanes), np.int32)
+    for t, x in enumerate(grid):
         p1, p2 = model.predict()
-        missed = x32 != p2
-        other = missed & (x32 != p1)
+        missed, other = x != p2, x != p1
+        other &= missed
         cell = model.cell
-        cell += missed
-        cell += other
+        cell += missed.view(np.int8) + other.view(np.int8)
         share = model.share.take(cell)
-        start = model.below.take(x)
-        start *= other
+        start, width = model.intervals(x.astype(np.int64), other.astype(np.uint64))
         start *= share
         start += model.begin.take(cell)
-        width = np.where(other, model.width.take(x), _WHOLE)
         width *= share
         unit = span >> _S32
         start *= unit
         low += start
-        over = np.flatnonzero(low < start)
-        if len(over):
-            _carry(out, size, over)
+        np.less(low, start, out=over[t])
         span = np.multiply(width, unit, out=width)
-        go = np.flatnonzero(span <= _LOW32)
-        if len(go):
-            rank, left = size.take(go), low.take(go)
-            out[go, rank] = left >> _S32
-            size[go] = rank + 1
-            low[go] = left << _S32
-            span[go] = span.take(go) << _S32
-            gone.append(go)
-            ranks.append(rank)
-        model.learn(x, x32, cell)
+        go = np.less_equal(span, _LOW32, out=gone[t])
+        np.add(sizes[t], go, out=sizes[t + 1])
+        upper[t] = low >> _S32
+        shift = go.astype(np.uint64)
+        shift <<= _S5
+        low <<= shift
+        span <<= shift
+        model.learn(x, cell)
+    size, sizes = sizes[-1].copy(), sizes.ravel()
+    at, carried = np.flatnonzero(gone), np.flatnonzero(over)
+    lane, place = at % lanes, sizes.take(at)
+    out = np.zeros((lanes, int(size.max()) + 2), np.uint32)
+    out[lane, place] = upper.ravel().take(at)
+    # A word takes one carry at most, so all can be added at once.
+    _carry(out, sizes.take(carried), carried % lanes)
     for part in (low >> _S32, low & _LOW32):
         out[np.arange(lanes), size] = part
         size += 1
     # A lane is read two words ahead: one moves up for each that was given out.
-    later = [out[np.concatenate(gone), np.concatenate(ranks) + 2]] if gone else []
-    rest = np.concatenate([out[:, 0], out[:, 1], *later]).astype("<u4").tobytes()
+    rest = np.concatenate([out[:, 0], out[:, 1], out[lane, place + 2]]).astype("<u4").tobytes()
     return _HEAD.pack(_MAGIC, n, lanes, vocabulary, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(rest)) + rest
 
 
@@ -188,46 +226,56 @@ def decode_block(data: bytes) -> np.ndarray:
         raise ValueError("token block is damaged")
     words = np.frombuffer(rest, "<u4")
     steps = -(-n // lanes)
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
     model = _Model(lanes, vocabulary)
     # The code less the low end of its interval.
     code, span = words[:lanes].astype(np.uint64) << _S32, np.full(lanes, 2**64 - 1, np.uint64)
     code |= words[lanes : 2 * lanes]
-    read = 2 * lanes
+    read, more = 2 * lanes, np.zeros(lanes, np.uint64)
     for t in range(steps):
         p1, p2 = model.predict()
         unit = span >> _S32
-        value = np.minimum(code // unit, _LOW32)
+        value = code // unit
+        np.minimum(value, _LOW32, out=value)
         cell = model.cell
-        context = cell.copy()
-        missed, other = value >= model.second.take(context), value >= model.third.take(context)
-        cell += missed
-        cell += other
+        missed, other = value >= model.second.take(cell), value >= model.third.take(cell)
+        cell += missed.view(np.int8) + other.view(np.int8)
         share = model.share.take(cell)
-        start = model.begin.take(cell)
-        x32 = np.where(missed, p1, p2)
-        width = np.full(lanes, _WHOLE)
-        at = np.flatnonzero(other)
-        if len(at):
-            # Both are below 2 ** 32, so the quotient's whole part is exact.
-            part = share.take(at)
-            inside = ((value.take(at) - start.take(at)).astype(np.float64) / part).astype(np.int64)
-            found = model.symbols(inside)
-            x32[at] = found
-            start[at] += model.below.take(found) * part
-            width[at] = model.width.take(found)
+        begin = model.begin.take(cell)
+        # Both are below 2 ** 32, so the quotient's whole part is exact.
+        value -= begin
+        inside = value.view(np.int64).astype(np.float64)
+        inside /= model.parts.take(cell)
+        # Of the others, all look up the same symbol.
+        inside *= other
+        found = model.symbols(inside.astype(np.int64))
+        # The first guess, the second or the symbol.
+        x = grid[t]
+        np.subtract(p1, p2, out=x)
+        x *= missed
+        x += p2
+        symbol = found.astype(np.int32)
+        symbol -= x
+        symbol *= other
+        x += symbol
+        start, width = model.intervals(found, other.astype(np.uint64))
+        start *= share
+        start += begin
         width *= share
         start *= unit
         code -= start
         span = np.multiply(width, unit, out=width)
-        go = np.flatnonzero(span <= _LOW32)
-        if len(go):
-            code[go] = (code.take(go) << _S32) | words[read : read + len(go)]
-            span[go] = span.take(go) << _S32
-            read += len(go)
-        grid[t] = x32
-        x = grid[t]
-        model.learn(x, x32, cell)
+        go = span <= _LOW32
+        shift = go.astype(np.uint64)
+        shift <<= _S5
+        code <<= shift
+        span <<= shift
+        until = read + int(np.count_nonzero(go))
+        more.fill(0)
+        more[go] = words[read:until]
+        code |= more
+        read = until
+        model.learn(x, cell)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc_ids:
         raise ValueError("token block does not hold the ids it was made from")

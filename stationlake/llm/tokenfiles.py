@@ -19,7 +19,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from functools import lru_cache
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,11 @@ for _a in _TOLD:
     _STARTS[[a for a in (*_TOLD, _LINE) if a != _a], _a] = True
 _STARTS = _STARTS.ravel()
 _AFTER_LINE = np.isin(np.arange(64), [8 * _LINE + a for a in _TOLD])
+#: As tables of bytes.translate, several times as fast as indexing: classes, and by pair of them 1 where a word starts,
+#: with 2 where that hangs on what stands before the line end.
+_CLASSES = _CLASS.tobytes()
+_PAIRS = (_STARTS + 2 * _AFTER_LINE).astype(np.uint8).tobytes().ljust(256, b"\0")
+_SPACE_PAIRS = _SPACES.tobytes().ljust(256, b"\0")
 BLOCKS = "part int, block int, first long, doc_ids array<long>, lengths array<long>, data binary"
 
 
@@ -66,7 +71,7 @@ def _cuts(data: np.ndarray, spaces_only: bool) -> np.ndarray:
     something else; after a single line end as well. With ``spaces_only`` just
     before a space that follows something else than white space.
     """
-    kind = _CLASS[data]
+    kind = np.frombuffer(bytearray(data.tobytes().translate(_CLASSES)), np.uint8)
     # Second bytes of letters, and the last bytes of white space.
     begin = np.flatnonzero(data >= 0xC2)
     if len(begin):
@@ -78,10 +83,11 @@ def _cuts(data: np.ndarray, spaces_only: bool) -> np.ndarray:
         kind[begin[np.isin(lead << 16 | second << 8 | third, _WIDE_SPACES)] + 2] = _WIDE
     pair = kind[:-1] << 3
     pair |= kind[1:]
+    found = np.frombuffer(pair.tobytes().translate(_SPACE_PAIRS if spaces_only else _PAIRS), np.uint8)
     cut = np.zeros(len(data), bool)
-    cut[1:] = (_SPACES if spaces_only else _STARTS)[pair]
+    cut[1:] = (found & 1).view(bool)
     if not spaces_only:
-        line = np.flatnonzero(_AFTER_LINE[pair]) + 1
+        line = np.flatnonzero((found >> 1).view(bool)) + 1
         cut[line[~cut[line - 1]]] = False
     return cut
 
@@ -113,8 +119,9 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
+        # The first entry is the end id's.
         self.table: dict[str, int] = {}
-        self.flat, self.at, self.hits = array("i"), array("q", [0]), np.zeros(0, np.int64)
+        self.flat, self.at, self.hits = array("i", [0]), array("q", [0, 1]), np.zeros(1, np.int64)
 
     def _is_byte_level(self) -> bool:
         """Whether the direct way is known to give the ids of the whole chain."""
@@ -164,17 +171,13 @@ class Encoder:
             ids.append(got if spaced else np.delete(got, lead))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _learn(self, pieces: list[str]) -> None:
-        spaced, bare, others = [], [], []
-        for p in pieces:
-            if not self.direct:
-                others.append(p)
-            elif p.isalpha():
-                bare.append(p)
-            elif p[0] == " " and p[1:].isalpha():
-                spaced.append(p)
-            else:
-                others.append(p)
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """New entries, for pieces without one."""
+        many, none = len(pieces), np.zeros(len(pieces), bool)
+        letters = np.fromiter(map(str.isalpha, map(str.removeprefix, pieces, repeat(" "))), bool, many) if self.direct else none
+        lead = np.fromiter(map(str.startswith, pieces, repeat(" ")), bool, many)
+        kinds = letters & lead, letters & ~lead, ~letters
+        spaced, bare, others = (list(compress(pieces, k.tolist())) for k in kinds)
         found = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)] if others else []
         parts = [self._of_letters(spaced, True), self._of_letters(bare, False)]
         sizes = np.concatenate([n for _, n in parts] + [np.fromiter(map(len, found), np.int64, len(found))])
@@ -185,16 +188,20 @@ class Encoder:
         for ids in found:
             self.flat.extend(ids)
         self.at.frombytes((base + np.cumsum(sizes)).tobytes())
+        entries = np.empty(many, np.int64)
+        entries[np.concatenate([np.flatnonzero(k) for k in kinds])] = np.arange(known, known + many)
+        return entries
 
     def _forget(self) -> None:
         """Keep the pieces seen more than once, or none if these are too many as well."""
         keep = self.hits > 1
         if 2 * int(keep.sum()) > self.most:
             keep[:] = False
+        keep[0] = True
         new = np.cumsum(keep) - 1
         new, kept = new.tolist(), keep.tolist()
         self.table = {p: new[i] for p, i in self.table.items() if kept[i]}
-        flat, at = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.empty(0, np.int32), np.frombuffer(self.at, np.int64)
+        flat, at = np.frombuffer(self.flat, np.int32), np.frombuffer(self.at, np.int64)
         size = np.diff(at)
         kept = flat[np.repeat(keep, size)]
         ends = np.concatenate(([0], np.cumsum(size[keep])))
@@ -207,14 +214,12 @@ class Encoder:
         places = np.fromiter(map(self.table.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(places < 0)
         if len(new):
-            unknown = [pieces[i] for i in new.tolist()]
-            self._learn(unknown)
-            places[new] = np.fromiter(map(self.table.__getitem__, unknown), np.int64, len(unknown))
+            places[new] = self._learn([pieces[i] for i in new.tolist()])
         return places
 
     def __call__(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, the end id after each text, and the number of ids of each."""
-        if len(self.at) > self.most:
+        if len(self.at) - 1 > self.most:
             self._forget()
         raw = b"".join([t.encode() for t in texts])
         data = np.frombuffer(raw, np.uint8)
@@ -233,18 +238,27 @@ class Encoder:
         index = self._places(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
         known = len(self.at) - 1
         self.hits = np.concatenate((self.hits, np.zeros(known - len(self.hits), np.int64))) + np.bincount(index, minlength=known)
-        flat, at = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.empty(0, np.int32), np.frombuffer(self.at, np.int64)
-        size = at[index + 1] - at[index]
-        word_ends = np.cumsum(size)
-        # Each text's ids move on by one place for every end id before it.
-        last = np.concatenate(([0], word_ends))[np.cumsum(counts)]
-        n = np.diff(np.concatenate(([0], last))) + 1
-        out = np.full(int(n.sum()), end, np.int32)
-        of = np.repeat(np.arange(len(texts)), n - 1)
-        total = int(size.sum())
-        source = np.repeat(at[index] - (word_ends - size), size) + np.arange(total)
-        out[np.arange(total) + of] = flat[source]
-        return out, n
+        self.flat[0] = end
+        flat, at = np.frombuffer(self.flat, np.int32), np.frombuffer(self.at, np.int64)
+        # The end id's entry behind each text.
+        last = np.cumsum(counts)
+        index = np.insert(index, last, 0)
+        last += np.arange(len(texts))
+        out, ends = [np.empty(0, np.int32)], np.empty(len(index), np.int64)
+        # Some pieces at a time, as arrays of all ids do not fit the processor's cache.
+        for begin in range(0, len(index), 1 << 14):
+            part = index[begin : begin + (1 << 14)]
+            first = at.take(part)
+            size = at.take(part + 1)
+            size -= first
+            stop = np.cumsum(size, out=ends[begin : begin + len(part)])
+            first += size
+            first -= stop
+            source = np.repeat(first, size)
+            source += np.arange(len(source))
+            out.append(flat.take(source))
+            stop += ends[begin - 1] if begin else 0
+        return np.concatenate(out), np.diff(ends[last], prepend=0)
 
 
 @lru_cache(maxsize=1)
@@ -253,7 +267,7 @@ def encoder(tokenizer_file: str, most: int = 250_000) -> Encoder:
     return Encoder(tokenizer_file, most)
 
 
-def _writer(tokenizer_file: str, end: int, block_ids: int, at_once: int = 2 << 20):
+def _writer(tokenizer_file: str, end: int, block_ids: int, at_once: int = 4 << 20):
     def run(batches):
         encode = encoder(tokenizer_file, 1_000_000)
         part, block, first = TaskContext.get().partitionId(), 0, 0
