@@ -108,6 +108,80 @@ def test_quotations_variants_and_pages_without_host_stay(spark):
         assert all(got[200 + i] == f"{line}\n{own(300 + i)}" for i in range(3))
 
 
+def test_articles_lose_the_frame_of_their_host(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    alert = "please renew your membership before the end of this month today"
+    quote = "to be or not to be that is the question of the day"
+    box = lambda i: f"<div class='alert'>{alert}</div>" if i else ""
+    body = lambda i: f"<body><nav>Home</nav><article><h1>Head {i}</h1>{box(i)}<p>{own(i)}</p>{f'<p>{quote}</p>' if i < 12 else ''}</article></body>"
+    text = lambda i: f"Head {i}\n{own(i)}" + f"\n{quote}" * (i < 12)
+    listed = [(i, "http://a/%d" % i, body(i), 1, "h") for i in range(20)]
+    listed += [(100 + i, "http://a/", body(19), 1, "h") for i in range(3)]  # copies are one page
+    listed += [(200 + i, "http://b/", body(i), 1, "h") for i in range(1, 5)]  # too few articles
+    # An article that is frame but for a few words is a variant of others and stays.
+    listed += [(300 + i, "http://c/", f"<article><p>{own(0)}</p><p>{alert}</p><p>v{i}</p></article>", 1, "h") for i in range(6)]
+    # The articles' frame, and no other repeat: what other pages say outside their articles is no evidence.
+    listed += [(400 + i, "http://d/", f"<article><p>{own(i)}</p></article><p>{quote}</p>" if i else f"<article><p>{quote}</p><p>x</p></article>", 1, "h") for i in range(9)]
+    for size in (1 << 20, 2000, 200):
+        got = rows(spark, listed, slice_tokens=size)
+        assert [got[i] for i in range(20)] == [text(i) for i in range(20)]
+        assert all(got[100 + i] == text(19) for i in range(3))
+        assert all(got[200 + i] == text(i).replace("\n", f"\n{alert}\n", 1) for i in range(1, 5))
+        assert all(got[300 + i] == f"{own(0)}\n{alert}\nv{i}" for i in range(6))
+        assert got[400] == f"{quote}\nx" and got[401] == own(1)
+
+
+def test_articles_are_evidence_against_unmarked_pages(spark):
+    passage = "to be or not to be that is the question of the day"
+    listed = [(1, "http://a/1", f"<article><p>first words {passage}</p></article>", 1, "h"), (2, "http://a/2", f"<body><p>{passage}</p><p>other words</p></body>", 1, "h")]
+    for size in (1 << 20, 10):
+        assert rows(spark, listed, slice_tokens=size) == {1: f"first words {passage}", 2: "other words"}
+
+
+def test_articles_and_unmarked_pages_equal_brute_force_for_any_slice(spark):
+    draw, depth = np.random.default_rng(6), 8
+    frames = [" ".join(draw.choice(["c", "d", "e"], 9)) for _ in range(3)]
+    some = lambda n: " ".join(draw.choice(["a", "b", "f"], int(draw.integers(1, n))))
+    made = []
+    for i in range(30):
+        listed = [some(14) for _ in range(int(draw.integers(2, 5)))] + [f for k, f in enumerate(frames) if draw.random() < (1, 0.95, 0.6)[k]]
+        draw.shuffle(listed)
+        made.append((i % 5 > 0, listed, [some(14)]))  # whether an article is marked, its blocks (or the page's), and what follows
+    made.append(made[1])
+    page = lambda m, a, b: "<body>" + ("<article>%s</article>" if m else "%s") % "".join(f"<p>{t}</p>" for t in a) + "".join(f"<p>{t}</p>" for t in b) + "</body>"
+    parts = lambda m, a, b: (" ".join(a if m else []).split(), " ".join(b if m else a + b).split())
+    distinct = [parts(*p) for p in made[:30]]
+    grams = lambda w: {tuple(w[k : k + depth]) for k in range(len(w) - depth + 1)}
+    articles = sum(p[0] for p in made[:30])
+    held = lambda g, of: sum(g in x for x in of)
+    whole, own = [grams(a) | grams(b) for a, b in distinct], [grams(a) for a, _ in distinct]
+    gone = lambda w, goes: {k + j for k in range(len(w) - depth + 1) if goes(tuple(w[k : k + depth])) for j in range(depth)}
+    expected, framed = {}, 0
+    for i, (m, a, b) in enumerate(made):
+        w, rest = parts(m, a, b)
+        if m:
+            out, at, kept = gone(w, lambda g: held(g, own) >= max(5, np.ceil(0.9 * articles))), 0, []
+            for t in a:
+                n = len(t.split())
+                if not set(range(at, at + n)) <= out:
+                    kept.append(t)
+                at += n
+            framed += len(kept) < len(a)
+            expected[i] = "\n".join(kept)
+            assert len(" ".join(kept).split()) > 0.1 * len(w)
+        else:
+            out, at, lines = gone(rest, lambda g: held(g, whole) >= 2), 0, []
+            for t in a + b:
+                n = len(t.split())
+                lines.append(" ".join(x for k, x in enumerate(t.split(), at) if k not in out))
+                at += n
+            expected[i] = "\n".join(x for x in lines if x)
+    assert framed > 10
+    listed = [(i, "http://e/", page(*p), 1, "h") for i, p in enumerate(made)]
+    for size in (1 << 20, 150):
+        assert rows(spark, listed, slice_tokens=size) == expected
+
+
 def test_suffix_ranks_equal_sorting():
     tokens = np.random.default_rng(2).integers(0, 3, 200)
     ranks = pages.suffix_ranks(tokens, 4)
